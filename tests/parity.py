@@ -12,6 +12,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+DIGITS = int(os.environ.get("PARITY_DIGITS", "9"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -24,7 +25,7 @@ def connect(folder):
 
 def _cell(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else float(f"{v:.{DIGITS}g}")
     if isinstance(v, (list, tuple)):
         return tuple(_cell(x) for x in v)
     return v

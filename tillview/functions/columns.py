@@ -20,9 +20,15 @@ def ratio(top: str | Column, bottom: str | Column) -> Column:
     return F.try_divide(col(top).cast("double"), col(bottom).cast("double"))
 
 
+def rounded(x: str | Column, places: int = 2) -> Column:
+    """Half away from zero on the scaled DOUBLE, the way SQL engines round floating numbers."""
+    scale = float(10**places)
+    return F.round(col(x).cast("double") * scale) / scale
+
+
 def pct(top: str | Column, bottom: str | Column, places: int = 2) -> Column:
     """Percentage rounded to ``places``, 0 when there is nothing to divide by."""
-    return F.coalesce(F.round(ratio(top, bottom) * 100, places), F.lit(0.0))
+    return F.coalesce(rounded(ratio(top, bottom) * 100, places), F.lit(0.0))
 
 
 def missing(df: DataFrame, name: str) -> Column:

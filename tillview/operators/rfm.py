@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.functions.columns import fixed_rows, one_row, pct, ratio
+from tillview.functions.columns import fixed_rows, one_row, pct, ratio, rounded
 from tillview.operators.ordering import ntile_of, quantile_bin_of, ranked
 
 # Segment order and labels.
@@ -114,8 +114,8 @@ def customer_table(scored: DataFrame) -> DataFrame:
         "customer_id",
         "recency_days",
         F.col("frequency").alias("frequency_orders"),
-        F.round(F.col("monetary").cast("double"), 2).alias("total_spend"),
-        F.round(ratio("monetary", F.greatest(F.lit(1), F.col("frequency"))), 2).alias("aov"),
+        rounded(F.col("monetary"), 2).alias("total_spend"),
+        rounded(ratio("monetary", F.greatest(F.lit(1), F.col("frequency"))), 2).alias("aov"),
         "r_score",
         "f_score",
         "m_score",
@@ -148,11 +148,11 @@ def segment_table(spark: SparkSession, scored: DataFrame) -> DataFrame:
             "code",
             F.coalesce("customers", zero).alias("customer_count"),
             pct("customers", one_row(totals, "n")).alias("customer_pct"),
-            F.round(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)), 2).alias("total_revenue"),
+            rounded(F.coalesce(F.col("revenue"), F.lit(0.0)), 2).alias("total_revenue"),
             pct("revenue", one_row(totals, "revenue")).alias("revenue_pct"),
-            F.coalesce(F.round(ratio("revenue", "orders"), 2), F.lit(0.0)).alias("avg_order_value"),
-            F.coalesce(F.round(ratio("recency", "customers"), 1), F.lit(0.0)).alias("avg_recency_days"),
-            F.coalesce(F.round(ratio("orders", "customers"), 1), F.lit(0.0)).alias("avg_frequency"),
+            F.coalesce(rounded(ratio("revenue", "orders"), 2), F.lit(0.0)).alias("avg_order_value"),
+            F.coalesce(rounded(ratio("recency", "customers"), 1), F.lit(0.0)).alias("avg_recency_days"),
+            F.coalesce(rounded(ratio("orders", "customers"), 1), F.lit(0.0)).alias("avg_frequency"),
         )
         .orderBy("position")
         .drop("position")
@@ -174,7 +174,7 @@ def grid(spark: SparkSession, scored: DataFrame) -> DataFrame:
             "r",
             "f",
             F.coalesce("n", F.lit(0)).alias("count"),
-            F.round(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)), 2).alias("revenue"),
+            rounded(F.coalesce(F.col("revenue"), F.lit(0.0)), 2).alias("revenue"),
             pct("n", total).alias("percentage"),
         )
         .orderBy(F.desc("r"), "f")

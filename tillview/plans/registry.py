@@ -7,9 +7,10 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillview.functions.columns import rounded
 from tillview.operators import templates
 from tillview.operators.relations import Relations
-from tillview.plans import template_sql
+from tillview.plans import analytics_queries, template_sql
 from tillview.plans.edge import plain
 from tillview.session import tune
 from tillview.sources.transactions import benchmark_source
@@ -30,10 +31,8 @@ def relations(spark: SparkSession, sf_dir: str) -> Relations:
 
 def _template(build: Callable[[Relations], DataFrame], rounding: dict[str, int] | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from pyspark.sql import functions as F
-
         df = plain(build(relations(spark, sf_dir)))
-        return df.withColumns({c: F.round(c, n) for c, n in (rounding or {}).items()})
+        return df.withColumns({c: rounded(c, n) for c, n in (rounding or {}).items()})
 
     return run
 
@@ -61,7 +60,10 @@ def template_queries() -> dict[str, Query]:
     return out | {name: _template(f) for name, f in more.items()}
 
 
-GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [(template_queries, template_sql.SQL)]
+GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [
+    (template_queries, template_sql.SQL),
+    (analytics_queries.analytics_queries, analytics_queries.SQL),
+]
 
 
 def all_queries() -> dict[str, Query]:
