@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillview.functions.columns import ratio, rounded
 from tillview.sources.transactions import Lookup, TransactionSource, table
 
 COLUMNS = [
@@ -30,7 +31,7 @@ def flat_source(spark: SparkSession, sf_dir: str) -> TransactionSource:
     lines = read("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("unit_price"),
+        rounded(ratio("l_extendedprice", "l_quantity"), 2).alias("unit_price"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         F.col("l_discount").alias("discount_pct"),
         (F.col("l_extendedprice").cast("decimal(13,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(3,2)")))
@@ -80,6 +81,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumns(
         {
             "order_date": F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"),
+            **{c: F.col(c).cast("string") for c in ("order_id", "customer_id", "product_id")},
             "category": F.when(returned & open_line, F.concat(F.lit(" "), "category", F.lit(" "))).otherwise(
                 F.col("category")
             ),
