@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillview.functions.columns import rounded
 from tillview.operators import templates
 from tillview.operators.relations import Relations
-from tillview.plans import analytics_queries, quality_queries, template_sql
+from tillview.plans import analytics_queries, profile_queries, quality_queries, template_sql
 from tillview.plans.edge import plain
 from tillview.session import tune
 from tillview.sources.transactions import benchmark_source
@@ -64,6 +64,7 @@ GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [
     (template_queries, template_sql.SQL),
     (analytics_queries.analytics_queries, analytics_queries.SQL),
     (quality_queries.quality_queries, quality_queries.SQL),
+    (profile_queries.profile_queries, profile_queries.SQL),
 ]
 
 
