@@ -3,32 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillview.functions.columns import rounded
 from tillview.operators import templates
 from tillview.operators.relations import Relations
-from tillview.plans import analytics_queries, profile_queries, quality_queries, template_sql
+from tillview.plans import analytics_queries, profile_queries, quality_queries, star_queries, template_sql
 from tillview.plans.edge import plain
-from tillview.session import tune
-from tillview.sources.transactions import benchmark_source
+from tillview.plans.shared import relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-@lru_cache(maxsize=8)
-def _relations(app: str, sf_dir: str) -> Relations:
-    spark = tune(SparkSession.active())
-    return Relations(spark, benchmark_source(spark, sf_dir))
-
-
-def relations(spark: SparkSession, sf_dir: str) -> Relations:
-    """One Relations per dataset and application, so the date range and the scores are computed once."""
-    return _relations(spark.sparkContext.applicationId, sf_dir)
-
-
 def _template(build: Callable[[Relations], DataFrame], rounding: dict[str, int] | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = plain(build(relations(spark, sf_dir)))
@@ -65,6 +52,7 @@ GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [
     (analytics_queries.analytics_queries, analytics_queries.SQL),
     (quality_queries.quality_queries, quality_queries.SQL),
     (profile_queries.profile_queries, profile_queries.SQL),
+    (star_queries.star_queries, star_queries.SQL),
 ]
 
 
