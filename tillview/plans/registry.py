@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillview.functions.columns import rounded
 from tillview.operators import templates
 from tillview.operators.relations import Relations
-from tillview.plans import analytics_queries, profile_queries, quality_queries, star_queries, template_sql
+from tillview.plans import analytics_queries, insight_queries, profile_queries, quality_queries, star_queries, template_sql
 from tillview.plans.edge import plain
 from tillview.plans.shared import relations
 
@@ -53,6 +53,7 @@ GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [
     (quality_queries.quality_queries, quality_queries.SQL),
     (profile_queries.profile_queries, profile_queries.SQL),
     (star_queries.star_queries, star_queries.SQL),
+    (insight_queries.insight_queries, insight_queries.SQL),
 ]
 
 
