@@ -269,38 +269,32 @@ def _evidence(df: DataFrame, columns: Sequence[str], styles: dict[str, str]) ->
     """Per column: how many cells read as each type, from one scan without a shuffle of cells."""
     v = F.col("v")
     style = F.array(*[F.lit(styles[c]) for c in columns])[F.col("k")]
-    # Cells without a digit and plain numbers need no closer look; the patterns run on the rest.
-    digits = F.translate(v, "0123456789", "")
-    look = F.when(digits == v, "text").when(v.rlike(r"^-?\d+(\.\d+)?$"), "plain").otherwise("written")
+    # Cells without a digit and plain numbers are told by what is left when the digits go; the patterns
+    # run on the rest.
+    rest = F.col("rest")
+    plain_rest = rest.isin("", ".") | (F.startswith(v, F.lit("-")) & rest.isin("-", "-."))
+    look = F.when(rest == v, "text").when(plain_rest, "plain").otherwise("written")
     written, plain = F.col("look") == "written", F.col("look") == "plain"
     magnitude, negative = _magnitude(v)
     # Each cell has one date shape, so it is parsed by the formats of that shape only.
-    shape = F.when(plain, F.when(F.length("d") == 8, _SHAPES.index(r"^\d{8}$")))
+    shape = F.when(~written, F.when(F.length("d") == 8, _SHAPES.index(r"^\d{8}$")))
     for i, pattern in enumerate(_SHAPES):
         shape = shape.when(F.col("d").rlike(pattern), i)
+    # Nothing written like a date reads as a number.
+    number_like = written & F.col("shape").isNull()
     cells = (
         _cells(df, columns)
-        .select("k", "v", look.alias("look"))
-        .select(
-            "k",
-            "v",
-            "look",
-            style.alias("style"),
-            F.when(written, magnitude).alias("m"),
-            F.when(written, negative).alias("neg"),
-            F.when(written, _four_digit_years(v)).when(plain & (F.length(v) == 8), v).alias("d"),
-        )
-        .withColumns(
-            {
-                "t": F.when(plain, v).when(written, _plain_digits(F.col("m"), F.col("neg"), F.col("style"))),
-                "shape": shape,
-            }
-        )
-        .withColumns({"x": F.col("t").try_cast("double")})
+        .select("k", "v", F.translate(v, "0123456789", "").alias("rest"))
+        .select("k", "v", "rest", look.alias("look"))
+        .withColumn("d", F.when(written, _four_digit_years(v)).when(plain & (F.length(v) == 8), v))
+        .withColumn("shape", shape)
+        .withColumns({"m": F.when(number_like, magnitude), "neg": F.when(number_like, negative), "style": style})
+        .withColumn("t", F.when(plain, v).when(number_like, _plain_digits(F.col("m"), F.col("neg"), F.col("style"))))
+        .withColumn("x", F.col("t").try_cast("double"))
     )
-    ambiguous = r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}"
-    first = F.regexp_extract("d", ambiguous, 1).try_cast("int")
-    second = F.regexp_extract("d", ambiguous, 2).try_cast("int")
+    over_12 = r"(?:1[3-9]|[2-9]\d)"
+    day_first = F.col("d").rlike(rf"^{over_12}[/-]\d{{1,2}}[/-]\d{{4}}")
+    month_first = F.col("d").rlike(rf"^\d{{1,2}}[/-]{over_12}[/-]\d{{4}}")
     formats = [
         F.count(F.when(F.col("shape") == _SHAPES.index(s), F.try_to_timestamp("d", F.lit(p)))).alias(f"fmt{i}")
         for i, (_, s, p, _) in enumerate(DATE_FORMATS)
@@ -308,17 +302,21 @@ def _evidence(df: DataFrame, columns: Sequence[str], styles: dict[str, str]) ->
     t, x = F.col("t"), F.col("x")
     return cells.groupBy("k").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.lower(v).isin(*BOOLEAN_TOKENS)).alias("bool"),
-        F.count_if(v.isin("0", "1")).alias("bits"),
+        F.count_if((F.col("look") == "text") & F.lower(v).isin(*BOOLEAN_TOKENS)).alias("bool"),
+        F.count_if(plain & v.isin("0", "1")).alias("bits"),
         F.count(x).alias("num"),
-        F.count_if(t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull()).alias("integral"),
-        F.count_if(F.contains(F.lower(t), F.lit("e"))).alias("exponent"),
+        F.count_if(
+            F.when(plain, rest.isin("", "-") & ((F.length(v) < 18) | t.try_cast("bigint").isNotNull())).when(
+                written, t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull()
+            )
+        ).alias("integral"),
+        F.count_if(written & F.contains(F.lower(t), F.lit("e"))).alias("exponent"),
         F.max(F.when(x.isNotNull() & F.contains(t, F.lit(".")), F.length(F.substring_index(t, ".", -1)))).alias("places"),
         F.min(x).alias("lo"),
         F.max(x).alias("hi"),
-        F.count_if(F.endswith(v, F.lit("%"))).alias("percent"),
-        F.count_if((F.col("shape") >= 0) & (first > 12)).alias("day_high"),
-        F.count_if((F.col("shape") >= 0) & (second > 12)).alias("month_high"),
+        F.count_if(written & F.endswith(v, F.lit("%"))).alias("percent"),
+        F.count_if(written & (F.col("shape") >= 0) & day_first).alias("day_high"),
+        F.count_if(written & (F.col("shape") >= 0) & month_first).alias("month_high"),
         *formats,
     )
 
