@@ -128,7 +128,7 @@ SERIES = (
 
 
 def bind(frame: DataFrame, b: Binding) -> DataFrame:
-    """One row per metric and member; undefined values give no metric."""
+    """One row per metric and member; undefined values and absent columns give no metric."""
     values = F.array(
         *[
             F.struct(
@@ -138,6 +138,7 @@ def bind(frame: DataFrame, b: Binding) -> DataFrame:
                 F.col(c).cast("decimal(38,10)").alias("value"),
             )
             for name, c, unit in b.metrics
+            if c in frame.columns
         ]
     )
     if not b.dimensions:

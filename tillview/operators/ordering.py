@@ -101,27 +101,17 @@ _SKETCH = 10_000
 _MARGIN = 2.5 / _SKETCH
 
 
-@dataclass
-class _Bracket:
-    """One wanted order statistic: the ``rank``-th (0-based) value of a column, known to lie in [lo, hi]."""
-
-    column: str
-    rank: int
-    lo: float
-    hi: float
-    below: int = 0
-
-
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, dict]:
     """Exact linear-interpolated quantiles of numeric columns.
 
     ``percentile`` keeps every distinct value of a column in one buffer. This selects order statistics
-    instead: a sketch brackets each wanted rank, one scan counts what lies below and inside, and the
-    bracket is narrowed until it holds one value or few rows. Each round is a scan with map-side
-    aggregation and no shuffle of rows; the driver sees counts and, per bracket, at most
-    ``_FINISH_ROWS`` rows. Returns ``{column: {"n", "min", "max", prob: value}}``; values are None
-    when the column holds no number.
+    instead. A sketch proposes edges around each wanted rank; one scan counts the rows on and between
+    the edges, which tells where every rank lies. A rank on an edge is found; an interval with few rows
+    is read; an interval with many rows gets new edges inside it. Each round is a scan with map-side
+    aggregation, and the driver sees counts and, per interval, at most ``_FINISH_ROWS`` rows. Returns
+    ``{column: {"n", "min", "max", prob: value}}``; values are None when the column holds no number.
     """
+    columns = list(columns)
     data = df.select(*[_number(F.col(c)).alias(c) for c in columns])
     grid = sorted({_unit(p + side) for p in probs for side in (-_MARGIN, _MARGIN)})
     row = data.agg(
@@ -137,24 +127,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
         ]
     ).first()
 
-    out: dict[str, dict] = {}
-    chosen: dict[tuple[str, int], float] = {}
-    waiting: list[_Bracket] = []
+    out = {c: {"n": row[f"n{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"]} for i, c in enumerate(columns)}
+    wanted: dict[str, set[int]] = {}
+    edges: dict[str, list[float]] = {}
     for i, c in enumerate(columns):
-        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
-        out[c] = {"n": n, "min": lo, "max": hi}
-        if not n:
-            continue
-        edge = dict(zip(grid, row[f"q{i}"]))
-        for p in probs:
-            for rank in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
-                if n > _FINISH_ROWS:
-                    waiting.append(_Bracket(c, rank, edge[_unit(p - _MARGIN)], edge[_unit(p + _MARGIN)]))
-                else:
-                    waiting.append(_Bracket(c, rank, lo, hi))
-
-    while waiting:
-        waiting = _select_round(data, waiting, out, chosen)
+        n = out[c]["n"]
+        if n:
+            wanted[c] = {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+            edges[c] = sorted({out[c]["min"], out[c]["max"], *(row[f"q{i}"] if n > _FINISH_ROWS else ())})
+    chosen: dict[tuple[str, int], float] = {}
+    while edges:
+        edges = _select_round(data, edges, wanted, chosen)
 
     for c in columns:
         for p in probs:
@@ -176,76 +159,84 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _select_round(data, waiting, out, chosen) -> list[_Bracket]:
-    """Count around every bracket; settle those that can be, narrow the others."""
-    aggs = []
-    for i, b in enumerate(waiting):
-        x, lo, hi = F.col(b.column), F.lit(b.lo), F.lit(b.hi)
-        aggs += [
-            F.count_if(x < lo).alias(f"below{i}"),
-            F.count_if(x.between(lo, hi)).alias(f"inside{i}"),
-            F.count_if(x == lo).alias(f"at_lo{i}"),
-            F.count_if(x == hi).alias(f"at_hi{i}"),
-            F.min(F.when((x > lo) & (x < hi), x)).alias(f"next{i}"),
-            F.max(F.when((x > lo) & (x < hi), x)).alias(f"prev{i}"),
-        ]
-    row = data.agg(*aggs).first()
+@dataclass
+class _Gap:
+    """The rows strictly between two edges of a column: how many, after how many, and their range."""
 
-    few, many, redo = [], [], []
-    for i, b in enumerate(waiting):
-        b.below, inside = row[f"below{i}"], row[f"inside{i}"]
-        if b.rank < b.below:  # the sketch missed on the low side
-            redo.append(_Bracket(b.column, b.rank, out[b.column]["min"], b.lo))
-        elif b.rank >= b.below + inside:  # ... or on the high side
-            redo.append(_Bracket(b.column, b.rank, b.hi, out[b.column]["max"]))
-        elif b.rank < b.below + row[f"at_lo{i}"]:
-            chosen[b.column, b.rank] = b.lo
-        elif b.rank >= b.below + inside - row[f"at_hi{i}"]:
-            chosen[b.column, b.rank] = b.hi
-        elif inside <= _FINISH_ROWS:
-            few.append(b)
-        else:
-            b.below += row[f"at_lo{i}"]
-            b.lo, b.hi = row[f"next{i}"], row[f"prev{i}"]
-            many.append((b, inside - row[f"at_lo{i}"] - row[f"at_hi{i}"]))
+    column: str
+    below: int
+    rows: int
+    lo: float
+    hi: float
+    ranks: list[int]
+
+
+def _select_round(data: DataFrame, edges: dict, wanted: dict, chosen: dict) -> dict[str, list[float]]:
+    """Count on and between the edges; settle the ranks that can be; return edges for the others."""
+    places = []
+    for k, (c, cuts) in enumerate(edges.items()):
+        # Even places lie between edges, odd ones on an edge.
+        place = sum(((F.col(c) > e).cast("int") + (F.col(c) >= e).cast("int") for e in cuts), F.lit(0))
+        places.append(F.struct(F.lit(k).alias("k"), place.alias("place"), F.col(c).alias("v")))
+    counts = (
+        data.select(F.explode(F.array(*places)).alias("p"))
+        .where("p.v IS NOT NULL")
+        .groupBy("p.k", "p.place")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
+        .collect()
+    )  # at most two rows per edge
+    gaps: list[_Gap] = []
+    for k, (c, cuts) in enumerate(edges.items()):
+        below = 0
+        for row in sorted((r for r in counts if r["k"] == k), key=lambda r: r["place"]):
+            here = [r for r in wanted[c] if below <= r < below + row["rows"]]
+            if here and row["lo"] == row["hi"]:
+                chosen.update({(c, r): row["lo"] for r in here})
+            elif here:
+                gaps.append(_Gap(c, below, row["rows"], row["lo"], row["hi"], here))
+            below += row["rows"]
+        wanted[c] = {r for g in gaps if g.column == c for r in g.ranks}
+    few = [g for g in gaps if g.rows <= _FINISH_ROWS]
     if few:
-        _finish(data, few, chosen)
-    if many:
-        _narrow(data, many)
-    return redo + [b for b, _ in many]
+        _read_gaps(data, few, chosen)
+        for g in few:
+            wanted[g.column] -= set(g.ranks)
+    return _cut_gaps(data, [g for g in gaps if g.rows > _FINISH_ROWS])
+
 
+def _inside(g: _Gap) -> Column:
+    return F.col(g.column).between(F.lit(g.lo), F.lit(g.hi))
 
-def _finish(data: DataFrame, few: list[_Bracket], chosen: dict) -> None:
-    """Read the few values inside each bracket and pick the wanted ranks."""
+
+def _read_gaps(data: DataFrame, few: list[_Gap], chosen: dict) -> None:
+    """Read the few values inside each interval and pick the wanted ranks."""
     hits = [
-        F.when(
-            F.col(b.column).between(F.lit(b.lo), F.lit(b.hi)),
-            F.struct(F.lit(i).alias("b"), F.col(b.column).alias("v")),
-        )
-        for i, b in enumerate(few)
+        F.when(_inside(g), F.struct(F.lit(i).alias("g"), F.col(g.column).alias("v"))) for i, g in enumerate(few)
     ]
     rows = (
         data.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .groupBy("h.b", "h.v")
+        .groupBy("h.g", "h.v")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    for i, b in enumerate(few):
-        seen = b.below
-        for value, n in sorted((r["v"], r["n"]) for r in rows if r["b"] == i):
-            if seen <= b.rank < seen + n:
-                chosen[b.column, b.rank] = value
+    for i, g in enumerate(few):
+        seen = g.below
+        for value, n in sorted((r["v"], r["n"]) for r in rows if r["g"] == i):
+            chosen.update({(g.column, r): value for r in g.ranks if seen <= r < seen + n})
             seen += n
 
 
-def _narrow(data: DataFrame, many: list[tuple[_Bracket, int]]) -> None:
-    """Cut each over-full bracket to a sketch-sized slice around its rank."""
+def _cut_gaps(data: DataFrame, many: list[_Gap]) -> dict[str, list[float]]:
+    """New edges around each rank inside the over-full intervals; their ends are edges too."""
+    if not many:
+        return {}
     aggs = []
-    for i, (b, inside) in enumerate(many):
-        at = (b.rank - b.below) / inside
-        x = F.col(b.column)
-        within = F.when(x.between(F.lit(b.lo), F.lit(b.hi)), x)
-        aggs.append(F.percentile_approx(within, [_unit(at - _MARGIN), _unit(at + _MARGIN)], _SKETCH).alias(f"q{i}"))
+    for i, g in enumerate(many):
+        at = [(r - g.below) / g.rows for r in g.ranks]
+        cuts = sorted({_unit(p + side) for p in at for side in (-_MARGIN, _MARGIN)})
+        aggs.append(F.percentile_approx(F.when(_inside(g), F.col(g.column)), cuts, _SKETCH).alias(f"q{i}"))
     row = data.agg(*aggs).first()
-    for i, (b, _) in enumerate(many):
-        b.lo, b.hi = row[f"q{i}"]
+    edges: dict[str, set[float]] = {}
+    for i, g in enumerate(many):
+        edges.setdefault(g.column, set()).update([g.lo, g.hi, *row[f"q{i}"]])
+    return {c: sorted(e) for c, e in edges.items()}

@@ -265,28 +265,36 @@ def prod_pareto(rel: Relations) -> DataFrame:
     ).orderBy("rank")
 
 
-def _breakdown(rel: Relations, keys: list[str], sums: dict[str, Column], roles: list[str]) -> DataFrame:
+_OPTIONAL = {
+    "quantity": ("quantity", lambda: F.sum("quantity")),
+    "orders": ("transaction_id", lambda: F.count_distinct("transaction_id")),
+    "customers": ("customer_id", lambda: F.count_distinct("customer_id")),
+}
+
+
+def _mapped(rel: Relations, *names: str) -> dict[str, tuple]:
+    """The optional figures whose role is mapped; the others are left out of the result."""
+    return {n: _OPTIONAL[n] for n in names if rel.source.has(_OPTIONAL[n][0])}
+
+
+def _breakdown(rel: Relations, keys: list[str], *figures: str) -> DataFrame:
     """Group the lines that have every key; ``revenue_share`` is of the lines kept."""
-    known = rel.tx(*dict.fromkeys([*keys, "revenue", *roles]))
+    extra = _mapped(rel, *figures)
+    known = rel.tx(*dict.fromkeys([*keys, "revenue", *[role for role, _ in extra.values()]]))
     # One shape for the table and its total, so both read the same shuffle.
     for key in keys:
         known = known.where(F.col(key).isNotNull())
     total = one_row(known.agg(F.sum("revenue").alias("r")), "r")
     return (
         known.groupBy(*keys)
-        .agg(F.sum("revenue").alias("revenue"), *[c.alias(name) for name, c in sums.items()])
+        .agg(F.sum("revenue").alias("revenue"), *[agg().alias(name) for name, (_, agg) in extra.items()])
         .withColumn("revenue_share", ratio("revenue", total))
         .orderBy(F.desc("revenue"), *keys)
     )
 
 
 def cat_revenue_quantity_contribution(rel: Relations) -> DataFrame:
-    return _breakdown(
-        rel,
-        ["category"],
-        {"quantity": F.sum("quantity"), "orders": F.count_distinct("transaction_id")},
-        ["quantity", "transaction_id"],
-    )
+    return _breakdown(rel, ["category"], "quantity", "orders")
 
 
 def revenue_unclassified(rel: Relations) -> DataFrame:
@@ -312,15 +320,16 @@ def _calendar_series(rel: Relations, key: str, keep: str | None = None, flag: st
         "year": F.year("purchase_date"),
         "day_of_week": F.weekday("purchase_date") + 1,
     }[key]
+    extra = _mapped(rel, "orders")
     sums = _by_day(rel).where(F.col("purchase_date").isNotNull()).groupBy(label.alias(key)).agg(
-        F.sum("revenue").alias("revenue"), F.count_distinct("transaction_id").alias("orders")
+        F.sum("revenue").alias("revenue"), *[agg().alias(name) for name, (_, agg) in extra.items()]
     )
     zero = F.lit(0)
     return frame.join(sums, key, "left").select(
         key,
         *(["is_complete"] if flag else []),
         F.coalesce("revenue", zero).alias("revenue"),
-        F.coalesce("orders", zero).alias("orders"),
+        *[F.coalesce(name, zero).alias(name) for name in extra],
     ).orderBy(key)
 
 
@@ -365,12 +374,7 @@ def time_yoy_growth(rel: Relations) -> DataFrame:
 
 def geo_revenue(rel: Relations, *levels: str) -> DataFrame:
     """Revenue, orders and customers by country, state or city, or by a combination of them."""
-    sums, roles = {}, []
-    for name, role in (("orders", "transaction_id"), ("customers", "customer_id")):
-        if rel.source.has(role):
-            sums[name] = F.count_distinct(role)
-            roles.append(role)
-    return _breakdown(rel, list(levels), sums, roles)
+    return _breakdown(rel, list(levels), "orders", "customers")
 
 
 def geo_customer_distribution(rel: Relations, level: str = "country") -> DataFrame:
@@ -397,22 +401,18 @@ def discount_band_key(c: str | Column = "discount") -> Column:
 
 def disc_band_summary(rel: Relations) -> DataFrame:
     names = F.create_map(*[F.lit(x) for number, name, _ in DISCOUNT_BANDS for x in (number, name)])
+    extra = _mapped(rel, "orders", "quantity")
     return (
-        rel.tx("discount", "revenue", "quantity", "transaction_id")
+        rel.tx("discount", "revenue", *[role for role, _ in extra.values()])
         .where(F.col("discount").isNotNull())
         .groupBy(discount_band_key().alias("band_order"))
-        .agg(
-            F.count_distinct("transaction_id").alias("orders"),
-            F.sum("revenue").alias("revenue"),
-            F.sum("quantity").alias("quantity"),
-        )
+        .agg(F.sum("revenue").alias("revenue"), *[agg().alias(name) for name, (_, agg) in extra.items()])
         .orderBy("band_order")
         .select(
             names[F.col("band_order")].alias("discount_band"),
-            "orders",
             "revenue",
-            ratio("revenue", "orders").alias("average_order_value"),
-            "quantity",
+            *([ratio("revenue", "orders").alias("average_order_value")] if "orders" in extra else []),
+            *extra,
         )
     )
 

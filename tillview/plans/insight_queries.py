@@ -17,7 +17,7 @@ from tillview.plans.quality_queries import SQL as QUALITY_SQL
 from tillview.plans.shared import relations
 from tillview.plans.template_sql import CUSTOMERS, ORDERS, using
 from tillview.plans.template_sql import SQL as TEMPLATE_SQL
-from tillview.session import stage, tune
+from tillview.session import spread, stage, tune
 from tillview.sources.flat import flat, flat_source
 from tillview.sources.transactions import table
 
@@ -80,7 +80,7 @@ def _checked(spark, sf_dir, texts):
 
 
 def _documents(spark, d):
-    return table(tune(spark), d, "documents").select("doc_id", "text")
+    return spread(table(tune(spark), d, "documents").select("doc_id", "text"))
 
 
 def _metric_rows(spark, d):

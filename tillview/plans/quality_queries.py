@@ -12,8 +12,9 @@ from tillview.functions.columns import rounded
 from tillview.operators import cleaning, quality
 from tillview.plans.analytics_queries import FLAT
 from tillview.plans.edge import plain
-from tillview.session import stage, tune
+from tillview.session import spread, stage, tune
 from tillview.sources.flat import COLUMNS, dirty
+from tillview.sources.transactions import table
 
 MAPPING = {
     "transaction_id": "order_id",
@@ -37,7 +38,8 @@ NUMBERS = ["unit_price", "quantity", "discount_pct", "total_amount", "customer_r
 @lru_cache(maxsize=8)
 def _raw(app: str, sf_dir: str):
     """Version 1, written once and read by every query on it."""
-    return stage(dirty(tune(SparkSession.active()), sf_dir))
+    spark = tune(SparkSession.active())
+    return stage(spread(dirty(spark, sf_dir), table(spark, sf_dir, "lineitem")))
 
 
 def raw(spark, sf_dir):

@@ -55,6 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Hand a small input to all cores before work that is heavy per row.
+
+    A file with one row group is read by one task however many cores wait. ``scan`` is the file scan
+    ``df`` is made of; with at least as many splits as cores the rows are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -63,6 +74,5 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    # Row groups of 16 MB: a staged table is read back at once, and smaller groups spread over more tasks.
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
