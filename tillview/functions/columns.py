@@ -38,6 +38,28 @@ def missing(df: DataFrame, name: str) -> Column:
     return null | F.isnan(name) if isinstance(kind, (T.DoubleType, T.FloatType)) else null
 
 
+def row_digest(parts: Iterable[Column]) -> Column:
+    """SHA-256 over cells as text: 32 bytes stand for a row of any width when rows are compared.
+
+    The length before each cell keeps NULL, the empty string and shifted cells apart.
+    """
+    marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.unhex(F.sha2(F.concat_ws("|", *marked), 256))
+
+
+def cell_texts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Column]:
+    """Cells as text in which equal values are equal: -0.0 reads as 0.0, nested values as JSON."""
+    out = []
+    for name in columns or df.columns:
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0)
+        elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            c = F.to_json(c)
+        out.append(c.cast("string"))
+    return out
+
+
 def columns_of(df: DataFrame, *kinds: type) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tillview.functions.columns import fixed_rows, numeric_columns, one_row, pct, rounded
 from tillview.operators.ordering import quantiles, ranked
 from tillview.operators.templates import pearson
+from tillview.session import stage
 
 # Columns with a histogram, and columns with a breakdown.
 HISTOGRAM_COLUMNS = ("total_amount", "quantity", "unit_price", "discount_pct")
@@ -159,7 +160,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    cells = (
+    cells = stage(
         data.select(F.explode(F.array_compact(entries)).alias("e"))
         .groupBy("e.pair", "e.x", "e.y")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillview.functions.columns import (
-    columns_of,
+    cell_texts,
     fixed_rows,
     missing,
     numeric_columns,
     one_row,
     ratio,
     rounded,
+    row_digest,
     stripped,
     text_columns,
 )
@@ -46,8 +47,11 @@ def cell(name: str) -> Column:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of every exact repeat; NULLs and NaNs match themselves."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of every exact repeat; NULLs and NaNs match themselves.
+
+    Rows are compared by digest, so 32 bytes a row are shuffled, not the row.
+    """
+    groups = df.groupBy(row_digest(cell_texts(df)).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -83,14 +87,9 @@ def near_duplicates(df: DataFrame, identifiers: Sequence[str] = ()) -> DataFrame
             return c.cast("date").cast("string")
         return c.cast("string")
 
-    def digest(parts: list[Column]) -> Column:
-        # The length prefix keeps NULL, the empty string and shifted cells apart.
-        marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
-        return F.sha2(F.concat_ws("|", *marked), 256)
-
     rows = df.select(
-        digest([kept(f.name, f.dataType) for f in df.schema.fields]).alias("key"),
-        digest([cell(c).cast("string") for c in df.columns]).alias("exact"),
+        row_digest([kept(f.name, f.dataType) for f in df.schema.fields]).alias("key"),
+        row_digest(cell_texts(df)).alias("exact"),
     )
     groups = (
         rows.groupBy("key", "exact")
@@ -130,10 +129,16 @@ def header_conflicts(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     )
 
 
+def _once(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Order id and header fields of every distinct row; the digest stands for the other columns."""
+    fields = dict.fromkeys(mapping[r] for r in ("transaction_id", *HEADER_ROLES) if r in mapping)
+    return df.select(*[cell(c) for c in fields], row_digest(cell_texts(df)).alias("_row")).dropDuplicates()
+
+
 def duplicate_identifiers(df: DataFrame, mapping: Mapping[str, str], grain: str = "LINE_ITEMS") -> DataFrame:
     """Rows affected by repeated order ids; exact repeats are left out first."""
     order = mapping["transaction_id"]
-    rows = df.dropDuplicates()
+    rows = _once(df, mapping)
     if grain == "ORDER_LEVEL":
         groups = rows.where(cell(order).isNotNull()).groupBy(cell(order)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows"))
@@ -144,7 +149,7 @@ def duplicate_identifiers(df: DataFrame, mapping: Mapping[str, str], grain: str
 def rows_in_conflict(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """The rows of the orders whose header fields disagree."""
     order = mapping["transaction_id"]
-    bad = header_conflicts(df.dropDuplicates(), mapping).select(F.col("transaction_id").alias(order))
+    bad = header_conflicts(_once(df, mapping), mapping).select(F.col("transaction_id").alias(order))
     return df.join(bad, order, "left_semi")
 
 

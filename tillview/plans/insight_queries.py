@@ -137,14 +137,15 @@ FROM transactions GROUP BY country""",
     "sql_full_outer_join": """SELECT COUNT(*) AS n, COUNT(a.customer_id) AS l, COUNT(b.customer_id) AS r
 FROM (SELECT customer_id FROM customers WHERE order_count >= 10) a FULL OUTER JOIN (SELECT customer_id FROM customers WHERE total_revenue > 2500000) b ON a.customer_id = b.customer_id""",
     "sql_semi_join": "SELECT COUNT(*) AS n FROM customers c WHERE EXISTS (SELECT 1 FROM transactions t WHERE t.customer_id = c.customer_id AND t.quantity >= 50)",
-    "sql_band_join": """SELECT d.band, COUNT(*) AS lines FROM transactions t JOIN (VALUES ('low', 0, 3), ('mid', 3, 7), ('high', 7, 100)) AS d(band, lo, hi)
-ON t.discount >= d.lo AND t.discount < d.hi GROUP BY d.band""",
+    "sql_band_join": """SELECT d.band, COUNT(*) AS lines, SUM(CAST(t.quantity AS DOUBLE)) AS quantity
+FROM (SELECT CASE WHEN discount < 3 THEN 1 WHEN discount < 7 THEN 2 ELSE 3 END AS k, quantity FROM transactions) t
+JOIN (VALUES (1, 'low'), (2, 'mid'), (3, 'high')) AS d(k, band) ON t.k = d.k GROUP BY d.band""",
 }
-_WINDOWED = """SELECT customer_id, transaction_id, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr,
+# Windows over the months of a year: at most twelve rows each, whatever the size of the tables.
+_WINDOWED = """SELECT y, m, n, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr,
   ROUND(percent_rank() OVER w, 9) AS pr, ROUND(cume_dist() OVER w, 9) AS cd, ntile(3) OVER w AS nt,
-  lag(line_count) OVER w AS lg, lead(line_count) OVER w AS ld, first_value(line_count) OVER w AS fv,
-  last_value(line_count) OVER w AS lv, nth_value(line_count, 2) OVER w AS nv
-FROM {0} WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, transaction_id)"""
+  lag(n) OVER w AS lg, lead(n) OVER w AS ld, first_value(n) OVER w AS fv, last_value(n) OVER w AS lv, nth_value(n, 2) OVER w AS nv
+FROM (SELECT year(order_date) AS y, month(order_date) AS m, COUNT(*) AS n FROM {0} GROUP BY 1, 2) WINDOW w AS (PARTITION BY y ORDER BY n DESC, m)"""
 _FUNCTIONS = """SELECT {0} FROM orders"""
 _SPARK_FUNCTIONS = {
     "starts": "COUNT(*) FILTER (WHERE starts_with(CAST(transaction_id AS STRING), '1'))",
