@@ -202,7 +202,7 @@ def insight_queries():
         "metric_catalog": _metric_rows,
         "metric_series": lambda spark, d: plain(
             metrics.collect_series(relations(spark, d), "run-1").select("metric_name", F.inline("value_series"))
-        ).withColumn("v", rounded("v", 4)),
+        ).withColumn("v", rounded("v", 5)),
         "metric_registry": _registry,
         "metric_latest_by_key": _latest,
         "metric_latest_50": lambda spark, d: plain(
@@ -360,7 +360,7 @@ matched AS (SELECT doc_id, token, kind, claims.number, metric AS matched_metric,
 SQL = {
     "metric_catalog": _CATALOG,
     "metric_series": "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS metric_name, CAST({at} AS VARCHAR) AS t, ROUND(CAST({value} AS DOUBLE), 4) AS v FROM ({TEMPLATE_SQL[template]})"
+        f"SELECT '{name}' AS metric_name, CAST({at} AS VARCHAR) AS t, ROUND(CAST({value} AS DOUBLE), 5) AS v FROM ({TEMPLATE_SQL[template]})"
         for _, template, name, at, value, _ in metrics.SERIES
     ),
     "metric_latest_by_key": "SELECT o_custkey AS metric_key, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS numeric_value FROM orders GROUP BY o_custkey",

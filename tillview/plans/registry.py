@@ -26,7 +26,7 @@ def _template(build: Callable[[Relations], DataFrame], rounding: dict[str, int]
 
 ROUNDED = {
     "disc_revenue_association": {"pearson_discount_revenue": 6},
-    "beh_order_value_deciles": {"median_order_value": 4},
+    "beh_order_value_deciles": {"median_order_value": 5},
 }
 
 
