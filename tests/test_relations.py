@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tillview.functions import dialect
 from tillview.operators import adhoc, metrics, rfm, slices, star, templates
 from tillview.operators.relations import Relations, Unavailable
 from tillview.sources.transactions import from_flat
@@ -233,3 +234,15 @@ def test_latest_metrics(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("b", 1, 5.0)], "metric_key string, created_at int, numeric_value double")
     got = {r["metric_key"]: r["numeric_value"] for r in metrics.latest_by_key(df).collect()}
     assert got == {"a": 20.0, "b": 5.0} and metrics.latest(df, 1).first()["created_at"] == 2
+
+
+def test_kept_relations_give_the_same_rows(spark, golden):
+    kept = Relations(spark, golden.source).keep("orders", "customers", "products", "customer_rfm")
+    for name in ("sales_avg_revenue_per_customer", "cust_top_customers", "beh_order_size_distribution", "prod_pareto"):
+        assert templates.TEMPLATES[name](kept).collect() == templates.TEMPLATES[name](golden).collect(), name
+
+
+def test_date_patterns(spark):
+    assert dialect.date_pattern("%d/%m/%Y at %H:%M") == "dd/MM/yyyy' at 'HH:mm"
+    with pytest.raises(ValueError):
+        dialect.date_pattern("%Q")

@@ -177,6 +177,7 @@ def headline_customers(rel: Relations) -> DataFrame:
 
 def collect_metrics(rel: Relations, run_id: str, catalog_rows: Sequence[Binding] = CATALOG) -> DataFrame:
     """Every metric whose template is available, as one frame."""
+    rel.keep("orders", "customers", "products")
     out = None
     parts = [(b.module, b.template, lambda b=b: bind(templates.TEMPLATES[b.template](rel), b)) for b in catalog_rows]
     parts.append(("CUSTOMERS", "cust_new_vs_returning_monthly", lambda: headline_customers(rel)))

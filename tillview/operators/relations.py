@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillview.functions.columns import fixed_rows
 from tillview.operators import rfm
+from tillview.session import stage
 from tillview.sources.transactions import TransactionSource
 
 
@@ -40,6 +41,7 @@ class Relations:
         self.rfm_min_customers = rfm_min_customers
         self.revenue_is_derived = revenue_is_derived
         self._reference_date = reference_date
+        self._kept: dict[str, DataFrame] = {}
 
     def require(self, *roles: str) -> None:
         lacking = [r for r in roles if not self.source.has(r)]
@@ -121,6 +123,16 @@ class Relations:
 
     # --- grouped relations ------------------------------------------------------------------------
 
+    def keep(self, *names: str) -> Relations:
+        """Write grouped relations once when many queries follow; they are read from there afterwards."""
+        for name in names:
+            if name not in self._kept:
+                try:
+                    self._kept[name] = stage(getattr(self, name)())
+                except Unavailable:
+                    continue
+        return self
+
     def orders(self, *columns: str) -> DataFrame:
         """One row per transaction. ``columns`` narrows the output; the default is all that are mapped."""
         self.require("transaction_id", "revenue")
@@ -135,6 +147,8 @@ class Relations:
             for c in (columns or ["customer_id", "order_date", *made])
             if c != "transaction_id" and self.source.has(made[c][0] if c in made else headers[c])
         ]
+        if "orders" in self._kept:
+            return self._kept["orders"].select("transaction_id", *wanted)
         lookup = self.source.lookup("transaction_id")
         late = [c for c in wanted if c in headers and lookup and headers[c] in lookup.columns]
         early = [c for c in wanted if c in headers and c not in late]
@@ -167,6 +181,8 @@ class Relations:
             "total_quantity": ("quantity", "order_quantity", F.sum),
         }
         wanted = [c for c in (columns or made) if c != "customer_id" and (made[c][0] is None or has(made[c][0]))]
+        if "customers" in self._kept:
+            return self._kept["customers"].select("customer_id", *wanted)
         values = [c for c in wanted if made[c][0]]
         lookup = self.source.lookup("transaction_id")
         if lookup and {"customer_id", "purchase_date"} <= set(lookup.columns):
@@ -197,6 +213,8 @@ class Relations:
             "order_count": ("transaction_id", F.count_distinct),
         }
         wanted = [c for c in (columns or made) if c != "product_key" and self.source.has(made[c][0])]
+        if "products" in self._kept:
+            return self._kept["products"].select("product_key", *wanted)
         lookup = self.source.lookup("product_id")
         if lookup:
             late = [c for c in wanted if c in lookup.columns]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillview.functions.columns import fixed_rows, one_row, pct, ratio, rounded
 from tillview.operators.ordering import ntile_of, quantile_bin_of, ranked
+from tillview.session import stage
 
 # Segment order and labels.
 SPEC_SEGMENTS = ("HIGH_VALUE", "REGULAR", "OCCASIONAL", "AT_RISK")
@@ -52,7 +53,8 @@ def score(base: DataFrame, rules: str = "spec", min_customers: int = 1) -> DataF
     )
     sign = 1 if rules == "spec" else -1
     r = (6 - F.col("r_score")) if rules == "spec" else F.col("r_score")
-    return (
+    # Scores are read by many queries and several times by some, so they are written once.
+    return stage(
         wide.withColumn("recency_days", (F.col("recency_days") * sign).cast("int"))
         .withColumn("r_score", r)
         .withColumn("rfm_score", F.concat(*[F.col(f"{t}_score").cast("string") for t in "rfm"]))

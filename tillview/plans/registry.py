@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillview.functions.columns import rounded
 from tillview.operators import templates
@@ -30,12 +31,19 @@ ROUNDED = {
 }
 
 
+def _thinned(rel: Relations) -> DataFrame:
+    grain, series = templates.thin_series(rel)
+    return series.withColumn("grain", F.lit(grain))
+
+
 def template_queries() -> dict[str, Query]:
     out = {name: _template(f, ROUNDED.get(name)) for name, f in templates.TEMPLATES.items()}
     more: dict[str, Callable[[Relations], DataFrame]] = {
         "revenue_unclassified": templates.revenue_unclassified,
         "location_totals": templates.location_totals,
         "top_n_other_products": lambda r: templates.top_n_other(r.products("total_revenue"), "product_key", "total_revenue"),
+        "pareto_thinned": lambda r: templates.thin_ranks(templates.prod_pareto(r)),
+        "series_thinned": _thinned,
         "rel_transactions": lambda r: r.transactions(),
         "rel_orders": lambda r: r.orders(),
         "rel_customers": lambda r: r.customers(),
