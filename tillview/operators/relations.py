@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillview.functions.columns import fixed_rows
@@ -54,13 +54,30 @@ class Relations:
         self.require(*columns)
         return self.source.select(*columns)
 
+    def per_order(self, *columns: str) -> tuple[DataFrame, Column]:
+        """Lines folded to one row per transaction, where the asked columns allow it, and how orders are counted.
+
+        With headers in a table of their own, customer, date, payment and place have one value per
+        transaction. Revenue and quantity are then summed per transaction before anything is joined, and
+        orders are rows. Otherwise the lines come as they are and orders are distinct ids. Either way sums
+        and distinct counts over any of the columns are the same.
+        """
+        self.require(*columns)
+        sums = [c for c in ("revenue", "quantity") if c in columns]
+        attributes = set(columns) - {"transaction_id", *sums}
+        if not (self.source.lookup("transaction_id") and attributes <= self.source.reached_from("transaction_id")):
+            return self.tx(*columns), F.count_distinct("transaction_id")
+        lines = self.source.lines.select("transaction_id", *sums)
+        folded = lines.groupBy("transaction_id").agg(*[F.sum(c).alias(c) for c in sums]) if sums else lines.distinct()
+        return TransactionSource(folded, self.source.lookups).select(*columns), F.count("transaction_id")
+
     def transactions(self) -> DataFrame:
         return self.source.select(*self.source.columns)
 
     @cached_property
     def bounds(self) -> tuple[dt.date | None, dt.date | None]:
         """First and last purchase date: two values, read once."""
-        row = self.tx("purchase_date").agg(F.min("purchase_date"), F.max("purchase_date")).first()
+        row = self.per_order("purchase_date")[0].agg(F.min("purchase_date"), F.max("purchase_date")).first()
         return row[0], row[1]
 
     @property

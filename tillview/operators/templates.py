@@ -45,24 +45,17 @@ def sales_avg_revenue_per_customer(rel: Relations) -> DataFrame:
     return people.agg(ratio(F.sum("total_revenue"), F.count(F.lit(1))).alias("avg_revenue_per_customer"))
 
 
-def _by_day(rel: Relations) -> DataFrame:
-    """Revenue and orders per purchase date. An order counts once per date it appears on."""
-    cols = ["purchase_date", "revenue"] + (["transaction_id"] if rel.source.has("transaction_id") else [])
-    return rel.tx(*cols)
+def _dated(rel: Relations, label: Column, name: str) -> DataFrame:
+    """Revenue and, where transactions are known, orders per label of the purchase date."""
+    known = rel.source.has("transaction_id")
+    rows, orders = rel.per_order("purchase_date", "revenue", *(["transaction_id"] if known else []))
+    sums = [F.sum("revenue").alias("revenue")] + ([orders.alias("orders")] if known else [])
+    return rows.where(F.col("purchase_date").isNotNull()).groupBy(label.alias(name)).agg(*sums)
 
 
 def _months(rel: Relations, complete_only: bool = True) -> DataFrame:
     """Zero-filled months of the calendar with revenue and distinct orders."""
-    has_orders = rel.source.has("transaction_id")
-    sums = [F.sum("revenue").alias("revenue")]
-    if has_orders:
-        sums.append(F.count_distinct("transaction_id").alias("orders"))
-    monthly = (
-        _by_day(rel)
-        .where(F.col("purchase_date").isNotNull())
-        .groupBy(month_of("purchase_date").alias("month_start"))
-        .agg(*sums)
-    )
+    monthly = _dated(rel, month_of("purchase_date"), "month_start")
     months = rel.calendar().groupBy("month_start").agg(F.bool_and("month_is_complete").alias("is_complete"))
     if complete_only:
         months = months.where("is_complete")
@@ -70,7 +63,7 @@ def _months(rel: Relations, complete_only: bool = True) -> DataFrame:
         "month_start",
         "is_complete",
         F.coalesce("revenue", F.lit(0)).alias("revenue"),
-        *([F.coalesce("orders", F.lit(0)).alias("orders")] if has_orders else []),
+        *([F.coalesce("orders", F.lit(0)).alias("orders")] if ORDERS in monthly.columns else []),
     )
 
 
@@ -107,13 +100,14 @@ def sales_growth_latest_period(rel: Relations) -> DataFrame:
 
 
 def cust_total_customers(rel: Relations) -> DataFrame:
-    return rel.tx("customer_id").agg(F.count_distinct("customer_id").alias("total_customers"))
+    rows, _ = rel.per_order("customer_id")
+    return rows.agg(F.count_distinct("customer_id").alias("total_customers"))
 
 
 def _customer_months(rel: Relations) -> DataFrame:
     """Distinct (customer, month) pairs with the customer's first month."""
     pairs = (
-        rel.tx("customer_id", "purchase_date")
+        rel.per_order("customer_id", "purchase_date")[0]
         .where(F.col("customer_id").isNotNull() & F.col("purchase_date").isNotNull())
         .select("customer_id", month_of("purchase_date").alias("month"))
         .distinct()
@@ -218,7 +212,10 @@ def _product_total(rel: Relations) -> Column:
     ids = [c for c in ("product_id", "product_name") if rel.source.has(c)]
     if rel.source.lookup("product_id"):
         ids = ["product_id"]
-    known = rel.tx(*ids, "revenue").where(F.coalesce(*[F.col(c).cast("string") for c in ids]).isNotNull())
+    some = F.lit(False)
+    for c in ids:
+        some = some | F.col(c).isNotNull()
+    known = rel.tx(*ids, "revenue").where(some)
     return one_row(known.agg(F.sum("revenue").alias("r")), "r")
 
 
@@ -280,14 +277,17 @@ def _mapped(rel: Relations, *names: str) -> dict[str, tuple]:
 def _breakdown(rel: Relations, keys: list[str], *figures: str) -> DataFrame:
     """Group the lines that have every key; ``revenue_share`` is of the lines kept."""
     extra = _mapped(rel, *figures)
-    known = rel.tx(*dict.fromkeys([*keys, "revenue", *[role for role, _ in extra.values()]]))
+    known, orders = rel.per_order(*dict.fromkeys([*keys, "revenue", *[role for role, _ in extra.values()]]))
     # One shape for the table and its total, so both read the same shuffle.
     for key in keys:
         known = known.where(F.col(key).isNotNull())
     total = one_row(known.agg(F.sum("revenue").alias("r")), "r")
     return (
         known.groupBy(*keys)
-        .agg(F.sum("revenue").alias("revenue"), *[agg().alias(name) for name, (_, agg) in extra.items()])
+        .agg(
+            F.sum("revenue").alias("revenue"),
+            *[(orders if name == ORDERS else agg()).alias(name) for name, (_, agg) in extra.items()],
+        )
         .withColumn("revenue_share", ratio("revenue", total))
         .orderBy(F.desc("revenue"), *keys)
     )
@@ -320,16 +320,13 @@ def _calendar_series(rel: Relations, key: str, keep: str | None = None, flag: st
         "year": F.year("purchase_date"),
         "day_of_week": F.weekday("purchase_date") + 1,
     }[key]
-    extra = _mapped(rel, "orders")
-    sums = _by_day(rel).where(F.col("purchase_date").isNotNull()).groupBy(label.alias(key)).agg(
-        F.sum("revenue").alias("revenue"), *[agg().alias(name) for name, (_, agg) in extra.items()]
-    )
+    sums = _dated(rel, label, key)
     zero = F.lit(0)
     return frame.join(sums, key, "left").select(
         key,
         *(["is_complete"] if flag else []),
         F.coalesce("revenue", zero).alias("revenue"),
-        *[F.coalesce(name, zero).alias(name) for name in extra],
+        *([F.coalesce(ORDERS, zero).alias(ORDERS)] if ORDERS in sums.columns else []),
     ).orderBy(key)
 
 
@@ -379,7 +376,7 @@ def geo_revenue(rel: Relations, *levels: str) -> DataFrame:
 
 def geo_customer_distribution(rel: Relations, level: str = "country") -> DataFrame:
     return (
-        rel.tx(level, "customer_id")
+        rel.per_order(level, "customer_id")[0]
         .where(F.col(level).isNotNull())
         .groupBy(level)
         .agg(F.count_distinct("customer_id").alias("customers"))
@@ -433,13 +430,12 @@ def disc_revenue_association(rel: Relations) -> DataFrame:
 
 
 def pay_summary(rel: Relations) -> DataFrame:
-    known = rel.tx("payment_method", "transaction_id", "revenue").where(
-        F.col("payment_method").isNotNull() & F.col("transaction_id").isNotNull()
-    )
+    rows, orders = rel.per_order("payment_method", "transaction_id", "revenue")
+    known = rows.where(F.col("payment_method").isNotNull() & F.col("transaction_id").isNotNull())
     total = one_row(known.agg(F.sum("revenue").alias("r")), "r")
     return (
         known.groupBy("payment_method")
-        .agg(F.count_distinct("transaction_id").alias("orders"), F.sum("revenue").alias("revenue"))
+        .agg(orders.alias("orders"), F.sum("revenue").alias("revenue"))
         .select(
             "payment_method",
             "orders",
@@ -616,8 +612,10 @@ def location_totals(rel: Relations) -> DataFrame:
         raise Unavailable("A geography column is required.")
     return (
         rel.tx(*levels, "revenue")
+        .groupBy(*levels)  # fold to the finest level before the rows are repeated per level
+        .agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("lines"))
         .rollup(*levels)
-        .agg(F.grouping_id().alias("level"), F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("lines"))
+        .agg(F.grouping_id().alias("level"), F.sum("revenue").alias("revenue"), F.sum("lines").alias("lines"))
         .orderBy(*levels, "level")
     )
 

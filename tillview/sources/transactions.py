@@ -45,6 +45,14 @@ class TransactionSource:
     def lookup(self, key: str) -> Lookup | None:
         return next((lk for lk in self.lookups if lk.key == key), None)
 
+    def reached_from(self, key: str) -> set[str]:
+        """Columns with one value per ``key``: those of its lookup and of the lookups that follow."""
+        known = {key}
+        for lk in self.lookups:
+            if lk.key in known:
+                known |= set(lk.columns)
+        return known - {key}
+
     def select(self, *columns: str) -> DataFrame:
         need, joins = set(columns), []
         for lk in reversed(self.lookups):
