@@ -60,7 +60,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     from tillview.plans import quality_queries, registry
-    from tillview.session import local_session
+    from tillview.session import drop_staged, local_session
 
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.conf.set("spark.sql.shuffle.partitions", os.environ.get("BENCH_CPUS", "8"))
@@ -79,6 +79,7 @@ def main() -> None:
             print(name, times[name], file=sys.stderr, flush=True)
     line = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder).removeprefix("sf")}
     print(json.dumps(line))
+    drop_staged(spark)
     spark.stop()
 
 

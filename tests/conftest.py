@@ -1,8 +1,10 @@
 import pytest
 
-from tillview.session import local_session
+from tillview.session import drop_staged, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tillview-tests")
+    session = local_session(4, "tillview-tests")
+    yield session
+    drop_staged(session)

@@ -1,5 +1,4 @@
 import datetime as dt
-import gzip  # noqa: F401
 from decimal import Decimal
 
 import pytest

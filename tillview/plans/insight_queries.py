@@ -360,6 +360,26 @@ best AS (SELECT number, metric, ROUND({_OFF}, 4) AS delta FROM (SELECT DISTINCT
   QUALIFY ROW_NUMBER() OVER (PARTITION BY number ORDER BY CASE WHEN {_OFF} < 0.05 THEN 0 ELSE 1 END, CASE WHEN {_OFF} < 0.05 THEN 0 ELSE {_OFF} END, position) = 1),
 matched AS (SELECT doc_id, token, kind, claims.number, metric AS matched_metric, delta, metric IS NOT NULL AS is_verified FROM claims LEFT JOIN best ON best.number = claims.number)"""
 
+def _core(key: str, category: str, shown: str, value: str, unit: str, grain: str, frame: str) -> str:
+    return f"SELECT '{key}' AS metric_key, '{category}' AS category, {shown} AS formatted_value, CAST({value} AS DOUBLE) AS numeric_value, '{unit}' AS unit, '{grain}' AS grain FROM ({frame})"
+
+
+_KPI_SQL, _SEG_SQL = ANALYTICS_SQL["kpi_block"], ANALYTICS_SQL["rfm_code_segments"]
+_REGISTRY = "\nUNION ALL ".join(
+    [
+        _core("total_revenue", "REVENUE", "'₹' || format('{:,.2f}', total_revenue)", "total_revenue", "INR", "TOTAL", _KPI_SQL),
+        _core("total_orders", "VOLUME", "format('{:,}', total_orders)", "total_orders", "COUNT", "TOTAL", _KPI_SQL),
+        _core("active_customers", "CUSTOMER", "format('{:,}', total_customers)", "total_customers", "COUNT", "TOTAL", _KPI_SQL),
+        _core("average_order_value", "EFFICIENCY", "'₹' || format('{:,.2f}', average_order_value)", "average_order_value", "INR", "TRANSACTION", _KPI_SQL),
+        _core("quality_score", "QUALITY", "overall_score || '/100'", "overall_score", "SCORE", "DATASET", QUALITY_SQL["dq_profile"]),
+        f"""SELECT 'rfm_rev_' || lower(code), 'SEGMENT', '₹' || format('{{:,.2f}}', total_revenue), total_revenue, 'INR', 'COHORT' FROM ({_SEG_SQL})""",
+    ]
+)
+_RULES = ", ".join(f"('{r}', '{t}', '{m}', '{about or ''}', {least}, {str(a).upper()})" for r, t, m, about, least, a in insights.RULES)
+_RANKED = f"""WITH rules(rule_key, theme, metric_name, about, least, is_association) AS (VALUES {_RULES})
+SELECT rule_key, theme, metric_name, member, value, is_association, DENSE_RANK() OVER (ORDER BY abs(value) DESC) AS impact_rank
+FROM rules JOIN ({_CATALOG}) m USING (metric_name) WHERE about = member AND abs(value) >= least"""
+
 SQL = {
     "metric_catalog": _CATALOG,
     "metric_series": "\nUNION ALL\n".join(
@@ -374,6 +394,8 @@ UNION ALL SELECT 'high_value_revenue', {_HV}""",
     "metric_high_value_join": _CODE + f"SELECT {_HV} AS hv_revenue",
     "claims_in_documents": f"WITH {_claims('SELECT doc_id, text FROM documents')} SELECT * FROM claims",
     "claims_in_statements": using(CUSTOMERS, _claims(_STATEMENTS)) + "SELECT * FROM claims",
+    "metric_registry": _REGISTRY,
+    "insight_ranked": _RANKED,
     "number_pool": _POOL,
     "claims_matched": using(CUSTOMERS, _claims(_STATEMENTS), _MATCHED) + "SELECT * FROM matched",
     "claims_report_documents": f"""WITH {_claims('SELECT doc_id, text FROM documents')}, {_MATCHED}
