@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort
+from tillview.llm import content_sort, host_reputation, pieces, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,27 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with an end id, and decoded again."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page by rule or by the reputation of its host."""
+    return host_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, as read back from them."""
+    manifest = warc.write_pages(spark, _table(spark, sf_dir, "pages"))
+    return warc.by_page(warc.read_archives(manifest))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op6_warc": op6_warc,
 }
 
 SQL: dict[str, str] = {
@@ -30,4 +50,6 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op5_url_filter": host_reputation.SQL,
+    "op6_warc": warc.SQL,
 }
