@@ -1,15 +1,15 @@
 """Exact duplicates by sorting the content.
 
 Texts are equal when they are identical after each run of white space became one space. The normalised
-texts are range-partitioned by sampled splitters on (text, id) and sorted externally, so equal texts are
-neighbours, and a large group of copies spreads over as many partitions as its size asks for. One pass
-compares each text with the one before it, in full. Runs of equal texts that go on in the next partition
+texts are range-partitioned by sampled splitters on (first bytes, digest of all, id), so that a splitter is
+small however long the texts are, and sorted externally. Equal texts are neighbours, and a large group of
+copies spreads over as many partitions as its size asks for. One pass compares each text with the one before
+it, in full. Runs of equal texts that go on in the next partition
 are joined by comparing the two texts at each border; that takes two rows a partition.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,7 @@ _RUNS = (
     "part int, edge int, doc_id long, rank long, keep_id long, group_size long, text_sha256 string, border string"
 )
 _SLICE = 1 << 16
+_HEAD = 48  # characters of a text in a splitter
 
 
 def normalised(text: Column) -> Column:
@@ -38,22 +39,21 @@ def normalised(text: Column) -> Column:
 class _Run:
     """Rows with equal text, in order of their ids; the ids may come in several batches."""
 
-    def __init__(self, text: pa.Scalar, first: bool):
-        self.text, self.first, self.ids = text, first, []
+    def __init__(self, text: pa.Scalar, digest: pa.Scalar, first: bool):
+        self.text, self.digest, self.first, self.ids = text, digest, first, []
 
 
 def _emit(run: _Run, part: int, last: bool) -> Iterator[pa.RecordBatch]:
     ids = pa.concat_arrays(run.ids)
     raw = run.text.as_py()
     edge = 1 if run.first else 2 if last else 0
-    digest = hashlib.sha256(raw.encode()).hexdigest()
     for at in range(0, len(ids), _SLICE):
         some = ids.slice(at, _SLICE)
         n = len(some)
         border = pa.nulls(n, pa.string())
         if at == 0 and (run.first or last):
             border = pa.concat_arrays([pa.array([raw], pa.string()), pa.nulls(n - 1, pa.string())])
-        yield _batch(part, np.full(n, edge), some, np.arange(at, at + n), _same(ids[0], n), np.full(n, len(ids)), _same(pa.scalar(digest), n), border)
+        yield _batch(part, np.full(n, edge), some, np.arange(at, at + n), _same(ids[0], n), np.full(n, len(ids)), _same(run.digest, n), border)
 
 
 def _same(value: pa.Scalar, n: int) -> pa.Array:
@@ -84,7 +84,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        text, ids = batch.column("norm").cast(pa.string()), batch.column("doc_id").cast(pa.int64())
+        text, ids, digest = batch.column("norm"), batch.column("doc_id"), batch.column("text_sha256")
         new = np.ones(n, bool)
         new[1:] = ~pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         if open_run is not None and open_run.text.equals(text[0]):
@@ -99,7 +99,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if open_run is not None:
             yield from _emit(open_run, part, False)
         if first and len(starts) > 1:  # the first run of the partition is an edge
-            run = _Run(text[0], True)
+            run = _Run(text[0], digest[0], True)
             run.ids.append(ids.slice(0, int(starts[1])))
             yield from _emit(run, part, False)
             starts = starts[1:]
@@ -107,8 +107,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(starts) > 1:
             size = np.diff(starts)
             rows = int(starts[-1] - starts[0])
-            which = np.repeat(np.arange(len(size)), size)
-            digests = pa.array([hashlib.sha256(text[int(s)].as_buffer()).hexdigest() for s in starts[:-1]], pa.string())
             heads = pa.array(np.repeat(starts[:-1], size))
             yield _batch(
                 part,
@@ -117,11 +115,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.arange(rows) + starts[0] - np.repeat(starts[:-1], size),
                 ids.take(heads),
                 np.repeat(size, size),
-                digests.take(pa.array(which)),
+                digest.slice(int(starts[0]), rows),
                 pa.nulls(rows, pa.string()),
             )
         at = int(starts[-1])
-        open_run = _Run(text[at], first)
+        open_run = _Run(text[at], digest[at], first)
         open_run.ids.append(ids.slice(at))
     if open_run is not None:
         yield from _emit(open_run, part, True)
@@ -174,7 +172,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col).cast("string")).alias("norm"))
-    order = [F.col("norm").asc(), F.col("doc_id").asc_nulls_last()]
+    rows = rows.withColumn("text_sha256", F.sha2(F.col("norm"), 256))
+    order = [F.substring("norm", 1, _HEAD).asc(), F.col("text_sha256").asc(), F.col("doc_id").asc_nulls_last()]
     runs = stage(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs, _RUNS))
     fixes = spark.createDataFrame(_joined(spark, runs), "part int, edge int, k long, s long, before long")
     at = runs.drop("border").join(F.broadcast(fixes), ["part", "edge"], "left")
