@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort, host_reputation, packing, pieces, warc
+from tillview.llm import content_sort, host_reputation, packing, pieces, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.by_page(warc.read_archives(manifest))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to coded files, as read back from them."""
+    manifest = range_coder.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return range_coder.read_digests(manifest)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
+    "op7_token_files": op7_token_files,
 }
 
 SQL: dict[str, str] = {
