@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort, host_reputation, packing, pieces, range_coder, warc
+from tillview.llm import content_sort, cover_tree, gam, host_reputation, packing, pieces, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_coder.read_digests(manifest)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from the labels that are not held out."""
+    return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return cover_tree.links(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
@@ -55,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
+    "op10_vectors": op10_vectors,
 }
 
 SQL: dict[str, str] = {
@@ -65,4 +77,5 @@ SQL: dict[str, str] = {
         FROM n""",
     "op5_url_filter": host_reputation.SQL,
     "op6_warc": warc.SQL,
+    "op10_vectors": cover_tree.SQL,
 }
