@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort, cover_tree, gam, host_reputation, packing, pieces, range_coder, warc
+from tillview.llm import content_sort, cover_tree, fm_index, gam, host_reputation, packing, pieces, range_coder, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that begin in a document with a smaller id."""
+    return fm_index.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.95."""
     return cover_tree.links(_table(spark, sf_dir, "embeddings"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
     "op10_vectors": op10_vectors,
 }
 
