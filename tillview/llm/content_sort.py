@@ -10,7 +10,8 @@ are joined by comparing the two texts at each border; that takes two rows a part
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,8 @@ from tillview.session import stage
 # One run of white space that is not already a single space.
 _LOOSE = r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}"
 
-_RUNS = (
-    "part int, edge int, doc_id long, rank long, keep_id long, group_size long, text_sha256 string, border string"
-)
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_RUNS = "part int, edge int, doc_id long, rank long, keep_id long, group_size long, text_sha256 string, border string"
 _SLICE = 1 << 16
 _HEAD = 48  # characters of a text in a splitter
 
@@ -39,90 +39,90 @@ def normalised(text: Column) -> Column:
 class _Run:
     """Rows with equal text, in order of their ids; the ids may come in several batches."""
 
-    def __init__(self, text: pa.Scalar, digest: pa.Scalar, first: bool):
-        self.text, self.digest, self.first, self.ids = text, digest, first, []
+    def __init__(self, row: pa.RecordBatch, first: bool):
+        self.row, self.first, self.ids = row, first, []
+        self.digest = row.column("text_sha256")[0]
+        self.text = _normal(row.column("text")[0])
 
 
-def _emit(run: _Run, part: int, last: bool) -> Iterator[pa.RecordBatch]:
-    ids = pa.concat_arrays(run.ids)
-    raw = run.text.as_py()
-    edge = 1 if run.first else 2 if last else 0
-    for at in range(0, len(ids), _SLICE):
-        some = ids.slice(at, _SLICE)
-        n = len(some)
-        border = pa.nulls(n, pa.string())
-        if at == 0 and (run.first or last):
-            border = pa.concat_arrays([pa.array([raw], pa.string()), pa.nulls(n - 1, pa.string())])
-        yield _batch(part, np.full(n, edge), some, np.arange(at, at + n), _same(ids[0], n), np.full(n, len(ids)), _same(run.digest, n), border)
+def _normal(text: pa.Scalar) -> str:
+    return _SPACES.sub(" ", text.as_py() or "")
 
 
-def _same(value: pa.Scalar, n: int) -> pa.Array:
-    return pa.repeat(value, n)
+def _carried(batch: pa.RecordBatch) -> list[pa.Array]:
+    return [batch.column("text"), *batch.columns[4:]]
 
 
-def _batch(part, edge, ids, rank, keep, size, digest, border) -> pa.RecordBatch:
+def _batch(part, edge, ids, rank, keep, size, digest, border, carried) -> pa.RecordBatch:
     n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, part), pa.int32()),
-            pa.array(edge, pa.int32()),
-            ids,
-            pa.array(rank, pa.int64()),
-            keep,
-            pa.array(size, pa.int64()),
-            digest,
-            border,
-        ],
-        names=["part", "edge", "doc_id", "rank", "keep_id", "group_size", "text_sha256", "border"],
-    )
+    arrays = [pa.array(np.full(n, part), pa.int32()), pa.array(edge, pa.int32()), ids, pa.array(rank, pa.int64()), keep, pa.array(size, pa.int64()), digest, border]
+    names = [x.split()[0] for x in _RUNS.split(", ")]
+    return pa.RecordBatch.from_arrays([*arrays, *carried], names=[*names, *(f"c{i}" for i in range(len(carried)))])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of one partition to rows with the size and first id of their run."""
-    part, open_run = TaskContext.get().partitionId(), None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        text, ids, digest = batch.column("norm"), batch.column("doc_id"), batch.column("text_sha256")
-        new = np.ones(n, bool)
-        new[1:] = ~pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        if open_run is not None and open_run.text.equals(text[0]):
-            new[0] = False
-        starts = np.flatnonzero(new)
-        open_to = int(starts[0]) if len(starts) else n
-        if open_run is not None:
-            open_run.ids.append(ids.slice(0, open_to))
-        if not len(starts):
-            continue
-        first = open_run is None
+def _emit(run: _Run, part: int, last: bool, heads_only: bool) -> Iterator[pa.RecordBatch]:
+    """A run at the edge of a partition or over several batches; its first row has the text if it is at an edge."""
+    ids = pa.concat_arrays(run.ids)
+    edge = 1 if run.first else 2 if last else 0
+    for at in range(0, 1 if heads_only else len(ids), _SLICE):
+        some = ids.slice(at, 1 if heads_only else _SLICE)
+        n = len(some)
+        border = pa.array([run.text if at == 0 and edge else None] + [None] * (n - 1), pa.string())
+        carried = _carried(run.row) if heads_only else []
+        yield _batch(part, np.full(n, edge), some, np.arange(at, at + n), pa.repeat(ids[0], n), np.full(n, len(ids)), pa.repeat(run.digest, n), border, carried)
+
+
+def _runs(heads_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows of one partition to rows with the size and first id of their run, or to the first row of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, open_run = TaskContext.get().partitionId(), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids, text, digest = batch.columns[:3]
+            new = np.ones(n, bool)
+            same = pc.equal(digest.slice(1), digest.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(same).tolist():  # the digests agree: compare the texts
+                new[i + 1] = not text[i].equals(text[i + 1]) and _normal(text[i]) != _normal(text[i + 1])
+            if open_run is not None and open_run.digest.equals(digest[0]):
+                new[0] = open_run.text != _normal(text[0])
+            starts = np.flatnonzero(new)
+            if open_run is not None:
+                open_run.ids.append(ids.slice(0, int(starts[0]) if len(starts) else n))
+            if not len(starts):
+                continue
+            first = open_run is None
+            if open_run is not None:
+                yield from _emit(open_run, part, False, heads_only)
+            if first and len(starts) > 1:  # the first run of the partition is at its edge
+                head = _Run(batch.slice(0, 1), True)
+                head.ids.append(ids.slice(0, int(starts[1])))
+                yield from _emit(head, part, False, heads_only)
+                starts, first = starts[1:], False
+            if len(starts) > 1:
+                yield _inner(batch, part, starts, heads_only)
+            at = int(starts[-1])
+            open_run = _Run(batch.slice(at, 1), first)
+            open_run.ids.append(ids.slice(at))
         if open_run is not None:
-            yield from _emit(open_run, part, False)
-        if first and len(starts) > 1:  # the first run of the partition is an edge
-            run = _Run(text[0], digest[0], True)
-            run.ids.append(ids.slice(0, int(starts[1])))
-            yield from _emit(run, part, False)
-            starts = starts[1:]
-            first = False
-        if len(starts) > 1:
-            size = np.diff(starts)
-            rows = int(starts[-1] - starts[0])
-            heads = pa.array(np.repeat(starts[:-1], size))
-            yield _batch(
-                part,
-                np.zeros(rows, np.int32),
-                ids.slice(int(starts[0]), rows),
-                np.arange(rows) + starts[0] - np.repeat(starts[:-1], size),
-                ids.take(heads),
-                np.repeat(size, size),
-                digest.slice(int(starts[0]), rows),
-                pa.nulls(rows, pa.string()),
-            )
-        at = int(starts[-1])
-        open_run = _Run(text[at], digest[at], first)
-        open_run.ids.append(ids.slice(at))
-    if open_run is not None:
-        yield from _emit(open_run, part, True)
+            yield from _emit(open_run, part, True, heads_only)
+
+    return run
+
+
+def _inner(batch: pa.RecordBatch, part: int, starts: np.ndarray, heads_only: bool) -> pa.RecordBatch:
+    """All runs of a batch but the last."""
+    ids, _, digest = batch.columns[:3]
+    size = np.diff(starts)
+    if heads_only:
+        at, n = pa.array(starts[:-1]), len(size)
+        keep = ids.take(at)
+        return _batch(part, np.zeros(n), keep, np.zeros(n), keep, size, digest.take(at), pa.nulls(n, pa.string()), [c.take(at) for c in _carried(batch)])
+    first, n = int(starts[0]), int(starts[-1] - starts[0])
+    heads = np.repeat(starts[:-1], size)
+    return _batch(part, np.zeros(n), ids.slice(first, n), np.arange(n) + first - heads, ids.take(pa.array(heads)), np.repeat(size, size), digest.slice(first, n), pa.nulls(n, pa.string()), [])
 
 
 def _joined(spark, runs: DataFrame) -> list[tuple]:
@@ -162,6 +162,22 @@ def _joined(spark, runs: DataFrame) -> list[tuple]:
     return out
 
 
+def _sorted(df: DataFrame, id_col: str, text_col: str, partitions: int | None, carry: list[str]) -> DataFrame:
+    """doc_id, text, text_sha256, head, c0, c1, ... in order of head, digest and id."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    norm = normalised(F.col("text"))
+    rows = rows.select("doc_id", "text", F.sha2(norm, 256).alias("text_sha256"), F.substring(norm, 1, _HEAD).alias("head"), *[f"c{i}" for i in range(len(carry))])
+    order = [F.col("head").asc(), F.col("text_sha256").asc(), F.col("doc_id").asc_nulls_last()]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def _with_edges(runs: DataFrame) -> DataFrame:
+    spark = runs.sparkSession
+    fixes = spark.createDataFrame(_joined(spark, runs), "part int, edge int, k long, s long, before long")
+    return runs.drop("border").join(F.broadcast(fixes), ["part", "edge"], "left")  # two rows a partition
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -169,19 +185,22 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids come after all others (a group of null ids only has a null keep_id, and one row of it stays). Null
     text counts as empty; an empty table gives an empty result; other columns are not looked at.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col).cast("string")).alias("norm"))
-    rows = rows.withColumn("text_sha256", F.sha2(F.col("norm"), 256))
-    order = [F.substring("norm", 1, _HEAD).asc(), F.col("text_sha256").asc(), F.col("doc_id").asc_nulls_last()]
-    runs = stage(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs, _RUNS))
-    fixes = spark.createDataFrame(_joined(spark, runs), "part int, edge int, k long, s long, before long")
-    at = runs.drop("border").join(F.broadcast(fixes), ["part", "edge"], "left")
-    joined = F.col("s").isNotNull()
-    return at.select(
+    runs = stage(_sorted(df, id_col, text_col, partitions, []).mapInArrow(_runs(False), _RUNS))
+    return _with_edges(runs).select(
         "doc_id",
-        F.when(joined, F.col("k")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("s").isNotNull(), F.col("k")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("s", "group_size").alias("group_size"),
         (F.col("rank") + F.coalesce("before", F.lit(0)) == 0).alias("kept"),
         "text_sha256",
     )
+
+
+def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """The rows that ``exact_groups`` keeps, with all their columns as they were."""
+    carry = [c for c in df.columns if c not in (id_col, text_col)]
+    at = {c: f"c{i + 1}" for i, c in enumerate(carry)} | {id_col: "doc_id", text_col: "c0"}
+    kinds = {c: k.simpleString() for c, k in ((f.name, f.dataType) for f in df.schema.fields)}
+    schema = ", ".join([_RUNS, "c0 string", *(f"{at[c]} {kinds[c]}" for c in carry)])
+    runs = stage(_sorted(df, id_col, text_col, partitions, carry).mapInArrow(_runs(True), schema))
+    kept = _with_edges(runs).where("coalesce(before, 0) = 0")
+    return kept.select(*[F.col(at[c]).cast(kinds[c]).alias(c) for c in df.columns])

@@ -50,8 +50,9 @@ def unpack_planes(raw: bytes) -> np.ndarray:
 
 
 def in_blocks(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
-    """(block, doc_id, text, and ``carry`` as c0, c1, ...), the number of blocks, and the number of rows."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    """(block, doc_id, text, was_null, and ``carry`` as c0, c1, ...), the number of blocks, and the number of rows."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("was_null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "*"), blocks, n
@@ -160,8 +161,7 @@ def common_runs(blocks: DataFrame, n_blocks: int, n: int, short: bool = False) -
 
     ``short``: a text of fewer than ``n`` words has one run of all its words; else it has none.
     """
-    rows = blocks.select("block", "doc_id", "text", *[c for c in blocks.columns if c not in ("block", "doc_id", "text")])
-    sent = rows.groupBy("block").applyInArrow(_sent(n, short, n_blocks * BUCKETS), "bucket int, block int, keys binary, counts binary")
+    sent = blocks.groupBy("block").applyInArrow(_sent(n, short, n_blocks * BUCKETS), "bucket int, block int, keys binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(_added, "block int, keys binary, counts binary")
 
 

@@ -262,6 +262,7 @@ def _kept(n: int, shards: int, carry: list[tuple[str, pa.DataType]]) -> Callable
                         have[-1] = (have[-1][0], at + i + n)
                     else:
                         have.append((at + i, at + i + n))
+        empty = docs.column("was_null").to_pylist()
         rows: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "spans", "text", "kept_sha256")}
         for low, high, words in parts(docs, n):
             data = words.data.tobytes()
@@ -277,7 +278,7 @@ def _kept(n: int, shards: int, carry: list[tuple[str, pa.DataType]]) -> Callable
                 rows["n_words"].append(total)
                 rows["n_removed"].append(total - len(left))
                 rows["spans"].append([{"first": x, "words": y - x} for x, y in gone])
-                rows["text"].append((joined if gone else raw).decode())
+                rows["text"].append(None if empty[low + t] else (joined if gone else raw).decode())
                 rows["kept_sha256"].append(hashlib.sha256(joined).hexdigest())
         kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "spans": span, "text": pa.string(), "kept_sha256": pa.string()}
         return pa.Table.from_arrays([docs.column("doc_id"), *(pa.array(v, kinds[k]) for k, v in rows.items()), *(docs.column(c) for c, _ in carry)], names=["doc_id", *rows, *(c for c, _ in carry)])
@@ -285,7 +286,7 @@ def _kept(n: int, shards: int, carry: list[tuple[str, pa.DataType]]) -> Callable
     return run
 
 
-def repeats(df: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def repeats(df: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), renamed: bool = True) -> DataFrame:
     """One row per document without the passages that a document with a smaller id holds too.
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. A window
@@ -311,4 +312,4 @@ def repeats(df: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: st
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,words:int>>, text string, kept_sha256 string"
     schema += "".join(f", {c} {kinds[c]}" for c, _ in extra)
     out = by_block().cogroup(both.groupBy("block")).applyInArrow(_kept(n, shards, extra), schema)
-    return out.withColumnsRenamed({a: f"{b}" for a, b in extra}) if extra else out
+    return out.withColumnsRenamed(dict(extra)) if extra and renamed else out

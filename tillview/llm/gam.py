@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillview.llm.words import groups_of, run_hashes, runs_inside, text_bytes, word_hashes, word_spans
-from tillview.session import stage
 
 MEASURES = (
     "log_words", "word_bytes", "short_words", "long_words", "distinct_words", "repeated_words", "distinct_runs",
@@ -100,19 +99,27 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.float64)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        for low, high in groups_of(offsets, _CHUNK):
-            own = offsets[low : high + 1]
-            found = measures(data[own[0] : own[-1]], own - own[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(c) for c in found.T)], names=["doc_id", *MEASURES])
+def _rows_of(text: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and measures of the texts of a batch, some megabytes at a time."""
+    data, offsets = text_bytes(text)
+    for low, high in groups_of(offsets, _CHUNK):
+        own = offsets[low : high + 1]
+        yield low, measures(data[own[0] : own[-1]], own - own[0])
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and one column for each of MEASURES; null text counts as empty, which has 0 in all but the ratios of nothing."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} double" for m in MEASURES))
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: str | None = None) -> DataFrame:
+    """doc_id and one column for each of MEASURES (and the column ``also``, a number); null text counts as empty."""
+    extra = [F.col(also).cast("long").alias("also")] if also else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, x in _rows_of(batch.column(1)):
+                more = [c.slice(low, len(x)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(x)), *(pa.array(c) for c in x.T), *more], names=["doc_id", *MEASURES, *(["also"] if also else [])])
+
+    out = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} double" for m in MEASURES) + (", also long" if also else ""))
+    return out.withColumnRenamed("also", also) if also else out
 
 
 @dataclass
@@ -228,36 +235,52 @@ def held_out(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_ROWS) -> Model:
-    """Fit on at most ``most`` labelled rows that are not held out, those first in the order of a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_ROWS) -> Model:
+    """Fit on at most ``most`` labels that are not held out, those first in the order of a hash of their id.
 
-    Rows with a null id or label are left out; of an id labelled twice, either label counts as a row of its own.
+    Rows with a null id or label are left out; of an id labelled twice, either label counts as a row of its own, and
+    a labelled id without a document counts for nothing.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    rows = features.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "y", *MEASURES)
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *MEASURES).limit(most).toPandas()
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
+    some = marks.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(some), F.col("id") == F.col("doc_id")).select("doc_id", "text", "y")  # at most ``most`` rows
+    got = measure(rows, also="y").orderBy("doc_id", "y", *MEASURES).toPandas()
     return fit(got[list(MEASURES)].to_numpy(np.float64).reshape(-1, len(MEASURES)), got["y"].to_numpy(np.float64))
 
 
-def score(features: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of measures."""
-    tables = features.sparkSession.sparkContext.broadcast(model)  # its size is fixed by bins and pairs
+def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row."""
+    tables = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by bins and pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(m).to_numpy() for m in MEASURES], axis=1)
-            found = tables.value.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for low, x in _rows_of(batch.column(1)):
+                found = tables.value.score(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(x)), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = features.select("doc_id", *MEASURES).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows that score ``threshold`` or more, with all their columns."""
+    tables = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, x in _rows_of(batch.column(at)):
+                yield batch.slice(low, len(x)).filter(pa.array(tables.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST_ROWS) -> DataFrame:
     """Score every document: doc_id, held_out, score, predicted.
 
     Measures come from the text alone. Null text counts as empty; null ids are scored too and are not held out;
     repeated rows are scored each; an empty table gives an empty result; other columns are not looked at.
     """
-    features = stage(measure(docs))
-    return score(features, train(features, labels, most=most), threshold)
+    return score(docs, train(docs, labels, most=most), threshold)

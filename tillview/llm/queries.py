@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_vectors": op10_vectors,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
