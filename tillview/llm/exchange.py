@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tillview.llm.words import groups_of, run_hashes, runs_inside, text_bytes, word_hashes, word_spans
 
-BLOCK_BYTES = 24 << 20
-BUCKETS = 4  # for each block
+BLOCK_BYTES = 8 << 20
+BUCKETS = 1  # for each block
 CHUNK = 4 << 20
 _BITS = 56
 

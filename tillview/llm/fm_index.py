@@ -16,15 +16,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillview.llm.exchange import common_runs, counts_of, in_blocks, ordered, pack_planes, parts, received, unpack_planes
+from tillview.llm.exchange import common_runs, counts_of, in_blocks, ordered, pack_planes, pack_sorted, parts, received, unpack_planes, unpack_sorted
 from tillview.llm.words import run_hashes
 
 WINDOW = 13
 _GRAM = 3
 SHARDS = 2  # for each block
+_LONGEST = 64  # windows in a stretch; a longer one goes on as another
 
 
 class Bits:
@@ -111,17 +113,17 @@ class FMIndex:
         klass = self.classes(n)
         edge = np.flatnonzero(np.append(True, klass[1:] != klass[:-1])) if self.size else np.empty(0, np.int64)
         edge = np.append(edge, self.size)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        size = np.array([len(texts[i]) for i in order], np.int64)
-        width = int(size.max(initial=0))
-        grid = np.zeros((len(order), width), np.int64)  # right-aligned
-        for row, i in enumerate(order):
-            grid[row, width - len(texts[i]) :] = texts[i]
-        length, where = np.zeros((len(order), width), np.int64), np.zeros((len(order), width), np.int64)
-        low, high, have = np.zeros(len(order), np.int64), np.full(len(order), self.size), np.zeros(len(order), np.int64)
-        for j in range(width - 1, -1, -1):
-            k = int(np.searchsorted(-size, -(width - j), "right"))  # texts that reach this far to the left
-            lo, hi = self.extend(grid[:k, j], low[:k], high[:k])
+        size = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([*texts, np.empty(0, np.int64)])
+        ends = np.cumsum(size)
+        by = np.argsort(-size, kind="stable")
+        ends_by, size_by = ends[by], size[by]
+        length, where = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        low, high, have = np.zeros(len(texts), np.int64), np.full(len(texts), self.size), np.zeros(len(texts), np.int64)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            k = int(np.searchsorted(-size_by, -step, "right"))  # texts that reach this far to the left
+            at = ends_by[:k] - step
+            lo, hi = self.extend(flat[at], low[:k], high[:k])
             have[:k] += 1
             lost = np.flatnonzero(lo >= hi)
             while len(lost):  # the longest shorter pattern that still matches
@@ -131,17 +133,14 @@ class FMIndex:
                 lost = lost[have[lost] > 0]
                 for m in np.unique(have[lost]).tolist():
                     some = lost[have[lost] == m]
-                    lo[some], hi[some] = self.search(grid[some, j : j + m])
+                    lo[some], hi[some] = self.search(flat[at[some][:, None] + np.arange(m)])
                 lost = lost[lo[lost] >= hi[lost]]
             full = np.flatnonzero(have[:k] > n - 1)
             have[full] = n  # only the first n symbols count: widen to their class
             lo[full], hi[full] = edge[klass[lo[full]]], edge[klass[lo[full]] + 1]
             low[:k], high[:k] = lo, hi
-            length[:k, j], where[:k, j] = have[:k], lo
-        out: list[tuple[np.ndarray, np.ndarray]] = [None] * len(texts)  # type: ignore[list-item]
-        for row, i in enumerate(order):
-            out[i] = length[row, width - len(texts[i]) :], where[row, width - len(texts[i]) :]
-        return out
+            length[at], where[at] = have[:k], lo
+        return [(length[e - m : e], where[e - m : e]) for e, m in zip(ends.tolist(), size.tolist())]
 
 
 def _minimisers(words: np.ndarray, n: int) -> np.ndarray:
@@ -175,6 +174,8 @@ class _Stretches:
             shard = (_minimisers(words.words, n)[at] % np.uint64(shards)).astype(np.int64)
             new = np.append(True, (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (shard[1:] != shard[:-1]))
             begin = np.flatnonzero(new)
+            place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+            begin = np.flatnonzero(place % _LONGEST == 0)
             size = np.diff(np.append(begin, len(at)))
             data = words.data.tobytes()
             first, last = at[begin], at[begin] + size + n - 2
@@ -192,16 +193,24 @@ class _Stretches:
                 self.places.append((low + t, f - int(words.first[t]), m, number))
 
 
+def _lines(texts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
+
+
 def _sent(n: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names, kinds = ["shard", "block", "number", "least", "words"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names, kinds = ["shard", "block", "numbers", "least", "words"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows or not told.num_rows:
-            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        block = docs.column("block")[0].as_py()
-        found = _Stretches(ordered(docs), received(told)[0], n, shards)
-        m = len(found.least)
-        columns = [found.shard, [block] * m, list(range(m)), found.least, list(found.texts)]
+        rows: list[tuple] = []
+        if docs.num_rows and told.num_rows:
+            block = docs.column("block")[0].as_py()
+            found = _Stretches(ordered(docs), received(told)[0], n, shards)
+            texts, least, shard = list(found.texts), np.array(found.least, np.int64), np.array(found.shard, np.int64)
+            by = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])) if len(by) else []
+            for own in np.split(by, cut[1:]) if len(by) else []:
+                rows.append((int(shard[own[0]]), block, pack_sorted(own), pack_planes(least[own].view(np.uint64)), _lines([texts[i] for i in own.tolist()])))
+        columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
@@ -209,11 +218,16 @@ def _sent(n: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _searched(n: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        codes = table.column("words").combine_chunks().dictionary_encode()
-        which = codes.indices.to_numpy()
-        texts = codes.dictionary.to_pylist()
+        number: dict[bytes, int] = {}
+        which, least_of = [], []
+        for raw, least in zip(table.column("words").to_pylist(), table.column("least").to_pylist()):
+            lines = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+            which.append([number.setdefault(t, len(number)) for t in lines])
+            least_of.append(unpack_planes(least).view(np.int64))
+        texts = list(number)
         least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, table.column("least").to_numpy())
+        for w, x in zip(which, least_of):
+            np.minimum.at(least, w, x)
         # Words to numbers, by their bytes: every word with the space behind it.
         data = b"".join(t + b" " for t in texts)
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
@@ -221,22 +235,21 @@ def _searched(n: int) -> Callable[[pa.Table], pa.Table]:
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(data)])
         symbols = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
         size = np.diff(np.append(0, np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]), "right")))
-        own = np.split(symbols, np.cumsum(size)[:-1])
         flat = np.zeros(int(size.sum()) + len(texts), np.int64)
-        at = np.arange(len(symbols)) + np.repeat(np.arange(len(texts)), size)
-        flat[at] = symbols
+        flat[np.arange(len(symbols)) + np.repeat(np.arange(len(texts)), size)] = symbols
         index = FMIndex(flat, n)
         text_of = np.repeat(np.arange(len(texts)), size + 1)
         klass = index.classes(n)
         first = np.full(int(klass.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, klass, least[text_of[index.suffix]])
         answers = []
-        for length, row in index.statistics(own, n):
+        for length, row in index.statistics(np.split(symbols, np.cumsum(size)[:-1]), n):
             m = len(length) - n + 1
             if (length[:m] < n).any():
                 raise ValueError("a text does not match itself")
-            answers.append(pack_planes(first[klass[row[:m]]]))
-        return pa.Table.from_arrays([table.column("block"), table.column("number"), pa.array([answers[i] for i in which], pa.binary())], names=["block", "number", "firsts"])
+            answers.append(first[klass[row[:m]]])
+        told = [pack_planes(np.concatenate([answers[i] for i in w]).view(np.uint64)) for w in which]
+        return pa.Table.from_arrays([table.column("block"), table.column("numbers"), pa.array(told, pa.binary())], names=["block", "numbers", "firsts"])
 
     return run
 
@@ -246,17 +259,21 @@ def _kept(n: int, shards: int, carry: list[tuple[str, pa.DataType]]) -> Callable
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = ordered(docs)
-        is_key = told.column("keys").is_valid()
+        keys = told.filter(told.column("keys").is_valid())
         answers = told.filter(told.column("firsts").is_valid())
-        firsts = dict(zip(answers.column("number").to_pylist(), answers.column("firsts").to_pylist()))
         ids = docs.column("doc_id").to_pylist()
         removed: dict[int, list[tuple[int, int]]] = {}
-        if firsts:
-            opened: dict[int, np.ndarray] = {}
-            for doc, at, m, number in _Stretches(docs, received(told.filter(is_key))[0], n, shards).places:
-                if number not in opened:
-                    opened[number] = unpack_planes(firsts[number]).astype(np.int64)
-                for i in np.flatnonzero(opened[number] < ids[doc]).tolist():
+        if answers.num_rows:
+            places = _Stretches(docs, received(keys)[0], n, shards).places
+            size = np.zeros(1 + max((p[3] for p in places), default=0), np.int64)
+            for _, _, m, number in places:
+                size[number] = m
+            firsts: dict[int, np.ndarray] = {}
+            for numbers, raw in zip(answers.column("numbers").to_pylist(), answers.column("firsts").to_pylist()):
+                own = unpack_sorted(numbers).astype(np.int64)
+                firsts.update(zip(own.tolist(), np.split(unpack_planes(raw).view(np.int64), np.cumsum(size[own])[:-1])))
+            for doc, at, m, number in places:
+                for i in np.flatnonzero(firsts[number] < ids[doc]).tolist():
                     have = removed.setdefault(doc, [])
                     if have and have[-1][1] >= at + i:
                         have[-1] = (have[-1][0], at + i + n)
@@ -303,11 +320,10 @@ def repeats(df: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: st
     extra = [(f"c{i}", c) for i, c in enumerate(carry)]
     told = common_runs(blocks, count, n)
     by_block = lambda: blocks.groupBy("block")
-    sent = by_block().cogroup(told.groupBy("block")).applyInArrow(_sent(n, shards), "shard int, block int, number int, least long, words binary")
-    found = sent.groupBy("shard").applyInArrow(_searched(n), "block int, number int, firsts binary")
-    both = told.select("block", F.lit(None).cast("int").alias("number"), "keys", "counts", F.lit(None).cast("binary").alias("firsts")).union(
-        found.select("block", "number", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "firsts")
-    )
+    sent = by_block().cogroup(told.groupBy("block")).applyInArrow(_sent(n, shards), "shard int, block int, numbers binary, least binary, words binary")
+    found = sent.groupBy("shard").applyInArrow(_searched(n), "block int, numbers binary, firsts binary")
+    none = F.lit(None).cast("binary")
+    both = told.select("block", "keys", "counts", none.alias("numbers"), none.alias("firsts")).union(found.select("block", none.alias("keys"), none.alias("counts"), "numbers", "firsts"))
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,words:int>>, text string, kept_sha256 string"
     schema += "".join(f", {c} {kinds[c]}" for c, _ in extra)

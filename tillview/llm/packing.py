@@ -146,12 +146,13 @@ def _best_fit(left: np.ndarray, groups: list, capacity: int) -> list:
                 lengths, there = room[r].pop()
                 free[r] = bool(room[r])
             else:
-                lengths, there = (), many
-            used = min(many, there)
-            if there > used:
-                put(lengths, there - used)
-            put((*lengths, length), used)
-            many -= used
+                r, lengths, there = capacity, (), many
+            each = min(r // length, many)  # the next of a length has least room where the last one went
+            full = min(there, many // each)
+            put((*lengths, *[length] * each), full)
+            if lengths and there > full:
+                put(lengths, there - full)
+            many -= full * each
         left[length] = 0
     return [g for r in sorted(room) for g in room[r]]
 

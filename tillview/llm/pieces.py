@@ -132,8 +132,9 @@ class Codec:
             at += size
         flat = b"".join(out)
         start = np.repeat(np.array([s for s, _ in origin], np.int64), [len(x) for x in out]) if out else np.empty(0, np.int64)
-        start = np.append(start, len(raw))
+        start, lead = np.append(start, len(raw)), 0
         if self.squeeze:
+            lead = next((s for x, (s, _) in zip(out, origin) if x != b" "), len(raw))
             data = np.frombuffer(flat, np.uint8)
             keep = np.ones(len(data), bool)
             space = data == 32
@@ -147,19 +148,22 @@ class Codec:
                 keep[:] = False
                 end = len(raw)
             flat, start = data[keep].tobytes(), np.append(start[:-1][keep], end)
-        return self._marked(flat, start)
+        return self._marked(flat, start, lead)
 
     def _plain(self, raw: bytes) -> tuple[bytes, np.ndarray]:
-        return self._marked(raw, np.arange(len(raw) + 1))
+        return self._marked(raw, np.arange(len(raw) + 1), 0)
 
-    def _marked(self, flat: bytes, start: np.ndarray) -> tuple[bytes, np.ndarray]:
+    def _marked(self, flat: bytes, start: np.ndarray, lead: int) -> tuple[bytes, np.ndarray]:
         mark = _MARK.encode() if self.escape else b" "
         if self.escape:
             size = np.where(np.frombuffer(flat, np.uint8) == 32, len(mark), 1)
             start = np.append(np.repeat(start[:-1], size), start[-1])
             flat = flat.replace(b" ", mark)
-        if self.prefix and flat and not self.suffix:
-            flat, start = mark + flat, np.append(np.full(len(mark), start[0]), start)
+        if self.prefix and (flat or start[-1] and not self.squeeze) and not self.suffix:
+            flat, start = mark + flat, np.append(np.full(len(mark), lead), start)
+        if self.squeeze:
+            while flat.endswith(mark):
+                flat, start = flat[: -len(mark)], start[: -len(mark)]
         return flat, start
 
     # encoding
