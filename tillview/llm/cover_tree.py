@@ -318,27 +318,31 @@ def links(df: DataFrame, least: float = 0.95, block: int = BLOCK, id_col: str =
 
     Two vectors link when their cosine, in double precision, is at least ``least``. Vectors that are null, empty or
     zero or hold null or non-finite components link with nothing, and vectors of different length do not link with
-    each other. Rows with the same id are different vectors of the same component. A row with a null id links with
-    nothing and has a null component. An empty table gives an empty result; other columns are not looked at.
+    each other. Rows with the same id are different vectors of the same component (where they link at all). A row
+    with a null id links with nothing and has a null component. An empty table gives an empty result; other columns are not looked at.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
-    points = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    points = stage(points.select("rep", "copies", "embedding"))
+    points = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    points = stage(points.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers stay
     dims = [r.d for r in points.select(F.size("embedding").alias("d")).distinct().collect()]
     found = None
     for d in sorted(dims):
-        own = _linked(points.where(F.size("embedding") == d), least, block)
+        own = _linked(points.where(F.size("embedding") == d).select("rep", "copies", "embedding"), least, block)
         found = own if found is None else found.union(own)
-    spark = df.sparkSession
-    found = stage(spark.createDataFrame([], "rep long, links long, root long") if found is None else found)
+    found = stage(df.sparkSession.createDataFrame([], "rep long, links long, root long") if found is None else found)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = points.join(counts, "rep", "left").join(groups, "rep", "left")
-    known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(known, "embedding", "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    at = stage(rows.join(points.select("embedding", "rep"), "embedding", "left").select("vec_id", "rep"))
+    # An id with several vectors holds their components together.
+    twice = at.where("rep IS NOT NULL").groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    twice = at.join(twice.select("vec_id", "a"), "vec_id").select("a", F.col("rep").alias("b"))
+    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(twice)).withColumnRenamed("node", "rep")
+    known = points.select("rep", "least", "copies").join(groups, "rep", "left").join(counts, "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    names = known.groupBy("group").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "group").select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
+    out = at.join(known, "rep", "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
