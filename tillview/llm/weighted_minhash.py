@@ -8,9 +8,10 @@ the sum of the larger weights, is at least ``least``.
 A document can only be near another when shingles that others hold too carry that share of its weight; the rest is
 settled there. For the others consistent samples are drawn (a shingle and a level of its weight, equal for
 two documents with probability equal to their similarity) and grouped to bands; documents that share a band are
-compared. In a group of documents with one band nobody is compared with everybody: all are compared with one pivot,
-and one minus the similarity is a metric, so only those go on with a further pivot that the distances to this one do
-not decide. Classes are connected components of the links.
+compared as far as the classes, the connected components of the links, depend on it. All of a group are compared
+with its first document; then, as long as a group holds several components, some members outside its largest one
+are compared with the members of all others, and are done with in this group. Members of one component are never
+compared with each other, so a group of thousands of near copies takes about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tillview.session import stage
 
 WORDS, LEAST, STRENGTH = 5, 0.8, 0.25
 BANDS, ROWS = 16, 3
-_EPS = 1e-9
+_EPS = 1e-9  # for rounding, where a sum decides what is left out
 _LEVELS = 1 << 16
 
 
@@ -138,31 +139,43 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pivot"), pa.array(out, pa.float64())], names=["doc_id", "pivot", "similarity"])
 
 
-def _links(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) of near documents: enough links to connect all that are near and share a band."""
+def _similar(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (doc_id, pivot) that are near, staged as edges (a, b)."""
+    theirs = vectors.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("pivot_keys"), F.col("weights").alias("pivot_weights"))
+    both = pairs.join(vectors, "doc_id").join(theirs, "pivot")
+    seen = both.mapInArrow(_compared, "doc_id long, pivot long, similarity double")
+    return stage(seen.where(F.col("similarity") >= least).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+
+
+def _classes(sets: DataFrame, least: float) -> DataFrame:
+    """(node, component) for documents near another one that shares a band with them."""
     vectors = sets.select("doc_id", "keys", "weights")
     groups = sets.select("doc_id", F.explode("bands").alias("band")).distinct()
-    # Only bands that two documents or more share; counted before they are told to their members.
-    size = groups.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot"))
-    active = stage(groups.join(size.where("n > 1").drop("n"), "band"))
-    reach = 1 - least
-    links = None
-    while not active.isEmpty():
-        pairs = active.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-        theirs = vectors.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("pivot_keys"), F.col("weights").alias("pivot_weights"))
-        both = pairs.join(vectors, "doc_id").join(theirs, "pivot")
-        seen = stage(both.mapInArrow(_compared, "doc_id long, pivot long, similarity double"))
-        near = seen.where(F.col("similarity") >= least).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        links = near if links is None else links.union(near)
-        # Who is not decided: those away from the pivot, and those near it that may be near one of them.
-        at = active.where("doc_id <> pivot").join(seen, ["doc_id", "pivot"]).select("band", "doc_id", (1 - F.col("similarity")).alias("away"))
-        away = at.where(F.col("away") > reach + _EPS)
-        least_away = away.groupBy("band").agg(F.min("away").alias("from_pivot"), F.min("doc_id").alias("pivot"))
-        rest = at.join(least_away, "band").where((F.col("away") > reach + _EPS) | (F.col("away") >= F.col("from_pivot") - reach - _EPS))
-        rest = rest.select("band", "doc_id", "pivot")
-        more = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        active = stage(rest.join(more, "band", "left_semi"))
-    return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
+    shared = groups.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").drop("n")
+    open_ = stage(groups.join(shared, "band").where("doc_id <> pivot"))
+    found = components(_similar(open_.select("doc_id", "pivot").distinct(), vectors, least))
+    open_, pivots = open_.select("band", "doc_id"), 4
+    while True:
+        # A group is settled once its members, less those compared with all others, are of one component.
+        found = stage(found)
+        at = open_.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+        sizes = at.groupBy("band", "part").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        main = main.where("n > most").select("band", "main", (F.col("n") - F.col("most")).alias("strays"))
+        at = stage(at.join(main, "band"))
+        if at.isEmpty():
+            return found
+        # Members outside the largest component of their group: some of them meet all other components.
+        strays = at.where("part <> main")
+        first = strays.groupBy("band").agg(F.min("doc_id").alias("first"))
+        chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.col("strays")) < pivots))
+        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part")))
+        pairs = at.select("band", "doc_id", "part").join(chosen, "band").where("part <> pivot_part")
+        pairs = pairs.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
+        near = _similar(pairs, vectors, least)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near))
+        open_ = stage(at.select("band", "doc_id").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
+        pivots *= 2
 
 
 def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strength: float = STRENGTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +190,7 @@ def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strengt
     schema = "doc_id long, keys binary, weights binary, bands array<long>"
     found = _candidates(n, least, strength, bands, rows, documents)
     sets = stage(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(found, schema))
-    classes = components(_links(sets, least)).withColumnRenamed("node", "doc_id")
+    classes = _classes(sets, least).withColumnRenamed("node", "doc_id")
     ids = df.select(F.col(id_col).cast("long").alias("doc_id"))
     per_id = ids.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).join(classes, "doc_id", "left")
     per_id = per_id.withColumn("class_id", F.coalesce("component", "doc_id")).drop("component")
