@@ -165,9 +165,34 @@ def test_near_duplicates_and_conflicts(spark):
 
 def test_unicode_variants(spark):
     df = spark.createDataFrame([("Straße",), ("STRASSE",), ("STRASSE",), ("ﬁt",), ("FIT",)], "c string")
-    got = {r["variant"]: r["dominant"] for r in quality.category_variants(df, ["c"], unicode_exact=True).collect()}
+    got = {r["variant"]: r["dominant"] for r in quality.category_variants(df, ["c"]).collect()}
     assert got == {"Straße": "STRASSE", "STRASSE": "STRASSE", "ﬁt": "FIT", "FIT": "FIT"}
-    assert quality.category_variants(df, ["c"]).where("variant <> dominant").isEmpty()
+
+
+def test_symbols_tell_categories_apart(spark):
+    df = spark.createDataFrame([("A+",), ("A",), ("A",), ("C#",), ("C",), ("a.",), ("Ａ",)], "c string")
+    got = {r["variant"]: r["dominant"] for r in quality.category_variants(df, ["c"]).collect()}
+    assert got == {"A+": "A+", "A": "A", "C#": "C", "C": "C", "a.": "A", "Ａ": "A"}  # a number sign is punctuation
+    rows = spark.createDataFrame([("Straße", 1.0), ("STRASSE", 1.001), ("A+", 2.0), ("A", 2.0)], "c string, x double")
+    assert quality.near_duplicates(rows).first().asDict() == {"near_duplicate_groups": 1, "near_duplicate_rows": 2}
+
+
+def test_fractions_and_returns(spark):
+    mapping = {"quantity": "q", "revenue": "r"}
+    df = spark.createDataFrame([(1.5, 3.0), (0.0, 0.0)] + [(-1.0, -float(i)) for i in range(1, 30)] + [(2.0, -50.0)], "q double, r double")
+    rules = lambda **k: {x["rule"]: x["violations"] for x in quality.validity_rules(df, mapping, dt.date(2024, 1, 1), **k).collect()}
+    assert rules()["VAL-QTY"] == 1 and rules(whole_quantity=True)["VAL-QTY"] == 2
+    report = {x["column"]: x["domain_count"] for x in quality.outlier_report(df, ["q", "r"], mapping).collect()}
+    assert report["r"] == 1
+    assert quality.few_distinct(df, ["q", "r"], 4) == {"q"}
+    assert quality.few_distinct(df, ["q", "r"], 3) == set()
+
+
+def test_all_columns_with_gaps_are_looked_at(spark):
+    df = spark.range(3).selectExpr(*[f"nullif(id, {i % 3}) AS c{i:02d}" for i in range(25)])
+    assert quality.co_missing(df).count() == 625
+    assert quality.co_missing(df, most=20).count() == 400
+    assert all(len(r["mask"].split(",")) in (8, 9) for r in quality.missing_masks(df).collect())
 
 
 def test_weighted_score_and_rules(spark):

@@ -202,6 +202,8 @@ def test_adhoc_sql(spark, golden):
         with pytest.raises(ValueError):
             adhoc.query(spark, text)
     flat = spark.createDataFrame([("1", 5.0)], "order_id string, total_amount double")
+    for text in ("WITH x AS (SELECT 1 AS a) SELECT a FROM x", "-- comment\nSELECT 1", "/* c */ (SELECT 1) UNION SELECT 2", "VALUES (1)", "FROM customers SELECT customer_id", "SELECT (SELECT max(total_revenue) FROM customers) AS m"):
+        adhoc.query(spark, text).collect()
     assert adhoc.expose(flat).columns == ["order_id", "total_amount", "transaction_id", "revenue"]
     assert one(adhoc.query(spark, "SELECT sum(revenue) AS r FROM sales"))["r"] == 5.0
 
@@ -246,3 +248,41 @@ def test_date_patterns(spark):
     assert dialect.date_pattern("%d/%m/%Y at %H:%M") == "dd/MM/yyyy' at 'HH:mm"
     with pytest.raises(ValueError):
         dialect.date_pattern("%Q")
+
+
+def test_no_statement_gets_through_the_query_door(spark, golden, tmp_path):
+    adhoc.session_over(golden)
+    into = str(tmp_path / "out")
+    refused = [
+        f"WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '{into}' USING parquet SELECT * FROM x",
+        f"FROM customers INSERT OVERWRITE DIRECTORY '{into}' USING csv SELECT customer_id",
+        f"-- a comment\n/* more */ INSERT OVERWRITE DIRECTORY '{into}' USING parquet SELECT 1",
+        f"CREATE TABLE t USING parquet LOCATION '{into}' AS SELECT 1 AS a",
+        "CREATE OR REPLACE TEMP VIEW v AS SELECT 1", "DROP VIEW customers", "SET x = 1", "USE default", "SHOW TABLES", "DESCRIBE customers",
+        "CACHE TABLE customers", "EXPLAIN SELECT 1", "SELECT 1; DROP VIEW customers", "BEGIN SELECT 1; END", "", " ; ", "DELETE FROM customers", "REFRESH TABLE customers",
+    ]
+    for text in refused:
+        with pytest.raises(ValueError):
+            adhoc.query(spark, text)
+    assert not (tmp_path / "out").exists() and spark.table("customers").count() == 2
+
+
+def test_series_keep_their_last_day(spark, golden):
+    rows = {r["metric_name"]: r for r in metrics.collect_series(golden, "r").collect()}
+    for r in rows.values():
+        assert [p["position"] for p in r["value_series"]] == list(range(1, len(r["value_series"]) + 1))
+    daily = rows["revenue_daily"]
+    total = sum(p["v"] for p in daily["value_series"])
+    assert daily["grain"] == "DAY" and daily["value_series"][-1]["t"] == str(golden.bounds[1])
+    for points, grain in ((20, "WEEK"), (3, "MONTH")):
+        coarse = {r["metric_name"]: r for r in metrics.collect_series(golden, "r", points).collect()}["revenue_daily"]
+        assert coarse["grain"] == grain and sum(p["v"] for p in coarse["value_series"]) == total
+
+
+def test_frequency_without_revenue(spark):
+    from tillview.sources.transactions import from_flat
+
+    df = spark.createDataFrame([("o1", "a"), ("o2", "a"), ("o3", "b")], "o string, c string")
+    rel = Relations(spark, from_flat(df, {"transaction_id": "o", "customer_id": "c"}))
+    got = templates.beh_purchase_frequency(rel)
+    assert "revenue" not in got.columns and sorted(r["customers"] for r in got.collect()) == [1, 1]

@@ -13,6 +13,13 @@ from tillview.functions import dialect
 from tillview.operators.relations import Relations
 
 DEFAULT_ROWS = 500
+# What a parsed query is made of; anything else writes, changes or describes something.
+NODES = set(
+    "Project Filter Aggregate Join LateralJoin AsOfJoin Sort GlobalLimit LocalLimit LimitAll Offset Tail Union Intersect Except Distinct"
+    " Deduplicate SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedInlineTable UnresolvedTableValuedFunction"
+    " UnresolvedTVFAliases UnresolvedWith OneRowRelation LocalRelation Generate Window WithWindowDefinition UnresolvedHaving UnresolvedHint"
+    " Pivot Unpivot Sample Range Expand RepartitionByExpression Repartition UnresolvedQualify UnresolvedOrderBy".split()
+)
 
 
 @dataclass
@@ -34,11 +41,30 @@ def expose(df: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, text: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
-    """The rows of one query with bound parameters; statements that change anything are refused."""
-    first = text.lstrip(" (\n\t").split(None, 1)[0].lower() if text.strip() else ""
-    if first not in ("select", "with", "values", "from"):
+    """The rows of one query with bound parameters; statements that change anything are refused.
+
+    The text is parsed, not run, first: nothing is analysed or executed unless every node of its plan is part of a
+    query, wherever an insert or a command may stand in it.
+    """
+    text = text.strip().rstrip(";")
+    if not text:
         raise ValueError("only queries are accepted")
-    return spark.sql(text.strip().rstrip(";"), args=dict(parameters or {}))
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError(f"this is not a query: {str(e)[:300]}") from None
+    _only_query(plan)
+    return spark.sql(text, args=dict(parameters or {}))
+
+
+def _only_query(plan) -> None:
+    """Refuse a parsed plan unless every node of it is one that a query is made of."""
+    name = plan.getClass().getSimpleName().rstrip("$")
+    if name not in NODES:
+        raise ValueError(f"only queries are accepted, not {name}")
+    children = plan.children()
+    for i in range(children.size()):
+        _only_query(children.apply(i))
 
 
 def run(spark: SparkSession, text: str, parameters: Mapping[str, object] | None = None, rows: int = DEFAULT_ROWS) -> Result:

@@ -115,10 +115,12 @@ CATALOG = (
     Binding("DISCOUNT", "disc_revenue_association", (("discount_revenue_correlation", "pearson_discount_revenue", "score"),)),
     Binding("TIME", "time_mom_growth", (("mom_growth", "mom_growth", "ratio"),), ("month_start",)),
     Binding("TIME", "time_yoy_growth", (("yoy_growth", "yoy_growth", "ratio"),), ("month_start",)),
+    Binding("LOYALTY", "loy_cohort_retention", (("cohort_retention", "retention", "ratio"),), ("cohort_month", "months_since_first")),
     Binding("LOYALTY", "loy_inter_purchase_days", (("avg_days_between_orders", "avg_days_between_orders", "days"),)),
 )
 # Metrics that are one series of points, by template and the time column.
 SERIES = (
+    ("TIME", "time_revenue_daily", "revenue_daily", "date", "revenue", "currency"),
     ("TIME", "time_revenue_monthly", "revenue_monthly", "month_start", "revenue", "currency"),
     ("TIME", "time_revenue_weekly", "revenue_weekly", "week_start", "revenue", "currency"),
     ("TIME", "time_revenue_yearly", "revenue_yearly", "year", "revenue", "currency"),
@@ -127,6 +129,9 @@ SERIES = (
 )
 
 
+GRAIN_OF = {"date": "DAY", "week_start": "WEEK", "month_start": "MONTH", "year": "YEAR", "decile": "DECILE"}
+
+
 def bind(frame: DataFrame, b: Binding) -> DataFrame:
     """One row per metric and member; undefined values and absent columns give no metric."""
     values = F.array(
@@ -191,17 +196,27 @@ def collect_metrics(rel: Relations, run_id: str, catalog_rows: Sequence[Binding]
     return out.withColumn("run_id", F.lit(run_id))
 
 
-def collect_series(rel: Relations, run_id: str) -> DataFrame:
-    """Series metrics: at most 1,000 ordered points each."""
+def collect_series(rel: Relations, run_id: str, points: int = POINTS) -> DataFrame:
+    """Series metrics: their points in order of the typed axis, with position and grain.
+
+    A daily series of more than ``points`` days is summed by week or month instead, first and last days included; the
+    others have a point for each week, month, year or decile. Nothing is cut.
+    """
     out = None
     for module, template, name, at, value, unit in SERIES:
         try:
-            frame = templates.TEMPLATES[template](rel)
+            grain, frame = GRAIN_OF[at], templates.TEMPLATES[template](rel)
+            if at == "date":
+                days = (rel.bounds[1] - rel.bounds[0]).days + 1 if rel.bounds[0] else 0
+                grain = "DAY" if days <= points else "WEEK" if days // 7 + 2 <= points else "MONTH"
+                if grain != "DAY":
+                    frame = frame.groupBy(F.trunc(at, grain.lower()).alias(at)).agg(F.sum(value).alias(value))
         except Unavailable:
             continue
-        points = frame.orderBy(at).limit(POINTS).select(F.col(at).cast("string").alias("t"), F.col(value).cast("decimal(38,10)").alias("v"))
-        row = points.agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("value_series")).select(
-            F.lit(module).alias("module"), F.lit(template).alias("template"), F.lit(name).alias("metric_name"), "value_series", F.lit(unit).alias("unit")
+        typed = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).cast("decimal(38,10)").alias("v"))))
+        series = F.transform(typed, lambda p, i: F.struct((i + 1).cast("bigint").alias("position"), p["at"].cast("string").alias("t"), p["v"].alias("v")))
+        row = frame.agg(series.alias("value_series")).select(
+            F.lit(module).alias("module"), F.lit(template).alias("template"), F.lit(name).alias("metric_name"), F.lit(grain).alias("grain"), "value_series", F.lit(unit).alias("unit")
         )
         out = row if out is None else out.unionByName(row)
     return out.withColumn("run_id", F.lit(run_id))
@@ -267,7 +282,9 @@ def latest_by_key(metrics: DataFrame, key: str = "metric_key", at: str = "create
 
 
 def latest(metrics: DataFrame, rows: int = 50, at: str = "created_at") -> DataFrame:
-    return metrics.orderBy(F.desc(at)).limit(rows)
+    """The newest records; of equally new ones those first in the order of their other columns."""
+    rest = [c for c, kind in metrics.dtypes if c != at and not kind.startswith("map")]
+    return metrics.orderBy(F.desc(at), *rest).limit(rows)
 
 
 def evidence(flat: DataFrame, scored: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:

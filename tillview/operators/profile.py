@@ -24,17 +24,21 @@ PII_NAME = (
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 PHONE = r"^\+?(?:[ \-]*\d){7,15}$"
 PERSON = r"^\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"
+# Written forms of national identity and tax numbers.
+GOVERNMENT_ID = r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4}|[A-Z]{5}[0-9]{4}[A-Z])$"
+MANY = 100
 PREVIEW_ROWS = 1000
 
 
 def samples(df: DataFrame, k: int = 3) -> DataFrame:
-    """Each column with its type and ``k`` of its non-null values as text, the first ones read."""
+    """Each column with its type and ``k`` of its non-null values as text, those least by digest: any order of rows gives the same."""
     out = None
     for i, (c, kind) in enumerate(df.dtypes, 1):
         value = F.col(f"`{c}`")
-        found = df.where(value.isNotNull()).select(value.cast("string").alias("v")).limit(k)
+        text = value.cast("string")
+        found = df.where(text.isNotNull()).select(text.alias("v")).orderBy(F.sha2("v", 256), "v").limit(k)
         row = found.agg(
-            F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(kind).alias("type"), F.collect_list("v").alias("samples")
+            F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(kind).alias("type"), F.sort_array(F.collect_list("v")).alias("samples")
         )
         out = row if out is None else out.unionByName(row)
     return out
@@ -127,39 +131,46 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def column_top_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Up to 20 most frequent values of the text columns, leaving out values over 100 characters."""
+    """Up to 20 most frequent values of up to 100 characters of the text columns.
+
+    Longer values are not listed, but shares are of all values, and ``longer_rows`` counts them.
+    """
     columns = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     short = df.select(*[F.when(F.length(F.col(f"`{c}`")) <= 100, F.col(f"`{c}`")).alias(c) for c in columns])
-    return top_values(short, columns, 20)
+    sizes = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col(f"`{c}`")).alias("values"), F.count_if(F.length(F.col(f"`{c}`")) > 100).alias("longer_rows")) for c in columns]).alias("c"))
+    sizes = sizes.select(F.inline("c"))
+    top = top_values(short, columns, 20).join(F.broadcast(sizes), "column")  # one row a column
+    share = rounded(ratio("count", "values") * 100, 2)
+    return top.withColumn("percentage", share).drop("values")
 
 
 def pii_suspicion(df: DataFrame) -> DataFrame:
-    """Columns whose name or values look personal, with the shares behind the verdict."""
+    """Columns whose name or values look personal, with the shares behind the verdict.
+
+    Two capitalized words alone do not make names of persons (``Home Decor``): the column must also have more than
+    ``MANY`` distinct values, or more than half as many as it has values. Distinct values are counted for such columns only.
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     share = lambda c, pattern: F.coalesce(F.avg(F.col(f"`{c}`").rlike(pattern).cast("int")), F.lit(0.0))
+    shapes = {"email_share": EMAIL, "phone_share": PHONE, "id_share": GOVERNMENT_ID, "person_share": PERSON}
     entries = [
         F.struct(
             F.lit(c).alias("column"),
             F.lit(bool(re.search(PII_NAME, c.lower()))).alias("by_name"),
-            (share(c, EMAIL) if c in texts else F.lit(0.0)).alias("email_share"),
-            (share(c, PHONE) if c in texts else F.lit(0.0)).alias("phone_share"),
-            (share(c, PERSON) if c in texts else F.lit(0.0)).alias("person_share"),
+            *[(share(c, p) if c in texts else F.lit(0.0)).alias(n) for n, p in shapes.items()],
+            F.count(F.col(f"`{c}`")).alias("values"),
         )
         for c in df.columns
     ]
     found = df.agg(F.array(*entries).alias("c")).select(F.inline("c"))
-    verdict = (
-        F.col("by_name")
-        | (F.col("email_share") >= 0.3)
-        | (F.col("phone_share") >= 0.3)
-        | (F.col("person_share") >= 0.8)
-    )
-    return found.select(
-        "column",
-        "by_name",
-        *[rounded(c, 6).alias(c) for c in ("email_share", "phone_share", "person_share")],
-        verdict.alias("is_pii_suspected"),
-    )
+    rows = found.collect()  # one row a column
+    asked = [r["column"] for r in rows if r["person_share"] >= 0.8]
+    distinct = {r["column"]: r["unique_count"] for r in distinct_counts(df, asked).collect()} if asked else {}
+    many = [r["column"] for r in rows if r["column"] in asked and (distinct.get(r["column"], 0) > MANY or 2 * distinct.get(r["column"], 0) > r["values"])]
+    shares = [[r["column"], r["by_name"], *[r[n] for n in shapes], r["column"] in many] for r in rows]
+    table = df.sparkSession.createDataFrame(shares, "column string, by_name boolean, " + ", ".join(f"{n} double" for n in shapes) + ", many_persons boolean")
+    verdict = F.col("by_name") | (F.col("email_share") >= 0.3) | (F.col("phone_share") >= 0.3) | (F.col("id_share") >= 0.3) | F.col("many_persons")
+    return table.select("column", "by_name", *[rounded(c, 6).alias(c) for c in shapes], "many_persons", verdict.alias("is_pii_suspected"))
 
 
 def preview(

@@ -56,8 +56,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def normalized_text(c: Column) -> Column:
-    """Lower case, without punctuation, white space collapsed."""
-    bare = F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", "")
+    """Lower case, without punctuation (symbols stay: ``A+`` is not ``A``), white space collapsed."""
+    bare = F.regexp_replace(F.lower(c), r"\p{P}", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -72,25 +72,33 @@ def _folded(values: pd.Series) -> pd.Series:
 def near_duplicates(df: DataFrame, identifiers: Sequence[str] = ()) -> DataFrame:
     """Groups of rows equal after normalization that are not all exact repeats.
 
-    Only two hashes per row are shuffled: of the row as it is and of its normalized form.
+    Only two hashes per row are shuffled: of the row as it is and of its normalized form. Lower case is case
+    folding for plain ASCII, so only rows with other characters take the Unicode step.
     """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in identifiers]
 
-    def kept(name: str, kind: T.DataType) -> Column:
+    def kept(name: str, kind: T.DataType, fold: bool) -> Column:
         c = cell(name)
         if name in identifiers:
             return c.cast("string")
         if isinstance(kind, T.StringType):
-            return normalized_text(c)
+            return normalized_text(_folded(c) if fold else c)
         if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
             return F.round(c, 2).cast("string")
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             return c.cast("date").cast("string")
         return c.cast("string")
 
-    rows = df.select(
-        row_digest([kept(f.name, f.dataType) for f in df.schema.fields]).alias("key"),
-        row_digest(cell_texts(df)).alias("exact"),
-    )
+    def digests(part: DataFrame, fold: bool) -> DataFrame:
+        key = row_digest([kept(f.name, f.dataType, fold) for f in df.schema.fields])
+        return part.select(key.alias("key"), row_digest(cell_texts(df)).alias("exact"))
+
+    beyond = F.lit(False)
+    for c in texts:
+        beyond = beyond | F.coalesce(cell(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    rows = digests(df.where(~beyond), False)
+    if texts:
+        rows = rows.union(digests(df.where(beyond), True))
     groups = (
         rows.groupBy("key", "exact")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -278,11 +286,11 @@ def basic_issues(df: DataFrame) -> DataFrame:
     def missing_issue(e: Column) -> Column:
         share = rounded(ratio(e["value"], F.col("total_rows")) * 100, 1)
         severity = F.when(share > 10, "HIGH").when(share > 2, "MEDIUM").otherwise("LOW")
-        action = F.when(F.array_contains(numbers, e["key"]), "Impute median/mode").otherwise("Tagged as UNKNOWN")
+        action = F.when(F.array_contains(numbers, e["key"]), "Median is filled in by cleaning").otherwise("Label UNKNOWN is set by cleaning")
         return issue("MISSING_VALUES", severity, e["key"], e["value"], action)
 
     def padded_issue(e: Column) -> Column:
-        return issue("WHITESPACE_INCONSISTENCY", F.lit("LOW"), e["key"], e["value"], F.lit("Trim whitespace"))
+        return issue("WHITESPACE_INCONSISTENCY", F.lit("LOW"), e["key"], e["value"], F.lit("Outer blanks are cut by cleaning"))
 
     outlying = F.transform(
         F.filter(
@@ -299,7 +307,7 @@ def basic_issues(df: DataFrame) -> DataFrame:
                 F.lit("HIGH"),
                 F.lit("[ALL_COLUMNS]"),
                 F.col("repeats"),
-                F.lit("Deduplicated in v2 pipeline"),
+                F.lit("One copy is kept by cleaning"),
             )
         ),
     )
@@ -311,7 +319,7 @@ def basic_issues(df: DataFrame) -> DataFrame:
                 F.lit("INFO"),
                 F.array_join(F.slice(outlying, 1, 3), ", "),
                 _sum_of("outliers"),
-                F.lit("Flagged in EDA; preserved in raw data"),
+                F.lit("Reported only; values stay"),
             )
         ),
     )
@@ -381,10 +389,10 @@ def mixed_format_cells(df: DataFrame, date_columns: Sequence[str], numeric: Sequ
     )
 
 
-def category_variants(df: DataFrame, columns: Sequence[str], unicode_exact: bool = False) -> DataFrame:
+def category_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every spelling of a category with its group key, count and the dominant spelling of the group.
 
-    Values are counted first, so normalization (and the Unicode step when asked) sees each spelling once.
+    Values are counted first, so normalization (NFKC and case folding included) sees each spelling once.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("variant")) for c in columns])
     counts = (
@@ -393,8 +401,7 @@ def category_variants(df: DataFrame, columns: Sequence[str], unicode_exact: bool
         .groupBy("c.column", "c.variant")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    text = _folded(F.col("variant")) if unicode_exact else F.col("variant")
-    counts = counts.withColumn("key", normalized_text(text))
+    counts = counts.withColumn("key", normalized_text(_folded(F.col("variant"))))
     # Most frequent first, then the lexicographically smallest.
     best = counts.groupBy("column", "key").agg(
         F.min_by("variant", F.struct(-F.col("rows"), F.col("variant"))).alias("dominant")
@@ -449,6 +456,11 @@ def consistency_parts(
     return out.where("base > 0")
 
 
+def _integral(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType
+    return isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0
+
+
 def discount_kind(df: DataFrame, column: str) -> str:
     """RATIO, PERCENT, AMOUNT or FLAG from the values and the column name."""
     x = cell(column).cast("double")
@@ -472,16 +484,22 @@ def discount_kind(df: DataFrame, column: str) -> str:
 
 
 def validity_rules(
-    df: DataFrame, mapping: Mapping[str, str], as_of: dt.date, kind: str | None = None
+    df: DataFrame, mapping: Mapping[str, str], as_of: dt.date, kind: str | None = None, whole_quantity: bool | None = None
 ) -> DataFrame:
-    """One row per applicable rule: weight, violating rows and rows the rule could be checked on."""
+    """One row per applicable rule: weight, violating rows and rows the rule could be checked on.
+
+    Fractions of a quantity break a rule only where the column is integral: by its type, or as told.
+    """
     at = {r: cell(c) for r, c in mapping.items()}
     rules = []
     if "price" in at:
         rules.append(("VAL-PRICE-NEG", 3, [at["price"]], at["price"] < 0))
     if "quantity" in at:
         q = at["quantity"].cast("double")
-        rules.append(("VAL-QTY", 2, [at["quantity"]], (q == 0) | (q != F.floor(q))))
+        bad = q == 0
+        if whole_quantity if whole_quantity is not None else _integral(df, mapping["quantity"]):
+            bad = bad | (q != F.floor(q))
+        rules.append(("VAL-QTY", 2, [at["quantity"]], bad))
     if {"revenue", "quantity"} <= set(at):
         r, q = at["revenue"], at["quantity"]
         rules.append(("VAL-REV-SIGN", 3, [r, q], ((r < 0) & (q >= 0)) | ((r > 0) & (q < 0))))
@@ -589,16 +607,16 @@ def missingness(df: DataFrame, low: float = 5, moderate: float = 20, high: float
     )
 
 
-def _gappy(df: DataFrame, most: int = 20) -> list[str]:
-    """At most ``most`` columns with missing cells, most missing first."""
+def _gappy(df: DataFrame, most: int | None) -> list[str]:
+    """Columns with missing cells, most missing first; only the first ``most`` where that is given."""
     row = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
     ranked_cols = sorted((-row[f"m{i}"], i) for i in range(len(df.columns)) if row[f"m{i}"])
     return [df.columns[i] for _, i in ranked_cols[:most]]
 
 
-def co_missing(df: DataFrame) -> DataFrame:
-    """P(A and B missing) / P(A missing) for every ordered pair of columns with gaps."""
-    cols = _gappy(df)
+def co_missing(df: DataFrame, most: int | None = None) -> DataFrame:
+    """P(A and B missing) / P(A missing) for every ordered pair of columns with gaps, or of the ``most`` with most gaps."""
+    cols = _gappy(df, most)
     if not cols:
         return fixed_rows(df.sparkSession, [], "a string, b string, share double")
     cells = [
@@ -610,12 +628,12 @@ def co_missing(df: DataFrame) -> DataFrame:
         for a in cols
         for b in cols
     ]
-    return df.agg(F.array(*cells).alias("c")).select(F.inline("c")).withColumn("share", rounded("share", 6))
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c")).withColumn("share", rounded("share", 6)).orderBy("a", "b")
 
 
-def missing_masks(df: DataFrame, k: int = 10) -> DataFrame:
-    """The most frequent combinations of columns that are missing together."""
-    cols = _gappy(df)
+def missing_masks(df: DataFrame, k: int = 10, most: int | None = None) -> DataFrame:
+    """The most frequent combinations of columns that are missing together, of all or of the ``most`` with most gaps."""
+    cols = _gappy(df, most)
     if not cols:
         return fixed_rows(df.sparkSession, [], "mask string, rows bigint")
     mask = F.concat_ws(",", *[F.when(missing(df, c), F.lit(c)) for c in sorted(cols)])
@@ -641,14 +659,13 @@ def outlier_report(df: DataFrame, columns: Sequence[str], mapping: Mapping[str,
     aggs = []
     for i, c in enumerate(columns):
         x = number(c)
-        # Whether more than 12 distinct values exist is all that is asked of the distinct count.
         aggs += [
             F.avg(x).alias(f"mean{i}"),
             F.stddev_samp(x).alias(f"std{i}"),
             adjusted_skewness(x).alias(f"skew{i}"),
-            F.approx_count_distinct(x).alias(f"d{i}"),
         ]
     row = df.agg(*aggs).first()
+    few = few_distinct(df, columns, 12)
     limits: dict[str, tuple] = {}
     for i, c in enumerate(columns):
         n, skew, std = cut[c]["n"], row[f"skew{i}"], row[f"std{i}"]
@@ -656,7 +673,7 @@ def outlier_report(df: DataFrame, columns: Sequence[str], mapping: Mapping[str,
             limits[c] = ("too_few_values", None, None)
         elif cut[c]["min"] == cut[c]["max"]:
             limits[c] = ("constant", None, None)
-        elif row[f"d{i}"] <= 40 and _distinct_upto(df, c, 13) <= 12:
+        elif c in few:
             limits[c] = ("discrete", None, None)
         elif n >= 30 and skew is not None and abs(skew) < 1:
             limits[c] = ("ZSCORE", row[f"mean{i}"] - 3.0 * std, row[f"mean{i}"] + 3.0 * std)
@@ -669,7 +686,10 @@ def outlier_report(df: DataFrame, columns: Sequence[str], mapping: Mapping[str,
         d_lo, d_hi = DOMAIN_LIMITS.get(role_of.get(c), (None, None))
         beyond = F.lit(False)
         if d_lo is not None:
-            beyond = beyond | (x < d_lo)
+            below = x < d_lo
+            if role_of.get(c) in ("price", "revenue") and "quantity" in (mapping or {}):  # a return explains it
+                below = below & ~F.coalesce(number(mapping["quantity"]) < 0, F.lit(False))
+            beyond = beyond | below
         if d_hi is not None:
             beyond = beyond | (x > d_hi)
         entries.append(
@@ -686,8 +706,24 @@ def outlier_report(df: DataFrame, columns: Sequence[str], mapping: Mapping[str,
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
 
-def _distinct_upto(df: DataFrame, column: str, most: int) -> int:
-    return df.select(number(column).alias("v")).where("v IS NOT NULL").distinct().limit(most).count()
+def few_distinct(df: DataFrame, columns: Sequence[str], most: int) -> set[str]:
+    """Columns with at most ``most`` distinct numbers, exactly. A task hands on no more than ``most`` + 1 of a column."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        seen = [pa.array([], pa.float64()) for _ in columns]
+        for batch in batches:
+            for i, have in enumerate(seen):
+                if len(have) <= most:
+                    seen[i] = pc.unique(pa.concat_arrays([have, batch.column(i).drop_null()]))[: most + 1]
+        for i, have in enumerate(seen):
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(i, pa.int32()), len(have)), have], names=["i", "v"])
+
+    values = df.select(*[number(c).cast("double").alias(f"n{i}") for i, c in enumerate(columns)])
+    found = values.mapInArrow(run, "i int, v double").distinct().groupBy("i").count().collect()
+    many = {r["i"] for r in found if r["count"] > most}
+    return {c for i, c in enumerate(columns) if i not in many}
 
 
 def extreme_rows(df: DataFrame, column: str, order: Sequence[str], k: float = 1.5, rows: int = 100) -> DataFrame:

@@ -202,7 +202,7 @@ class Relations:
             return self._kept["customers"].select("customer_id", *wanted)
         values = [c for c in wanted if made[c][0]]
         lookup = self.source.lookup("transaction_id")
-        if lookup and {"customer_id", "purchase_date"} <= set(lookup.columns):
+        if lookup and has("revenue") and {"customer_id", "purchase_date"} <= set(lookup.columns):
             # Every order has one customer and one date: fold the lines to orders first.
             lines = self.orders("customer_id", *dict.fromkeys(made[c][1] for c in values))
             aggs, count = [made[c][2](made[c][1]).alias(c) for c in values], F.count(F.lit(1))

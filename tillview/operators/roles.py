@@ -344,7 +344,7 @@ def derived_settings(df: DataFrame, mapping: Mapping[str, str]) -> dict[str, str
     return out
 
 
-# Roles each module needs; alternatives are separated by a bar.
+# Roles each module needs; any one of a tuple will do. Orders exist only where revenue is mapped.
 MODULES = {
     "SALES": (("revenue",),),
     "ORDERS": (("transaction_id",), ("revenue",)),
@@ -356,7 +356,7 @@ MODULES = {
     "PAYMENT": (("payment_method",),),
     "GEOGRAPHY": (("country", "state", "city"),),
     "TIME": (("purchase_date",), ("revenue",)),
-    "LOYALTY": (("customer_id",), ("purchase_date",), ("transaction_id",)),
+    "LOYALTY": (("customer_id",), ("purchase_date",), ("transaction_id",), ("revenue",)),
 }
 
 

@@ -486,14 +486,12 @@ def beh_order_value_deciles(rel: Relations) -> DataFrame:
 
 
 def beh_purchase_frequency(rel: Relations) -> DataFrame:
+    """Customers by number of orders; their revenue too where revenue is mapped."""
+    people = rel.customers("order_count", "total_revenue")
+    revenue = [F.sum("total_revenue").alias("revenue")] if "total_revenue" in people.columns else []
     return (
-        rel.customers("order_count", "total_revenue")
-        .groupBy(_top_coded("order_count", 5).alias("orders_per_customer"))
-        .agg(
-            F.min("order_count").alias("sort_key"),
-            F.count(F.lit(1)).alias("customers"),
-            F.sum("total_revenue").alias("revenue"),
-        )
+        people.groupBy(_top_coded("order_count", 5).alias("orders_per_customer"))
+        .agg(F.min("order_count").alias("sort_key"), F.count(F.lit(1)).alias("customers"), *revenue)
         .orderBy("sort_key")
     )
 

@@ -204,7 +204,7 @@ def insight_queries():
     return {
         "metric_catalog": _metric_rows,
         "metric_series": lambda spark, d: plain(
-            metrics.collect_series(relations(spark, d), "run-1").select("metric_name", F.inline("value_series"))
+            metrics.collect_series(relations(spark, d), "run-1").select("metric_name", "grain", F.inline("value_series"))
         ).withColumn("v", rounded("v", 5)),
         "metric_registry": _registry,
         "metric_latest_by_key": _latest,
@@ -380,12 +380,18 @@ _RANKED = f"""WITH rules(rule_key, theme, metric_name, about, least, is_associat
 SELECT rule_key, theme, metric_name, member, value, is_association, DENSE_RANK() OVER (ORDER BY abs(value) DESC) AS impact_rank
 FROM rules JOIN ({_CATALOG}) m USING (metric_name) WHERE about = member AND abs(value) >= least"""
 
+def _points(module: str, template: str, name: str, at: str, value: str, unit: str) -> str:
+    frame, grain = TEMPLATE_SQL[template], f"'{metrics.GRAIN_OF[at]}'"
+    if at == "date":  # by week or month where there are more days than points
+        frame = f"""SELECT grain, CAST(CASE grain WHEN 'DAY' THEN d WHEN 'WEEK' THEN date_trunc('week', d) ELSE date_trunc('month', d) END AS DATE) AS date, SUM(revenue) AS revenue
+  FROM (SELECT CAST(date AS DATE) AS d, CAST(revenue AS DECIMAL(38,10)) AS revenue, CASE WHEN COUNT(*) OVER () <= {metrics.POINTS} THEN 'DAY' WHEN COUNT(*) OVER () // 7 + 2 <= {metrics.POINTS} THEN 'WEEK' ELSE 'MONTH' END AS grain FROM ({frame})) GROUP BY 1, 2"""
+        grain = "grain"
+    return f"SELECT '{name}' AS metric_name, {grain} AS grain, ROW_NUMBER() OVER (ORDER BY {at}) AS position, CAST({at} AS VARCHAR) AS t, ROUND(CAST({value} AS DOUBLE), 5) AS v FROM ({frame})"
+
+
 SQL = {
     "metric_catalog": _CATALOG,
-    "metric_series": "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS metric_name, CAST({at} AS VARCHAR) AS t, ROUND(CAST({value} AS DOUBLE), 5) AS v FROM ({TEMPLATE_SQL[template]})"
-        for _, template, name, at, value, _ in metrics.SERIES
-    ),
+    "metric_series": "\nUNION ALL\n".join(_points(*s) for s in metrics.SERIES),
     "metric_latest_by_key": "SELECT o_custkey AS metric_key, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS numeric_value FROM orders GROUP BY o_custkey",
     "metric_latest_50": "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "metric_evidence": _CODE + f"""SELECT 'total_revenue' AS metric_key, {_K.format('total_revenue')} AS raw_value

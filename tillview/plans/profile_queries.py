@@ -30,15 +30,28 @@ def _role_map(df):
     return roles.mapping_table(df.sparkSession, roles.assign(roles.role_figures(typed, kinds, AS_OF), kinds))
 
 
+def _exact(df):
+    """Fractions as decimals: their text is the same wherever it is made."""
+    return df.select(*[F.col(f.name).cast("decimal(18,4)").alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+def _near_distinct(df):
+    """The exact count of every column and whether the sketch is within a tenth of it."""
+    sketch = profile.approximate_distinct(df)
+    rows = sketch.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("about")) for c in df.columns])))
+    both = rows.join(profile.distinct_counts(df), "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    return both.select("column", "unique_count", (F.abs(F.col("about") - F.col("unique_count")) <= F.col("unique_count") * 0.1).alias("within"))
+
+
 def profile_queries():
     return {
         "profile_dataset": _q(profile.dataset_profile),
         "profile_columns": _q(profile.column_profile),
         "profile_distinct": _q(profile.distinct_counts),
-        "profile_top_values": _q(lambda df: profile.column_top_values(df, ["category", "payment_method", "product_name"])),
-        "profile_samples": _q(lambda df: profile.samples(df).drop("samples")),
+        "profile_top_values": _q(profile.column_top_values),
+        "profile_samples": _q(lambda df: profile.samples(_exact(df)).withColumn("samples", F.array_join("samples", "|"))),
         "profile_pii": _q(profile.pii_suspicion),
-        "profile_approximate_distinct": _q(lambda df: profile.approximate_distinct(df.select("customer_id", "product_id"))),
+        "profile_approximate_distinct": _q(_near_distinct),
         "preview_page": _q(
             lambda df: profile.preview(
                 df,
@@ -91,8 +104,21 @@ def _column(i: int, c: str) -> str:
 
 def _top(c: str) -> str:
     return f"""SELECT '{c}' AS "column", ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS position, {c} AS value, COUNT(*) AS count,
-  ROUND(CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) * 100, 2) AS percentage
-FROM raw WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY position <= 20"""
+  ROUND(CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) * 100, 2) AS percentage,
+  CAST(0 AS BIGINT) AS longer_rows
+FROM raw WHERE length({c}) <= 100 GROUP BY {c} QUALIFY position <= 20"""
+
+
+def _samples(i: int, c: str) -> str:
+    kind = "string" if c in TEXTS else "bigint" if c in ("quantity", "customer_rating") else "decimal(18,4)"
+    text = {"string": c, "bigint": f"CAST(CAST({c} AS BIGINT) AS VARCHAR)"}.get(kind, f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)")
+    return f"""SELECT CAST({i} AS BIGINT) AS ordinal, '{c}' AS "column", '{kind}' AS type, (SELECT string_agg(v, '|' ORDER BY v) FROM (
+  SELECT {text} AS v FROM raw WHERE {c} IS NOT NULL ORDER BY sha256({text}), 1 LIMIT 3)) AS samples"""
+
+
+def _pad(with_: int) -> str:
+    """The key of the package secret, padded to a block and combined byte by byte, in hex."""
+    return bytes(b ^ with_ for b in b"package-secret".ljust(64, b"\0")).hex()
 
 
 def _share(c: str, pattern: str) -> str:
@@ -102,7 +128,8 @@ def _share(c: str, pattern: str) -> str:
 def _pii(c: str) -> str:
     by_name = str(bool(re.search(profile.PII_NAME, c))).upper()
     return f"""SELECT '{c}' AS "column", {by_name} AS by_name, {_share(c, profile.EMAIL)} AS email_share, {_share(c, profile.PHONE)} AS phone_share,
-  {_share(c, profile.PERSON)} AS person_share FROM raw"""
+  {_share(c, profile.GOVERNMENT_ID)} AS id_share, {_share(c, profile.PERSON)} AS person_share,
+  {_share(c, profile.PERSON)} >= 0.8 AND (COUNT(DISTINCT {c}) > {profile.MANY} OR 2 * COUNT(DISTINCT {c}) > COUNT({c})) AS many_persons FROM raw"""
 
 
 def _check(name: str, role: str, value: str, limit: float, ok: str) -> str:
@@ -124,8 +151,12 @@ SQL = {
   ROUND(CAST({' + '.join(f'(COUNT(*) - COUNT({c}))' for c in COLUMNS)} AS DOUBLE) / (COUNT(*) * {len(COLUMNS)}) * 100, 4) AS missing_pct FROM raw""",
     "profile_columns": _union(_column(i, c) for i, c in enumerate(COLUMNS, 1)).replace(" AS ordinal", "::BIGINT AS ordinal"),
     "profile_distinct": _union(f"""SELECT '{c}' AS "column", COUNT(DISTINCT {c}) AS unique_count FROM raw""" for c in COLUMNS),
-    "profile_top_values": _union(_top(c) for c in ("category", "payment_method", "product_name")),
-    "profile_pii": f"""{_R} SELECT *, by_name OR email_share >= 0.3 OR phone_share >= 0.3 OR person_share >= 0.8 AS is_pii_suspected
+    "profile_top_values": _union(_top(c) for c in TEXTS),
+    "profile_samples": _union(_samples(i, c) for i, c in enumerate(COLUMNS, 1)),
+    "profile_approximate_distinct": _union(f"""SELECT '{c}' AS "column", COUNT(DISTINCT {c}) AS unique_count, COUNT(DISTINCT {c}) >= 0 AS within FROM raw""" for c in COLUMNS),
+    "protect_hash": f"""{_R} SELECT 'sha256:' || substr(sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(customer_id)))), 1, 16) AS customer_id
+FROM (SELECT DISTINCT customer_id FROM raw)""",
+    "profile_pii": f"""{_R} SELECT *, by_name OR email_share >= 0.3 OR phone_share >= 0.3 OR id_share >= 0.3 OR many_persons AS is_pii_suspected
 FROM ({' UNION ALL '.join(_pii(c) for c in COLUMNS)})""",
     "preview_page": f"""{_R} SELECT order_id, product_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw
 WHERE region = 'ASIA' AND product_name LIKE '%ring%' ORDER BY raw.total_amount DESC, {', '.join(f'raw.{c}' for c in COLUMNS if c != 'total_amount')} LIMIT 50 OFFSET 50""",

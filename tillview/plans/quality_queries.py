@@ -175,7 +175,7 @@ FROM (SELECT COUNT(*) FILTER (WHERE {c} IS NULL) AS n, ROUND(CAST(COUNT(*) FILTE
 _CONFLICT = """conflicts AS (SELECT order_id AS transaction_id, COUNT(*) AS lines FROM {0} GROUP BY order_id
   HAVING COALESCE(MIN(customer_id) <> MAX(customer_id), FALSE) OR COALESCE(MIN(order_date) <> MAX(order_date), FALSE)
       OR COALESCE(MIN(payment_method) <> MAX(payment_method), FALSE) OR (COUNT(payment_method) > 0 AND COUNT(payment_method) < COUNT(*)))"""
-_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '\\p{{P}}', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 def _variants(columns) -> str:
@@ -189,7 +189,7 @@ def _variants(columns) -> str:
 _SHAPED = ("unit_price", "quantity", "discount_pct", "total_amount")
 _FORMAT_BASE = " + ".join(f"COUNT({c})" for c in _SHAPED)
 _PARTS = f"""parts AS (
-  SELECT 'format' AS part, 2 AS weight, CAST(0 AS BIGINT) AS affected, COUNT(order_date) + {_FORMAT_BASE} AS base FROM raw
+  SELECT 'format' AS part, 2 AS weight, CAST(SUM(n) - MAX(n) AS BIGINT) AS affected, CAST(SUM(n) + ANY_VALUE(more) AS BIGINT) AS base FROM (SELECT COUNT(order_date) AS n FROM raw WHERE order_date IS NOT NULL GROUP BY regexp_replace(order_date, '[0-9]', '9', 'g')), (SELECT {_FORMAT_BASE} AS more FROM raw)
   UNION ALL SELECT 'category_variants', 2, CAST(COALESCE(SUM(rows) FILTER (WHERE variant <> dominant), 0) AS BIGINT), CAST(SUM(rows) AS BIGINT) FROM variants
   UNION ALL SELECT 'header_conflicts', 3, CAST(COALESCE(SUM(lines), 0) AS BIGINT), (SELECT COUNT(*) FROM raw) FROM conflicts)"""
 _RULES = f"""rules AS (
@@ -204,16 +204,14 @@ _WEIGHTS = sum(_ROLE_WEIGHT.get(c, 1) for c in COLUMNS)
 _GAPPY = ("customer_rating", "payment_method")
 
 
-def _outlier(c: str, method: str, domain: str) -> str:
+def _outlier(c: str, domain: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
-    if method == "discrete":
-        return f"""SELECT '{c}' AS "column", 'discrete' AS method, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper,
-  CAST(0 AS BIGINT) AS low_count, CAST(0 AS BIGINT) AS high_count, {domain} AS domain_count FROM raw"""
-    return f"""SELECT '{c}' AS "column", method, ROUND(ANY_VALUE(lo), 4) AS lower, ROUND(ANY_VALUE(hi), 4) AS upper, COUNT(*) FILTER (WHERE {x} < lo) AS low_count,
-  COUNT(*) FILTER (WHERE {x} > hi) AS high_count, {domain} AS domain_count
-FROM raw, (SELECT CASE WHEN abs(sk) < 1 THEN 'ZSCORE' ELSE 'IQR' END AS method,
-  CASE WHEN abs(sk) < 1 THEN m - 3 * s ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN abs(sk) < 1 THEN m + 3 * s ELSE q3 + 1.5 * (q3 - q1) END AS hi
-  FROM (SELECT skewness({x}) AS sk, AVG({x}) AS m, stddev_samp({x}) AS s, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM raw))
+    return f"""SELECT '{c}' AS "column", method, ROUND(ANY_VALUE(lo), 4) AS lower, ROUND(ANY_VALUE(hi), 4) AS upper, COALESCE(COUNT(*) FILTER (WHERE {x} < lo), 0) AS low_count,
+  COALESCE(COUNT(*) FILTER (WHERE {x} > hi), 0) AS high_count, {domain} AS domain_count
+FROM raw, (SELECT CASE WHEN d <= 12 THEN 'discrete' WHEN abs(sk) < 1 THEN 'ZSCORE' ELSE 'IQR' END AS method,
+  CASE WHEN d <= 12 THEN NULL WHEN abs(sk) < 1 THEN m - 3 * s ELSE q1 - 1.5 * (q3 - q1) END AS lo,
+  CASE WHEN d <= 12 THEN NULL WHEN abs(sk) < 1 THEN m + 3 * s ELSE q3 + 1.5 * (q3 - q1) END AS hi
+  FROM (SELECT COUNT(DISTINCT {x}) AS d, skewness({x}) AS sk, AVG({x}) AS m, stddev_samp({x}) AS s, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM raw))
 GROUP BY method"""
 
 
@@ -227,13 +225,13 @@ SQL = {
     "dq_profile": f"""{_R} SELECT {_OVERALL}, completeness_score, uniqueness_score, validity_score, consistency_score,
   total_rows, total_cells, null_cells, duplicate_rows, outlier_count FROM ({_SCORES} FROM ({_profile('raw')}))""",
     "dq_issues": f"""{_R} SELECT 'EXACT_DUPLICATE_ROWS' AS issue_type, 'HIGH' AS severity, '[ALL_COLUMNS]' AS column_name,
-  {_group_all('raw')} AS affected_rows, 'Deduplicated in v2 pipeline' AS action_taken
-UNION ALL {_missing_issue('payment_method', 'Tagged as UNKNOWN')}
-UNION ALL {_missing_issue('customer_rating', 'Impute median/mode')}
-UNION ALL SELECT 'WHITESPACE_INCONSISTENCY', 'LOW', 'category', COUNT(*), 'Trim whitespace' FROM raw WHERE category <> trim(category)
+  {_group_all('raw')} AS affected_rows, 'One copy is kept by cleaning' AS action_taken
+UNION ALL {_missing_issue('payment_method', 'Label UNKNOWN is set by cleaning')}
+UNION ALL {_missing_issue('customer_rating', 'Median is filled in by cleaning')}
+UNION ALL SELECT 'WHITESPACE_INCONSISTENCY', 'LOW', 'category', COUNT(*), 'Outer blanks are cut by cleaning' FROM raw WHERE category <> trim(category)
 UNION ALL SELECT 'STATISTICAL_OUTLIERS', 'INFO', (SELECT string_agg(c, ', ' ORDER BY p) FROM (
     SELECT * FROM (VALUES {", ".join(f"('{c}', {i}, {_fence(c)})" for i, c in enumerate(NUMBERS))}) AS v(c, p, n) WHERE n > 0 ORDER BY p LIMIT 3)),
-  {' + '.join(_fence(c) for c in NUMBERS)}, 'Flagged in EDA; preserved in raw data'""",
+  {' + '.join(_fence(c) for c in NUMBERS)}, 'Reported only; values stay'""",
     "dq_duplicate_rows": f"{_R} SELECT {_group_all('raw')} AS duplicate_rows",
     "dq_near_duplicates": f"""{_R} SELECT COUNT(*) AS near_duplicate_groups, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS near_duplicate_rows FROM (
   SELECT SUM(n) AS n, COUNT(*) AS v FROM (
@@ -272,12 +270,12 @@ FROM (SELECT "column", nulls, CAST(nulls AS DOUBLE) / n * 100 AS p FROM ({" UNIO
   COUNT(*) AS rows FROM raw GROUP BY 1 HAVING mask <> ''""",
     "dq_outlier_report": f"{_R} "
     + " UNION ALL ".join(
-        _outlier(c, "discrete" if c in ("discount_pct", "customer_rating") else "", domain)
+        _outlier(c, domain)
         for c, domain in (
-            ("unit_price", "COUNT(*) FILTER (WHERE unit_price < 0)"),
+            ("unit_price", "COUNT(*) FILTER (WHERE unit_price < 0 AND NOT COALESCE(quantity < 0, FALSE))"),
             ("quantity", "COUNT(*) FILTER (WHERE quantity > 10000)"),
             ("discount_pct", "COUNT(*) FILTER (WHERE FALSE)"),
-            ("total_amount", "COUNT(*) FILTER (WHERE total_amount < 0)"),
+            ("total_amount", "COUNT(*) FILTER (WHERE total_amount < 0 AND NOT COALESCE(quantity < 0, FALSE))"),
             ("customer_rating", "COUNT(*) FILTER (WHERE FALSE)"),
         )
     ),
