@@ -7,6 +7,7 @@ defective version read it from the version table, which is written once and time
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -62,7 +63,7 @@ def main() -> None:
     from tillview.plans import quality_queries, registry
     from tillview.session import drop_staged, local_session
 
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", tempfile.mkdtemp(prefix="tillview-bench-"))
     spark.conf.set("spark.sql.shuffle.partitions", os.environ.get("BENCH_CPUS", "8"))
     queries = registry.all_queries()
     only = sys.argv[1:]

@@ -6,6 +6,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -60,7 +61,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
-    spark, con = local_session(8), connect(folder)
+    spark, con = local_session(8, shared=tempfile.mkdtemp(prefix="tillview-parity-")), connect(folder)
     queries, sql, bad = registry.all_queries(), registry.all_sql(), 0
     for name, query in queries.items():
         if parts and not any(p in name for p in parts):

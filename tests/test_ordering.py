@@ -61,3 +61,23 @@ def test_quantiles_are_exact(spark, finish, monkeypatch):
 def test_quantiles_of_nothing(spark):
     got = quantiles(spark.createDataFrame([(None,)], "a double"), ["a"], [0.5])
     assert got["a"] == {"n": 0, "min": None, "max": None, 0.5: None}
+
+
+def test_what_is_kept_follows_the_input_files(spark, tmp_path):
+    from tillview.session import drop_staged, inputs, kept_for_inputs, stage
+
+    folder, made = str(tmp_path), []
+
+    @kept_for_inputs
+    def count(at):
+        made.append(at)
+        return stage(spark.read.parquet(f"{at}/t.parquet"))
+
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    first = inputs(spark, folder)
+    assert count(spark, folder).count() == 3 and count(spark, folder).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert inputs(spark, folder) != first
+    assert count(spark, folder).count() == 8 and len(made) == 2
+    drop_staged(spark)
+    assert count(spark, folder).count() == 8 and len(made) == 3

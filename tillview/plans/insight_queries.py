@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from tillview.plans.quality_queries import SQL as QUALITY_SQL
 from tillview.plans.shared import relations
 from tillview.plans.template_sql import CUSTOMERS, ORDERS, using
 from tillview.plans.template_sql import SQL as TEMPLATE_SQL
-from tillview.session import spread, stage, tune
+from tillview.session import kept_for_inputs, spread, stage, tune
 from tillview.sources.flat import flat, flat_source
 from tillview.sources.transactions import benchmark_source, table
 
@@ -29,8 +27,8 @@ def _flat(spark, d):
     return flat(tune(spark), d, "order_id", "customer_id", "order_date", "total_amount", "payment_method", "product_id")
 
 
-@lru_cache(maxsize=8)
-def _pool(app: str, sf_dir: str):
+@kept_for_inputs
+def _pool(sf_dir: str):
     spark = tune(SparkSession.active())
     df = _flat(spark, sf_dir)
     done = cleaned(spark, sf_dir)
@@ -49,7 +47,7 @@ def _pool(app: str, sf_dir: str):
 
 
 def pool(spark, sf_dir):
-    return _pool(spark.sparkContext.applicationId, sf_dir)
+    return _pool(spark, sf_dir)
 
 
 def statements(spark, sf_dir):

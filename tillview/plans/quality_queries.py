@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import lru_cache
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tillview.functions.columns import rounded
 from tillview.operators import cleaning, quality
 from tillview.plans.analytics_queries import FLAT
 from tillview.plans.edge import plain
-from tillview.session import spread, stage, tune
+from tillview.session import kept_for_inputs, spread, stage, tune
 from tillview.sources.flat import COLUMNS, dirty
 from tillview.sources.transactions import table
 
@@ -35,26 +33,26 @@ AS_OF = dt.date(2000, 6, 30)
 NUMBERS = ["unit_price", "quantity", "discount_pct", "total_amount", "customer_rating"]
 
 
-@lru_cache(maxsize=8)
-def _raw(app: str, sf_dir: str):
+@kept_for_inputs
+def _raw(sf_dir: str):
     """Version 1, written once and read by every query on it."""
     spark = tune(SparkSession.active())
     return stage(spread(dirty(spark, sf_dir), table(spark, sf_dir, "lineitem")))
 
 
 def raw(spark, sf_dir):
-    return _raw(spark.sparkContext.applicationId, sf_dir)
+    return _raw(spark, sf_dir)
 
 
-@lru_cache(maxsize=8)
-def _clean(app: str, sf_dir: str):
-    out = cleaning.clean(_raw(app, sf_dir))
+@kept_for_inputs
+def _clean(sf_dir: str):
+    out = cleaning.clean(_raw(SparkSession.active(), sf_dir))
     out.rows = stage(out.rows)
     return out
 
 
 def cleaned(spark, sf_dir):
-    return _clean(spark.sparkContext.applicationId, sf_dir)
+    return _clean(spark, sf_dir)
 
 
 def _q(build):

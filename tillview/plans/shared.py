@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import SparkSession
 
 from tillview.operators.relations import Relations
-from tillview.session import tune
+from tillview.session import kept_for_inputs, tune
 from tillview.sources.transactions import benchmark_source
 
 
-@lru_cache(maxsize=8)
-def _relations(app: str, sf_dir: str) -> Relations:
+@kept_for_inputs
+def _relations(sf_dir: str) -> Relations:
     spark = tune(SparkSession.active())
     return Relations(spark, benchmark_source(spark, sf_dir))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> Relations:
     """One Relations per dataset and application, so the date range and the scores are computed once."""
-    return _relations(spark.sparkContext.applicationId, sf_dir)
+    return _relations(spark, sf_dir)

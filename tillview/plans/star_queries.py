@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,30 +10,30 @@ from tillview.plans.analytics_queries import FLAT
 from tillview.plans.edge import plain
 from tillview.plans.shared import relations
 from tillview.plans.template_sql import CALENDAR, CUSTOMERS, PRODUCTS, RFM, SEGMENTS, using
-from tillview.session import tune
+from tillview.session import kept_for_inputs, tune
 from tillview.sources.flat import flat
 
 # The benchmark has no payment names; two of its five order priorities stand for digital ones.
 DIGITAL = ("1-URGENT", "2-HIGH")
 
 
-@lru_cache(maxsize=8)
-def _star(app: str, sf_dir: str):
+@kept_for_inputs
+def _star(sf_dir: str):
     return star.build(relations(SparkSession.active(), sf_dir))
 
 
 def model(spark, sf_dir):
     tune(spark)
-    return _star(spark.sparkContext.applicationId, sf_dir)
+    return _star(spark, sf_dir)
 
 
-@lru_cache(maxsize=8)
-def _plain(app: str, sf_dir: str):
+@kept_for_inputs
+def _plain(sf_dir: str):
     return star.plain_star(flat(tune(SparkSession.active()), sf_dir), DIGITAL)
 
 
 def plain_model(spark, sf_dir):
-    return _plain(spark.sparkContext.applicationId, sf_dir)
+    return _plain(spark, sf_dir)
 
 
 def _t(name):

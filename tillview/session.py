@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", app: str = "tillview") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(cores: str | int = "*", app: str = "tillview", shared: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the bench, which name the folder for staged tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,31 +36,25 @@ def local_session(cores: str | int = "*", app: str = "tillview") -> SparkSession
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
-
-    A temporary folder is used only when the setting is absent and Spark runs on this one machine.
-    """
+    """Folder all executors can reach: what ``spark.checkpoint.dir`` names, or else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="tillview-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
 
 
 def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Hand a small input to all cores before work that is heavy per row.
 
     A file with one row group is read by one task however many cores wait. ``scan`` is the file scan
-    ``df`` is made of; with at least as many splits as cores the rows are left where they are.
+    ``df`` is made of; with at least as many splits as cores the rows are left where they are. Only the number of
+    tasks depends on it, never a result.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = (df if scan is None else scan).rdd.getNumPartitions()
@@ -82,9 +77,40 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHES: list[dict] = []
+
+
+def inputs(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file of the tables in ``folder``: changed inputs are other inputs."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for pattern in ("/*.parquet", "/*.parquet/*"):
+        at = path(folder.rstrip("/") + pattern)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).globStatus(at) or []]
+    return tuple(sorted(out))
+
+
+def kept_for_inputs(build: Callable[[str], object]) -> Callable[[SparkSession, str], object]:
+    """Keep what ``build`` makes of a folder while application and input files stay, until drop_staged."""
+    made: dict = {}
+    _CACHES.append(made)
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, folder: str) -> object:
+        key = (spark.sparkContext.applicationId, folder, inputs(spark, folder))
+        if key not in made:
+            made[key] = build(folder)
+        return made[key]
+
+    return get
+
+
 def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables this process has staged; frames that read them are unusable afterwards."""
+    """Delete the tables this process has staged and forget what was built on them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for made in _CACHES:
+        made.clear()
     count = len(_STAGED)
     while _STAGED:
         path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
