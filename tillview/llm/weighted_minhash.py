@@ -8,14 +8,16 @@ the sum of the larger weights, is at least ``least``.
 A document can only be near another when shingles that others hold too carry that share of its weight; the rest is
 settled there. For the others consistent samples are drawn (a shingle and a level of its weight, equal for
 two documents with probability equal to their similarity) and grouped to bands; documents that share a band are
-compared as far as the classes, the connected components of the links, depend on it. All of a group are compared
-with its first document; then, as long as a group holds several components, some members outside its largest one
-are compared with the members of all others, and are done with in this group. Members of one component are never
-compared with each other, so a group of thousands of near copies takes about as many comparisons as it has members.
+compared as far as the classes, the connected components of the links, depend on it. Documents with equal sets are
+one. All of a group are compared with the one that has least weight of its own; then, as long as a group holds several
+components, members outside its largest one are compared with the members of all others. Members of one component
+are never compared with each other, and pairs whose unshared weights rule a link out are not compared at all, so a
+group of thousands of near copies takes about as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ WORDS, LEAST, STRENGTH = 5, 0.8, 0.25
 BANDS, ROWS = 16, 3
 _EPS = 1e-9  # for rounding, where a sum decides what is left out
 _LEVELS = 1 << 16
+_MEETINGS = 64  # pairs that a round looks at, for each row of the groups
 
 
 def _gamma_levels() -> np.ndarray:
@@ -84,7 +87,8 @@ def _weights(tf: np.ndarray, df: np.ndarray, documents: int, strength: float) ->
 
 
 def _candidates(n: int, least: float, strength: float, bands: int, rows: int, documents: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names, kinds = ["doc_id", "keys", "weights", "bands"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    names = ["doc_id", "keys", "weights", "bands", "same", "shared", "own"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64()]
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -102,9 +106,10 @@ def _candidates(n: int, least: float, strength: float, bands: int, rows: int, do
         df = counts_of(hashes, keys, counts)
         weight = _weights(tf, df, documents, strength)
         size = len(words.count)
-        shared = np.bincount(text, weight * (df > 1), size) >= (least - _EPS) * np.bincount(text, weight, size)
-        shared &= (words.count > 0) & np.array([i is not None for i in ids])
-        keep = shared[text]
+        total = np.bincount(text, weight, size)
+        common = np.bincount(text, weight * (df > 1), size)
+        some = (common >= (least - _EPS) * total) & (words.count > 0) & np.array([i is not None for i in ids])
+        keep = some[text]
         hashes, text, weight = hashes[keep], text[keep], weight[keep]
         if not len(text):
             return
@@ -116,7 +121,9 @@ def _candidates(n: int, least: float, strength: float, bands: int, rows: int, do
             band = band * np.uint64(0xD6E8FEB86659FD93) + drawn[:, j::rows]
         band = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            yield ids[text[a]], pack_sorted(hashes[a:b]), pack_planes(weight[a:b].view(np.uint64)), band[i]
+            same = hashlib.sha256(hashes[a:b].tobytes() + weight[a:b].tobytes()).digest()
+            t = text[a]
+            yield ids[t], pack_sorted(hashes[a:b]), pack_planes(weight[a:b].view(np.uint64)), band[i], same, common[t], total[t] - common[t]
 
     return run
 
@@ -147,35 +154,50 @@ def _similar(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return stage(seen.where(F.col("similarity") >= least).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
 
 
+def _may_be_near(least: float) -> F.Column:
+    """No pair is nearer than the lesser shared weight over the larger and both weights that nobody shares."""
+    top, below = F.least("shared", "pivot_shared"), F.greatest("shared", "pivot_shared") + F.col("own") + F.col("pivot_own")
+    return top >= (least - _EPS) * below
+
+
 def _classes(sets: DataFrame, least: float) -> DataFrame:
     """(node, component) for documents near another one that shares a band with them."""
+    # Equal sets are one: the document of the smallest id stands for them.
+    first = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    equal = stage(sets.select("doc_id", "same").join(first, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    sets = sets.join(first.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
     vectors = sets.select("doc_id", "keys", "weights")
-    groups = sets.select("doc_id", F.explode("bands").alias("band")).distinct()
-    shared = groups.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").drop("n")
+    groups = sets.select("doc_id", "shared", "own", F.explode("bands").alias("band")).distinct()
+    lightest = F.min_by(F.struct("doc_id", "shared", "own"), F.struct("own", "doc_id"))
+    shared = groups.groupBy("band").agg(F.count("*").alias("n"), lightest.alias("p")).where("n > 1")
+    shared = shared.select("band", F.col("p.doc_id").alias("pivot"), F.col("p.shared").alias("pivot_shared"), F.col("p.own").alias("pivot_own"))
     open_ = stage(groups.join(shared, "band").where("doc_id <> pivot"))
-    found = components(_similar(open_.select("doc_id", "pivot").distinct(), vectors, least))
-    open_, pivots = open_.select("band", "doc_id"), 4
+    found = components(_similar(open_.where(_may_be_near(least)).select("doc_id", "pivot").distinct(), vectors, least).union(equal))
+    open_ = open_.select("band", "doc_id", "shared", "own")
+    rows = open_.count()
     while True:
         # A group is settled once its members, less those compared with all others, are of one component.
         found = stage(found)
         at = open_.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
         sizes = at.groupBy("band", "part").agg(F.count("*").alias("n"))
         main = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-        main = main.where("n > most").select("band", "main", (F.col("n") - F.col("most")).alias("strays"))
-        at = stage(at.join(main, "band"))
-        if at.isEmpty():
+        main = stage(main.where("n > most").select("band", "main", (F.col("n") - F.col("most")).alias("strays"), "n"))
+        many = main.agg(*[F.sum(F.least("strays", F.lit(4**k)) * F.col("n")).alias(f"k{k}") for k in range(1, 12)]).first()
+        if many["k1"] is None:
             return found
-        # Members outside the largest component of their group: some of them meet all other components.
+        # Members outside the largest component of their group meet those of all other components: as many of them at
+        # once as make some tens of meetings for each row, so a round is in proportion to the rows.
+        pivots = max(4**k for k in range(1, 12) if k == 1 or many[f"k{k}"] <= _MEETINGS * rows)
+        at = stage(at.join(main, "band"))
         strays = at.where("part <> main")
         first = strays.groupBy("band").agg(F.min("doc_id").alias("first"))
-        chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.col("strays")) < pivots))
-        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part")))
-        pairs = at.select("band", "doc_id", "part").join(chosen, "band").where("part <> pivot_part")
+        chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", "n"), F.col("strays")) < pivots))
+        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own")))
+        pairs = at.select("band", "doc_id", "part", "shared", "own").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least))
         pairs = pairs.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
         near = _similar(pairs, vectors, least)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near))
-        open_ = stage(at.select("band", "doc_id").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
-        pivots *= 2
+        open_ = stage(at.select("band", "doc_id", "shared", "own").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
 
 
 def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strength: float = STRENGTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +209,7 @@ def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strengt
     """
     blocks, count, documents = in_blocks(df, id_col, text_col)
     told = common_runs(blocks, count, n, short=True)
-    schema = "doc_id long, keys binary, weights binary, bands array<long>"
+    schema = "doc_id long, keys binary, weights binary, bands array<long>, same binary, shared double, own double"
     found = _candidates(n, least, strength, bands, rows, documents)
     sets = stage(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(found, schema))
     classes = _classes(sets, least).withColumnRenamed("node", "doc_id")
