@@ -39,47 +39,147 @@ NAME_PATTERNS = {
 # Whole names and weak tokens per role, in role order.
 VOCABULARY = {
     "CUSTOMER_ID": (
-        "customer_id cust_id customerid client_id user_id buyer_id member_id shopper_id customer_no customer_number customer_code",
-        "customer cust client buyer member",
+        (
+            "customer_id", "cust_id", "customerid", "client_id", "user_id", "buyer_id", "member_id", "shopper_id",
+            "customer_no", "customer_number", "customer_code",
+        ),
+        (
+            "customer", "cust", "client", "buyer", "member",
+        ),
     ),
     "TRANSACTION_ID": (
-        "transaction_id txn_id order_id invoice_no invoice_number invoice_id receipt_id receipt_no bill_no sale_id order_number order_no invoice",
-        "transaction txn invoice receipt order",
+        (
+            "transaction_id", "txn_id", "order_id", "invoice_no", "invoice_number", "invoice_id", "receipt_id",
+            "receipt_no", "bill_no", "sale_id", "order_number", "order_no", "invoice",
+        ),
+        (
+            "transaction", "txn", "invoice", "receipt", "order",
+        ),
     ),
     "PRODUCT_ID": (
-        "product_id sku stock_code item_id article_id product_code item_code asin upc ean",
-        "sku stock article",
+        (
+            "product_id", "sku", "stock_code", "item_id", "article_id", "product_code", "item_code", "asin", "upc",
+            "ean",
+        ),
+        (
+            "sku", "stock", "article",
+        ),
     ),
     "PRODUCT_NAME": (
-        "product_name product item_name item description product_description title article_name",
-        "product item description title",
+        (
+            "product_name", "product", "item_name", "item", "description", "product_description", "title",
+            "article_name",
+        ),
+        (
+            "product", "item", "description", "title",
+        ),
+    ),
+    "CATEGORY": (
+        (
+            "category", "product_category", "item_category", "department", "product_type", "category_name",
+        ),
+        (
+            "category", "department", "type",
+        ),
+    ),
+    "QUANTITY": (
+        (
+            "quantity", "qty", "units", "units_sold", "quantity_sold", "pieces", "items_sold", "order_quantity",
+        ),
+        (
+            "qty", "quantity", "units", "pieces",
+        ),
+    ),
+    "PRICE": (
+        (
+            "price", "unit_price", "price_per_unit", "selling_price", "sale_price", "item_price", "unitprice",
+            "rate",
+        ),
+        (
+            "price", "rate",
+        ),
     ),
-    "CATEGORY": ("category product_category item_category department product_type category_name", "category department type"),
-    "QUANTITY": ("quantity qty units units_sold quantity_sold pieces items_sold order_quantity", "qty quantity units pieces"),
-    "PRICE": ("price unit_price price_per_unit selling_price sale_price item_price unitprice rate", "price rate"),
     "REVENUE": (
-        "revenue sales sales_amount total_amount total_price net_sales order_value line_total gmv turnover total_revenue order_amount net_amount amount total",
-        "revenue sales amount total gmv",
+        (
+            "revenue", "sales", "sales_amount", "total_amount", "total_price", "net_sales", "order_value",
+            "line_total", "gmv", "turnover", "total_revenue", "order_amount", "net_amount", "amount", "total",
+        ),
+        (
+            "revenue", "sales", "amount", "total", "gmv",
+        ),
     ),
     "DISCOUNT": (
-        "discount discount_pct discount_percent discount_amount discount_rate disc markdown promo_discount",
-        "discount disc markdown promo",
+        (
+            "discount", "discount_pct", "discount_percent", "discount_amount", "discount_rate", "disc", "markdown",
+            "promo_discount",
+        ),
+        (
+            "discount", "disc", "markdown", "promo",
+        ),
     ),
     "PURCHASE_DATE": (
-        "purchase_date order_date transaction_date invoice_date sale_date order_datetime purchase_time date timestamp invoicedate",
-        "date time timestamp datetime",
+        (
+            "purchase_date", "order_date", "transaction_date", "invoice_date", "sale_date", "order_datetime",
+            "purchase_time", "date", "timestamp", "invoicedate",
+        ),
+        (
+            "date", "time", "timestamp", "datetime",
+        ),
     ),
-    "CUSTOMER_AGE": ("customer_age age buyer_age", "age"),
-    "GENDER": ("gender sex customer_gender", "gender sex"),
-    "CITY": ("city town shipping_city billing_city customer_city", "city town"),
-    "STATE": ("state province state_code region customer_state", "state province region"),
-    "COUNTRY": ("country nation country_code ship_country customer_country", "country nation"),
-    "PAYMENT_METHOD": ("payment_method payment_type payment_mode pay_method payment tender_type", "payment tender"),
-}
-EXACT = {role: whole.split() for role, (whole, _) in VOCABULARY.items()}
-WEAK = {role: weak.split() for role, (_, weak) in VOCABULARY.items()}
+    "CUSTOMER_AGE": (
+        (
+            "customer_age", "age", "buyer_age",
+        ),
+        (
+            "age",
+        ),
+    ),
+    "GENDER": (
+        (
+            "gender", "sex", "customer_gender",
+        ),
+        (
+            "gender", "sex",
+        ),
+    ),
+    "CITY": (
+        (
+            "city", "town", "shipping_city", "billing_city", "customer_city",
+        ),
+        (
+            "city", "town",
+        ),
+    ),
+    "STATE": (
+        (
+            "state", "province", "state_code", "region", "customer_state",
+        ),
+        (
+            "state", "province", "region",
+        ),
+    ),
+    "COUNTRY": (
+        (
+            "country", "nation", "country_code", "ship_country", "customer_country",
+        ),
+        (
+            "country", "nation",
+        ),
+    ),
+    "PAYMENT_METHOD": (
+        (
+            "payment_method", "payment_type", "payment_mode", "pay_method", "payment", "tender_type",
+        ),
+        (
+            "payment", "tender",
+        ),
+    ),
+}
+EXACT = {role: list(whole) for role, (whole, _) in VOCABULARY.items()}
+WEAK = {role: list(weak) for role, (_, weak) in VOCABULARY.items()}
 _TEXT = ("CATEGORICAL", "TEXT", "IDENTIFIER")
 _NUMBER = ("INTEGER", "NUMERIC", "FLOAT")
+# The types a role may have.
 ALLOWED = {
     **{r: ("IDENTIFIER", "INTEGER", "CATEGORICAL", "TEXT") for r in ("CUSTOMER_ID", "TRANSACTION_ID", "PRODUCT_ID")},
     **{r: _TEXT for r in ("PRODUCT_NAME", "CITY", "STATE", "COUNTRY")},
@@ -88,6 +188,7 @@ ALLOWED = {
     "PURCHASE_DATE": ("DATE", "DATETIME"),
     "CUSTOMER_AGE": ("INTEGER", "NUMERIC"),
 }
+# Words that payment methods are written with.
 PAYMENT_TOKENS = (
     "cash", "card", "credit", "debit", "upi", "wallet", "netbanking", "net banking", "paypal", "cod", "cheque", "emi", "gift card",
 )

@@ -18,6 +18,7 @@ NULL_TOKENS = (
 )
 BOOLEAN_TOKENS = ("true", "false", "t", "f", "yes", "no", "y", "n")
 TRUE_TOKENS = ("true", "t", "yes", "y", "1")
+# What names and amounts are told by.
 IDENTIFIER_NAME = r"(^|_)(id|uuid|guid|sku|code|key|ref|no|number|num)($|_)"
 FLAG_NAME = r"^(is|has|was|flag)_|_flag$|(active|returned|refunded|cancelled)"
 DATE_NAME = r"date|time|timestamp|_at$|_on$"
