@@ -137,6 +137,8 @@ FROM transactions GROUP BY country""",
     "sql_set_except": "SELECT customer_id FROM customers WHERE order_count >= 12 EXCEPT SELECT customer_id FROM customers WHERE total_revenue > 3000000",
     "sql_full_outer_join": """SELECT COUNT(*) AS n, COUNT(a.customer_id) AS l, COUNT(b.customer_id) AS r
 FROM (SELECT customer_id FROM customers WHERE order_count >= 10) a FULL OUTER JOIN (SELECT customer_id FROM customers WHERE total_revenue > 2500000) b ON a.customer_id = b.customer_id""",
+    "sql_null_functions": """SELECT COUNT(coalesce(NULLIF(country, 'CHINA'), NULLIF(state, 'ASIA'))) AS placed, SUM(CAST(ifnull(NULLIF(discount, 0), 100) AS DOUBLE)) AS discount,
+  COUNT(NULLIF(payment_method, '1-URGENT')) AS calm, MAX(CASE WHEN customer_id IS NULL THEN 'no' ELSE 'yes' END) AS known FROM transactions""",
     "sql_semi_join": "SELECT COUNT(*) AS n FROM customers c WHERE EXISTS (SELECT 1 FROM transactions t WHERE t.customer_id = c.customer_id AND t.quantity >= 50)",
     "sql_band_join": """SELECT d.band, COUNT(*) AS lines, SUM(CAST(t.quantity AS DOUBLE)) AS quantity
 FROM (SELECT CASE WHEN discount < 3 THEN 1 WHEN discount < 7 THEN 2 ELSE 3 END AS k, quantity FROM transactions) t

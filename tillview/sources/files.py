@@ -51,18 +51,27 @@ def sniff_delimiter_by_shape(spark: SparkSession, path: str, records: int = 1000
     return "," if shape is None else DELIMITERS[shape["d"]]
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line ends inside a quoted cell: it then holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     delimiter: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     tolerance: float = MALFORMED_LIMIT,
 ) -> tuple[DataFrame, int]:
     """All columns as text, and the number of records whose field count differs from the header.
 
-    Such records are padded or cut and counted; above ``tolerance`` of the rows the file is rejected.
+    Such records are padded or cut and counted; above ``tolerance`` of the rows the file is rejected. Cells with line
+    breaks are looked for unless ``multi_line`` says; a file that has them cannot be split, so one task reads it whole.
     """
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     options = {
         "header": True,
         "sep": delimiter or sniff_delimiter(spark, path),
@@ -104,7 +113,11 @@ def _json_frame(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, one object per line, or an object whose only key holds such an array."""
+    """An array of objects, one object per line, or an object whose only key holds such an array.
+
+    Only one object per line can be split; a file that is one array or one object is read by one task. Write large
+    inputs with one object per line.
+    """
     df = _json_frame(spark, path)
     if len(df.columns) == 1:
         kind = df.schema[0].dataType
