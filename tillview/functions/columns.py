@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,12 @@ def monday_week_label(d: str | Column) -> Column:
     return F.concat(F.date_format(c, "yyyy"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))
 
 
+def of_groups(name: str) -> Column:
+    """The sum of a column over all rows of a grouped frame. Only for groups that are few whatever the size of the
+    data (categories, places, payment methods): they meet in one task, and the lines are not read again."""
+    return F.sum(name).over(Window.partitionBy())
+
+
 def one_row(df: DataFrame, name: str) -> Column:
     """A scalar subquery: the single value of ``name`` in a one-row frame."""
     return df.select(name).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillview.functions.columns import one_row, pct, ratio, rounded
+from tillview.functions.columns import of_groups, one_row, pct, ratio, rounded
 from tillview.operators.ordering import ranked
 from tillview.sources.transactions import TransactionSource
 
@@ -52,16 +52,14 @@ def pareto_summary(products: DataFrame) -> DataFrame:
 
 def payment_table(df: DataFrame) -> DataFrame:
     """Rows, revenue and share of revenue per payment method."""
-    total = one_row(df.agg(F.sum("total_amount").alias("t")), "t")
+    groups = df.groupBy("payment_method").agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("total_amount").alias("revenue"))
     return (
-        df.where(F.col("payment_method").isNotNull())
-        .groupBy("payment_method")
-        .agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("total_amount").alias("revenue"))
-        .select(
+        groups.select(
             "payment_method",
             "transaction_count",
             rounded(F.col("revenue"), 2).alias("total_revenue"),
-            pct("revenue", total).alias("revenue_pct"),
+            pct("revenue", of_groups("revenue")).alias("revenue_pct"),
         )
+        .where("payment_method IS NOT NULL")  # the rows without one count in the total
         .orderBy(F.desc("total_revenue"), "payment_method")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillview.functions.columns import fixed_rows, numeric_columns, one_row, pct, rounded
+from tillview.functions.columns import fixed_rows, numeric_columns, of_groups, pct, rounded
 from tillview.operators.ordering import quantiles, ranked
 from tillview.operators.templates import pearson
 from tillview.session import stage
@@ -96,19 +96,17 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
 
 def breakdown(df: DataFrame, column: str) -> DataFrame:
     """Rows and revenue per value of a column with their percentages of all rows and all revenue."""
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("r"))
+    groups = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"), F.sum("total_amount").alias("_r"))
     return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("total_amount").alias("_r"))
-        .select(
+        groups.select(
             F.lit(column).alias("column"),
             "value",
             "count",
-            pct("count", one_row(totals, "n")).alias("percentage"),
+            pct("count", of_groups("count")).alias("percentage"),
             rounded(F.col("_r"), 2).alias("revenue"),
-            pct("_r", one_row(totals, "r")).alias("revenue_pct"),
+            pct("_r", of_groups("_r")).alias("revenue_pct"),
         )
+        .where("value IS NOT NULL")  # the group without a value counts in the totals
         .orderBy(F.desc("revenue"), "value")
     )
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillview.functions.columns import monday_week_label, one_row, ratio, rounded
+from tillview.functions.columns import monday_week_label, of_groups, one_row, ratio, rounded
 
 # Months of the quarter presets; the year is not looked at.
 QUARTERS = {"q1": (1, 2, 3), "q2": (4, 5, 6), "q3": (7, 8, 9), "q4": (10, 11, 12)}
@@ -74,14 +74,10 @@ def trend(df: DataFrame, grain: str = "monthly", date: str = "order_date") -> Da
 
 def category_split(df: DataFrame) -> DataFrame:
     """Revenue, orders and the percentage of the slice per category, to one decimal."""
-    total = one_row(df.agg(F.sum("total_amount").alias("t")), "t")
-    revenue = F.sum("total_amount").cast("double")
-    return (
-        df.groupBy("category")
-        .agg(
-            rounded(revenue, 2).alias("revenue"),
-            F.count_distinct("order_id").alias("orders"),
-            rounded(ratio(revenue * 100, total), 1).alias("pct"),
-        )
-        .orderBy(F.desc("revenue"), "category")
-    )
+    groups = df.groupBy("category").agg(F.sum("total_amount").alias("r"), F.count_distinct("order_id").alias("orders"))
+    return groups.select(
+        "category",
+        rounded(F.col("r").cast("double"), 2).alias("revenue"),
+        "orders",
+        rounded(ratio(F.col("r").cast("double") * 100, of_groups("r")), 1).alias("pct"),
+    ).orderBy(F.desc("revenue"), "category")

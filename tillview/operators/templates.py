@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillview.functions.columns import month_of, one_row, ratio
+from tillview.functions.columns import month_of, of_groups, one_row, ratio
 from tillview.operators import rfm
 from tillview.operators.ordering import ntile_of, quantiles, ranked
 from tillview.operators.relations import Relations, Unavailable
@@ -278,17 +278,15 @@ def _breakdown(rel: Relations, keys: list[str], *figures: str) -> DataFrame:
     """Group the lines that have every key; ``revenue_share`` is of the lines kept."""
     extra = _mapped(rel, *figures)
     known, orders = rel.per_order(*dict.fromkeys([*keys, "revenue", *[role for role, _ in extra.values()]]))
-    # One shape for the table and its total, so both read the same shuffle.
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    total = one_row(known.agg(F.sum("revenue").alias("r")), "r")
     return (
         known.groupBy(*keys)
         .agg(
             F.sum("revenue").alias("revenue"),
             *[(orders if name == ORDERS else agg()).alias(name) for name, (_, agg) in extra.items()],
         )
-        .withColumn("revenue_share", ratio("revenue", total))
+        .withColumn("revenue_share", ratio("revenue", of_groups("revenue")))
         .orderBy(F.desc("revenue"), *keys)
     )
 
@@ -432,7 +430,6 @@ def disc_revenue_association(rel: Relations) -> DataFrame:
 def pay_summary(rel: Relations) -> DataFrame:
     rows, orders = rel.per_order("payment_method", "transaction_id", "revenue")
     known = rows.where(F.col("payment_method").isNotNull() & F.col("transaction_id").isNotNull())
-    total = one_row(known.agg(F.sum("revenue").alias("r")), "r")
     return (
         known.groupBy("payment_method")
         .agg(orders.alias("orders"), F.sum("revenue").alias("revenue"))
@@ -441,7 +438,7 @@ def pay_summary(rel: Relations) -> DataFrame:
             "orders",
             "revenue",
             ratio("revenue", "orders").alias("average_order_value"),
-            ratio("revenue", total).alias("revenue_share"),
+            ratio("revenue", of_groups("revenue")).alias("revenue_share"),
         )
         .orderBy(F.desc("revenue"), "payment_method")
     )
