@@ -32,7 +32,7 @@ _ONE = 1 << 15
 _SHARE = 12
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _SEEN = 7
-_RATE = np.array([1, 2, 3, 3, 4, 4, 5, 5], np.int16)
+_RATES = (4, 3, 3)  # an order moves by 1/16 or 1/8 of the way: the longer its context, the fewer times it is seen
 _BITS = 9  # of the hashed rows of a table
 _ROWS0, _ROWS = 1 + 16 + 256 + (1 << _BITS), 1 << _BITS
 # After symbol s the distribution moves to these cumulative counts; every symbol keeps one of them at least.
@@ -106,19 +106,22 @@ class _Lanes:
         p = [(h - x) * w for h, x, w in zip(high, low, self.w)]
         total = (p[0] + p[1] + p[2]) >> _SHARE
         total += 1
-        new = np.zeros((k, 4), np.int32)
+        weights = np.zeros((k, 4), np.int32)
         for j in (0, 1):
             share = np.minimum(p[j] // total, (1 << _SHARE) - 1)
-            new[:, j] = self.w[j] + ((share - (share >> 5) + 40 - self.w[j]) >> 4)
-        new[:, 2] = (1 << _SHARE) - new[:, 0] - new[:, 1]
-        self.weights_of[self.of] = new.view("V16").ravel()
+            weights[:, j] = self.w[j] + ((share - (share >> 5) + 40 - self.w[j]) >> 4)
+        weights[:, 2] = (1 << _SHARE) - weights[:, 0] - weights[:, 1]
+        self.weights_of.put(self.of, weights.view("V16").ravel(), mode="clip")
         after = _AFTER.take(symbol, axis=0)
-        for rows, r, g, seen in zip(self.rows_of, self.at, self.got, self.seen):
+        for rows, r, g, seen, rate in zip(self.rows_of, self.at, self.got, self.seen, _RATES):
             move = after - g
-            move >>= _RATE.take(seen)[:, None]
+            new = np.flatnonzero(seen < 2)
+            early = move[new] >> (1 + seen[new])[:, None]  # the first symbols of a row count for more
+            move >>= rate
+            move[new] = early
             g += move
             g[:, 0] = np.minimum(seen + 1, _SEEN)
-            rows[r] = g.view("V32").ravel()
+            rows.put(r, g.view("V32").ravel(), mode="clip")
 
     def narrow(self, k: int, low: np.ndarray, high: np.ndarray) -> None:
         unit = self.range[:k] >> np.uint64(15)
