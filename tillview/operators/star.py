@@ -274,7 +274,7 @@ def build(rel: Relations) -> Star:
         tables["dim_payment"] = stage(dim_payment(rel))
     if has("discount"):
         tables["dim_discount_band"] = dim_discount_band(rel.spark)
-    tables["fact_sales"] = stage(fact_sales(rel, tables))
+    tables["fact_sales"] = fact_sales(rel, tables)  # its rows were written when they were numbered
     return Star(tables)
 
 
@@ -367,7 +367,7 @@ DIGITAL = ("UPI", "CREDIT CARD", "NET BANKING")
 
 def plain_star(flat: DataFrame, digital: Sequence[str] = DIGITAL, country: str = "India") -> Star:
     """The seven export tables over a flat file."""
-    lines = stage(with_line_id(flat, "sales_key"))
+    lines = with_line_id(flat, "sales_key")
     day = F.col("order_date").cast("timestamp")
     key = F.date_format(day, "yyyyMMdd").cast("int")
     fact = lines.select(
