@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-_KEPT = 250_000  # words remembered by one worker
+_KEPT = 200_000  # words remembered by one worker
 _CHUNK = 1 << 20  # characters worked on at a time
 _ODD = re.compile("[^\t\n -~¡-ɏ]")
 _BYTE_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"

@@ -21,7 +21,7 @@ from tillview.llm.words import groups_of, run_hashes, runs_inside, text_bytes, w
 
 BLOCK_BYTES = 8 << 20
 BUCKETS = 1  # for each block
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _BITS = 56
 
 

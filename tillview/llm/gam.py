@@ -24,7 +24,7 @@ MEASURES = (
     "upper", "digits", "marks", "shouts", "symbols", "line_bytes", "distinct_lines", "not_ascii", "capital_words", "common_words",
 )
 MOST_ROWS = 20_000  # labelled rows the model is fitted on, at most
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def _table(chars: bytes) -> np.ndarray:

@@ -11,8 +11,9 @@ two documents with probability equal to their similarity) and grouped to bands;
 compared as far as the classes, the connected components of the links, depend on it. Documents with equal sets are
 one. All of a group are compared with the one that has least weight of its own; then, as long as a group holds several
 components, members outside its largest one are compared with the members of all others. Members of one component
-are never compared with each other, and pairs whose unshared weights rule a link out are not compared at all, so a
-group of thousands of near copies takes about as many comparisons as it has members.
+are never compared with each other, and pairs whose unshared weights, or whose distances to the first of the group,
+rule a link out are not compared at all, so a group of thousands of near copies takes about as many comparisons as it has
+members.
 """
 
 from __future__ import annotations
@@ -146,18 +147,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pivot"), pa.array(out, pa.float64())], names=["doc_id", "pivot", "similarity"])
 
 
-def _similar(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (doc_id, pivot) that are near, staged as edges (a, b)."""
+def _similar(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(doc_id, pivot, similarity) of the pairs, staged."""
     theirs = vectors.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("pivot_keys"), F.col("weights").alias("pivot_weights"))
     both = pairs.join(vectors, "doc_id").join(theirs, "pivot")
-    seen = both.mapInArrow(_compared, "doc_id long, pivot long, similarity double")
-    return stage(seen.where(F.col("similarity") >= least).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    return stage(both.mapInArrow(_compared, "doc_id long, pivot long, similarity double"))
 
 
-def _may_be_near(least: float) -> F.Column:
+def _near(seen: DataFrame, least: float) -> DataFrame:
+    return seen.where(F.col("similarity") >= least).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+
+
+def _nearest() -> F.Column:
     """No pair is nearer than the lesser shared weight over the larger and both weights that nobody shares."""
-    top, below = F.least("shared", "pivot_shared"), F.greatest("shared", "pivot_shared") + F.col("own") + F.col("pivot_own")
-    return top >= (least - _EPS) * below
+    return F.least("shared", "pivot_shared") / (F.greatest("shared", "pivot_shared") + F.col("own") + F.col("pivot_own"))
+
+
+def _may_be_near(least: float) -> F.Column:
+    """Weights, and distances to the first document of the group (low to high is where each is), allow a link.
+
+    One minus the similarity is a metric, so two documents are no nearer than their distances to a third differ.
+    """
+    apart = F.greatest(F.col("low") - F.col("pivot_high"), F.col("pivot_low") - F.col("high"))
+    return (_nearest() >= least - _EPS) & (apart <= 1 - least + _EPS)
 
 
 def _classes(sets: DataFrame, least: float) -> DataFrame:
@@ -172,9 +184,12 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
     shared = groups.groupBy("band").agg(F.count("*").alias("n"), lightest.alias("p")).where("n > 1")
     shared = shared.select("band", F.col("p.doc_id").alias("pivot"), F.col("p.shared").alias("pivot_shared"), F.col("p.own").alias("pivot_own"))
     open_ = stage(groups.join(shared, "band").where("doc_id <> pivot"))
-    found = components(_similar(open_.where(_may_be_near(least)).select("doc_id", "pivot").distinct(), vectors, least).union(equal))
-    open_ = open_.select("band", "doc_id", "shared", "own")
+    seen = _similar(open_.where(_nearest() >= least - _EPS).select("doc_id", "pivot").distinct(), vectors)
+    found = components(_near(seen, least).union(equal))
+    low, high = F.coalesce(1 - F.col("similarity"), 1 - _nearest()), F.coalesce(1 - F.col("similarity"), F.lit(1.0))
+    open_ = stage(open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", low.alias("low"), high.alias("high")))
     rows = open_.count()
+    compared = seen.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot"))
     while True:
         # A group is settled once its members, less those compared with all others, are of one component.
         found = stage(found)
@@ -192,12 +207,14 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
         strays = at.where("part <> main")
         first = strays.groupBy("band").agg(F.min("doc_id").alias("first"))
         chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", "n"), F.col("strays")) < pivots))
-        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own")))
-        pairs = at.select("band", "doc_id", "part", "shared", "own").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least))
+        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own"), F.col("low").alias("pivot_low"), F.col("high").alias("pivot_high")))
+        pairs = at.select("band", "doc_id", "part", "shared", "own", "low", "high").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least))
         pairs = pairs.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
-        near = _similar(pairs, vectors, least)
+        seen = _similar(pairs.join(compared, ["doc_id", "pivot"], "left_anti"), vectors)  # groups share many pairs
+        compared = compared.union(seen.select("doc_id", "pivot"))
+        near = _near(seen, least)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near))
-        open_ = stage(at.select("band", "doc_id", "shared", "own").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
+        open_ = stage(at.select("band", "doc_id", "shared", "own", "low", "high").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
 
 
 def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strength: float = STRENGTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_SPAN = 1 << 21  # bytes hashed at a time
+_SPAN = 1 << 19  # bytes hashed at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
