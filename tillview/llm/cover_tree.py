@@ -1,8 +1,8 @@
 """Near-duplicate vectors by cover trees walked in pairs.
 
 Equal vectors are one point. Points go to blocks of bounded size around pivots; two blocks whose covering balls
-are further apart than the threshold never meet. Every task takes two blocks (or one with itself), builds a cover
-tree for each, with radii that halve from level to level, and walks both trees at once: a pair of nodes is dropped
+are further apart than the threshold never meet. A cover tree is built for each block, with radii that halve from
+level to level. Every task takes two blocks (or one with itself) and walks both trees at once: a pair of nodes is dropped
 when the distance of their centres less both covering radii exceeds the threshold, and taken whole when the
 distance and both radii are within it. What is left comes down to points, which are compared exactly. A task
 gives the number of links of each point and the local component, never the pairs.
@@ -12,6 +12,7 @@ On unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2 c).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -231,28 +232,46 @@ def walk(x: np.ndarray, first: tuple[np.ndarray, list[Level]], second: tuple[np.
     follow(0, np.array([0]), np.array([0]))
 
 
+def _unit(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Vectors of a column as rows of length one, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _planted(table: pa.Table) -> pa.Table:
+    """A block's points with their place in its cover tree; the first has the tree, in places."""
+    order, levels = build(_unit(table.column("embedding"), table.num_rows))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for level in levels:
+        level.centre = place[level.centre]
+    tree = [pickle.dumps([(v.centre, v.radius, v.low, v.high, v.child) for v in levels])] + [None] * (len(order) - 1)
+    out = table.take(pa.array(order)).select(["rep", "copies", "embedding", "block"])
+    return out.append_column("place", pa.array(np.arange(len(order)))).append_column("tree", pa.array(tree, pa.binary()))
+
+
+def _tree(table: pa.Table, at: int, n: int) -> tuple[np.ndarray, list[Level]]:
+    """The tree of the block whose points are rows ``at`` to ``at + n``, which are in its order."""
+    levels = [Level(c + at, r, low, high, child) for c, r, low, high, child in pickle.loads(table.column("tree")[at].as_py())]
+    return np.arange(at, at + n), levels
+
+
 def _links_of(least: float):
     names = ["rep", "links", "root"]
 
     def run(table: pa.Table) -> pa.Table:
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        side = table.column("block").to_numpy()
-        raw = table.column("embedding").combine_chunks()
-        x = raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rep), -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        by = np.lexsort((rep, side))
-        rep, copies, x, side = rep[by], copies[by], x[by], side[by]
+        table = table.sort_by([("block", "ascending"), ("place", "ascending")])
+        rep, side = table.column("rep").to_numpy(), table.column("block").to_numpy()
+        x = _unit(table.column("embedding"), len(rep))
         cut = int(np.searchsorted(side, side[0], "right"))
-        first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-        found = Links(copies)
-        if first == second:
-            walk(x, build(x), None, found, least)
+        found = Links(table.column("copies").to_numpy())
+        if table.column("first")[0].as_py() == table.column("second")[0].as_py():
+            walk(x, _tree(table, 0, len(rep)), None, found, least)
         elif cut < len(rep):
-            order, levels = build(x[cut:])
-            for level in levels:
-                level.centre = level.centre + cut
-            walk(x, build(x[:cut]), (order + cut, levels), found, least)
+            walk(x, _tree(table, 0, cut), _tree(table, cut, len(rep) - cut), found, least)
         some = np.flatnonzero(found.count > 0)
         low = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(low, found.label, rep)
@@ -276,9 +295,7 @@ def _pivots(points: DataFrame, n: int) -> np.ndarray:
 def _placed(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            x = _unit(batch.column("embedding"), batch.num_rows)
             near = x @ pivots.T
             at = near.argmax(1)
             dist = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(x)), at]))
@@ -308,8 +325,10 @@ def _linked(points: DataFrame, least: float, block: int) -> DataFrame:
     meet = apart - radius[:, None] - radius <= np.sqrt(2 - 2 * least) + 1e-6
     np.fill_diagonal(meet, True)
     partners = spark.createDataFrame([(b, [int(ids[j]) for j in np.flatnonzero(meet[i])]) for i, b in enumerate(ids)], "block int, partners array<int>")
-    rows = at.join(F.broadcast(partners), "block").withColumn("other", F.explode("partners"))
-    rows = rows.select("rep", "copies", "embedding", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    # Every block's tree is built once and goes with its points.
+    planted = stage(at.select("rep", "copies", "embedding", "block").groupBy("block").applyInArrow(_planted, "rep long, copies long, embedding array<float>, block int, place long, tree binary"))
+    rows = planted.join(F.broadcast(partners), "block").withColumn("other", F.explode("partners"))
+    rows = rows.select("rep", "copies", "embedding", "block", "place", "tree", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     return rows.groupBy("first", "second").applyInArrow(_links_of(least), "rep long, links long, root long")
 
 
