@@ -39,6 +39,7 @@ def _products(build):
     return lambda spark, sf_dir: plain(build(catalog.product_table(flat_source(tune(spark), sf_dir))))
 
 
+_NAMED = ("product_name", "category", "payment_method", "city", "region", "customer_rating")
 _KPI = ("order_id", "customer_id", "order_date", "total_amount")
 _TREND = ("order_id", "order_date", "total_amount")
 _SPLIT = ("order_id", "order_date", "total_amount", "category")
@@ -51,10 +52,12 @@ def analytics_queries():
         "kpi_q1": _slice("q1", slices.key_figures, columns=_KPI),
         "kpi_q4": _slice("q4", slices.key_figures, columns=_KPI),
         "kpi_custom": _slice("custom", slices.key_figures, start="1996-02-10", end="1998-11-30", columns=_KPI),
-        "trend_daily": _slice("q2", slices.trend, "daily", columns=_TREND),
+        "trend_daily": _slice("all", slices.trend, "daily", columns=_TREND),
+        "trend_daily_q2": _slice("q2", slices.trend, "daily", columns=_TREND),
         "trend_weekly": _slice("all", slices.trend, "weekly", columns=_TREND),
         "trend_monthly": _slice("all", slices.trend, "monthly", columns=_TREND),
-        "category_split": _slice("q3", slices.category_split, columns=_SPLIT),
+        "category_split": _slice("all", slices.category_split, columns=_SPLIT),
+        "category_split_q3": _slice("q3", slices.category_split, columns=_SPLIT),
         "breakdown_category": _flat(lambda df: eda.breakdown(df, "category"), "category", "total_amount"),
         "breakdown_payment": _flat(lambda df: eda.breakdown(df, "payment_method"), "payment_method", "total_amount"),
         "breakdown_region": _flat(lambda df: eda.breakdown(df, "region"), "region", "total_amount"),
@@ -69,22 +72,9 @@ def analytics_queries():
         "eda_summary": _flat(eda.numeric_summary, *NUMBERS),
         "eda_histogram": _flat(eda.histogram, *eda.HISTOGRAM_COLUMNS),
         "eda_pearson": _flat(eda.pearson_matrix, *NUMBERS),
-        "eda_spearman": _flat(
-            lambda df: eda.spearman_matrix(df, ["quantity", "discount_pct", "customer_rating", "total_amount"]),
-            "quantity",
-            "discount_pct",
-            "customer_rating",
-            "total_amount",
-        ),
-        "eda_top_values": _flat(
-            lambda df: eda.top_values(df, ["product_name", "city", "customer_rating"]),
-            "product_name",
-            "city",
-            "customer_rating",
-        ),
-        "eda_box_plot": _flat(
-            lambda df: eda.box_plot(df, ["unit_price", "quantity", "total_amount"]), "unit_price", "quantity", "total_amount"
-        ),
+        "eda_spearman": _flat(lambda df: eda.spearman_matrix(df, NUMBERS), *NUMBERS),
+        "eda_top_values": _flat(lambda df: eda.top_values(df, list(_NAMED)), *_NAMED),
+        "eda_box_plot": _flat(lambda df: eda.box_plot(df, NUMBERS), *NUMBERS),
         "eda_scatter_sample": _flat(
             lambda df: eda.scatter_sample(df, "unit_price", "total_amount", ["order_id", "product_id"]),
             "order_id",
@@ -202,10 +192,13 @@ SQL = {
     "kpi_q1": f"{_W} {_FIGURES} WHERE month(order_date) IN (1, 2, 3)",
     "kpi_q4": f"{_W} {_FIGURES} WHERE month(order_date) IN (10, 11, 12)",
     "kpi_custom": f"{_W} {_FIGURES} WHERE {_DAY} BETWEEN DATE '1996-02-10' AND DATE '1998-11-30'",
-    "trend_daily": _trend(f"strftime({_DAY}, '%Y-%m-%d')", "WHERE month(order_date) IN (4, 5, 6)"),
+    "trend_daily": _trend(f"strftime({_DAY}, '%Y-%m-%d')"),
+    "trend_daily_q2": _trend(f"strftime({_DAY}, '%Y-%m-%d')", "WHERE month(order_date) IN (4, 5, 6)"),
     "trend_weekly": _trend(f"strftime({_DAY}, '%Y-W%W')"),
     "trend_monthly": _trend(f"strftime({_DAY}, '%Y-%m')"),
     "category_split": f"""{_W} SELECT category, ROUND(CAST(SUM(total_amount) AS DOUBLE), 2) AS revenue, COUNT(DISTINCT order_id) AS orders,
+  ROUND(CAST(SUM(total_amount) AS DOUBLE) * 100 / (SELECT CAST(SUM(total_amount) AS DOUBLE) FROM flat), 1) AS pct FROM flat GROUP BY category""",
+    "category_split_q3": f"""{_W} SELECT category, ROUND(CAST(SUM(total_amount) AS DOUBLE), 2) AS revenue, COUNT(DISTINCT order_id) AS orders,
   ROUND(CAST(SUM(total_amount) AS DOUBLE) * 100 / (SELECT CAST(SUM(total_amount) AS DOUBLE) FROM flat WHERE month(order_date) IN (7, 8, 9)), 1) AS pct
 FROM flat WHERE month(order_date) IN (7, 8, 9) GROUP BY category""",
     "breakdown_category": _break("category"),
@@ -239,17 +232,7 @@ FROM range(1, 6) AS a(r), range(1, 6) AS b(f) LEFT JOIN seg ON r_score = r AND f
     "eda_summary": _all(_summary(c) for c in NUMBERS),
     "eda_histogram": _all(_histogram(c) for c in eda.HISTOGRAM_COLUMNS),
     "eda_pearson": _all(_corr(a, b) for a in NUMBERS for b in NUMBERS),
-    "eda_spearman": _all(
-        _spearman(a, b)
-        for a, b in (
-            ("quantity", "discount_pct"),
-            ("quantity", "customer_rating"),
-            ("quantity", "total_amount"),
-            ("discount_pct", "customer_rating"),
-            ("discount_pct", "total_amount"),
-            ("customer_rating", "total_amount"),
-        )
-    ),
-    "eda_top_values": _all(_top(c) for c in ("product_name", "city", "customer_rating")),
-    "eda_box_plot": _all(_box(c) for c in ("unit_price", "quantity", "total_amount")),
+    "eda_spearman": _all(_spearman(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]),
+    "eda_top_values": _all(_top(c) for c in _NAMED),
+    "eda_box_plot": _all(_box(c) for c in NUMBERS),
 }
