@@ -185,14 +185,13 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
     shared = shared.select("band", F.col("p.doc_id").alias("pivot"), F.col("p.shared").alias("pivot_shared"), F.col("p.own").alias("pivot_own"))
     open_ = stage(groups.join(shared, "band").where("doc_id <> pivot"))
     seen = _similar(open_.where(_nearest() >= least - _EPS).select("doc_id", "pivot").distinct(), vectors)
-    found = components(_near(seen, least).union(equal))
+    found = stage(components(_near(seen, least).union(equal)))
     low, high = F.coalesce(1 - F.col("similarity"), 1 - _nearest()), F.coalesce(1 - F.col("similarity"), F.lit(1.0))
     open_ = stage(open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", low.alias("low"), high.alias("high")))
     rows = open_.count()
     compared = seen.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot"))
     while True:
         # A group is settled once its members, less those compared with all others, are of one component.
-        found = stage(found)
         at = open_.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
         sizes = at.groupBy("band", "part").agg(F.count("*").alias("n"))
         main = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -213,7 +212,8 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
         seen = _similar(pairs.join(compared, ["doc_id", "pivot"], "left_anti"), vectors)  # groups share many pairs
         compared = compared.union(seen.select("doc_id", "pivot"))
         near = _near(seen, least)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near))
+        if not near.isEmpty():
+            found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near)))
         open_ = stage(at.select("band", "doc_id", "shared", "own", "low", "high").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
 
 
