@@ -177,9 +177,10 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
     # Equal sets are one: the document of the smallest id stands for them.
     first = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
     equal = stage(sets.select("doc_id", "same").join(first, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    sets = sets.join(first.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
+    one = first.groupBy(F.col("rep").alias("doc_id")).agg(F.min("same").alias("same"))
+    sets = sets.join(one, ["doc_id", "same"], "left_semi")
     vectors = sets.select("doc_id", "keys", "weights")
-    groups = sets.select("doc_id", "shared", "own", F.explode("bands").alias("band")).distinct()
+    groups = sets.select("doc_id", "shared", "own", "bands", F.explode(F.array_distinct("bands")).alias("band")).dropDuplicates(["doc_id", "band"])
     lightest = F.min_by(F.struct("doc_id", "shared", "own"), F.struct("own", "doc_id"))
     shared = groups.groupBy("band").agg(F.count("*").alias("n"), lightest.alias("p")).where("n > 1")
     shared = shared.select("band", F.col("p.doc_id").alias("pivot"), F.col("p.shared").alias("pivot_shared"), F.col("p.own").alias("pivot_own"))
@@ -187,7 +188,7 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
     seen = _similar(open_.where(_nearest() >= least - _EPS).select("doc_id", "pivot").distinct(), vectors)
     found = stage(components(_near(seen, least).union(equal)))
     low, high = F.coalesce(1 - F.col("similarity"), 1 - _nearest()), F.coalesce(1 - F.col("similarity"), F.lit(1.0))
-    open_ = stage(open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", low.alias("low"), high.alias("high")))
+    open_ = stage(open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", "bands", low.alias("low"), high.alias("high")))
     rows = open_.count()
     compared = seen.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot"))
     while True:
@@ -206,15 +207,17 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
         strays = at.where("part <> main")
         first = strays.groupBy("band").agg(F.min("doc_id").alias("first"))
         chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", "n"), F.col("strays")) < pivots))
-        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own"), F.col("low").alias("pivot_low"), F.col("high").alias("pivot_high")))
-        pairs = at.select("band", "doc_id", "part", "shared", "own", "low", "high").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least))
+        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own"), F.col("low").alias("pivot_low"), F.col("high").alias("pivot_high"), F.col("bands").alias("pivot_bands")))
+        # A pair that shares several bands meets in the least of them only.
+        once = F.col("band") == F.array_min(F.array_intersect("bands", "pivot_bands"))
+        pairs = at.select("band", "doc_id", "part", "shared", "own", "low", "high", "bands").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least) & once)
         pairs = pairs.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
         seen = _similar(pairs.join(compared, ["doc_id", "pivot"], "left_anti"), vectors)  # groups share many pairs
         compared = compared.union(seen.select("doc_id", "pivot"))
         near = _near(seen, least)
         if not near.isEmpty():
             found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near)))
-        open_ = stage(at.select("band", "doc_id", "shared", "own", "low", "high").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
+        open_ = stage(at.select("band", "doc_id", "shared", "own", "low", "high", "bands").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
 
 
 def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strength: float = STRENGTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +225,8 @@ def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strengt
 
     ``kept`` is true where doc_id is class_id, so rows that repeat that id stay together. Texts of fewer than ``n`` words have one shingle of all their words; texts without words are in no
     class with others, null text counts as empty. Rows with a null id are kept and have a null class. Rows of
-    the same id are one document of several texts. An empty table gives an empty result.
+    the same id are one document; of several texts of an id one is compared with those of other ids, and equal texts
+    always share a class. An empty table gives an empty result.
     """
     blocks, count, documents = in_blocks(df, id_col, text_col)
     told = common_runs(blocks, count, n, short=True)
