@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort, cover_tree, fm_index, gam, host_reputation, packing, pieces, range_coder, warc, weighted_minhash
+from tillview.llm import content_sort, cover_tree, decontamination, fm_index, gam, host_reputation, packing, pieces, range_coder, warc, weighted_minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the windows of ten words of all benchmark items."""
+    return decontamination.digests(decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_vectors": op10_vectors,
+    "op13_decontamination": op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -92,4 +98,5 @@ SQL: dict[str, str] = {
     "op5_url_filter": host_reputation.SQL,
     "op6_warc": warc.SQL,
     "op10_vectors": cover_tree.SQL,
+    "op13_decontamination": decontamination.SQL,
 }

@@ -51,11 +51,14 @@ def groups_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each text the index of its first word (one more entry)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text the index of its first word (one more entry).
+
+    ``space`` tells for each byte value whether it lies between words.
+    """
     n = len(data)
     gap = np.ones(n + 2, bool)  # gap[i + 1]: byte i is white space or outside
-    gap[1 : n + 1] = _SPACE[data]
+    gap[1 : n + 1] = space[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     inside = ~gap[1 : n + 1]
