@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import content_sort, cover_tree, decontamination, fm_index, gam, host_reputation, packing, pieces, range_coder, warc, weighted_minhash
+from tillview.llm import content_sort, cover_tree, decontamination, fm_index, gam, host_reputation, packing, periods, pieces, range_coder, warc, weighted_minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, after documents chosen by their id were made to repeat."""
+    return periods.digests(periods.periodic_runs(periods.stuttering(_table(spark, sf_dir, "documents"))))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of ten words of all benchmark items."""
     return decontamination.digests(decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_vectors": op10_vectors,
+    "op11_runs": op11_runs,
     "op13_decontamination": op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
