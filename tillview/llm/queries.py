@@ -7,8 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillview.llm import content_sort, cover_tree, decontamination, fm_index, gam, host_reputation, packing, periods, pieces, range_coder, warc, weighted_minhash
+from tillview.llm import content_sort, cover_tree, decontamination, fm_index, gam, hard_negatives, host_reputation, packing, periods, pieces, range_coder, warc, weighted_minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +75,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.stuttering(_table(spark, sf_dir, "documents"))))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector among all vectors."""
+    found = hard_negatives.hard_negatives(hard_negatives.whole_scores(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of ten words of all benchmark items."""
     return decontamination.digests(decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_repeats": op9_repeats,
     "op10_vectors": op10_vectors,
     "op11_runs": op11_runs,
+    "op12_negatives": op12_negatives,
     "op13_decontamination": op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
@@ -104,5 +112,6 @@ SQL: dict[str, str] = {
     "op5_url_filter": host_reputation.SQL,
     "op6_warc": warc.SQL,
     "op10_vectors": cover_tree.SQL,
+    "op12_negatives": hard_negatives.SQL,
     "op13_decontamination": decontamination.SQL,
 }
