@@ -150,49 +150,27 @@ _WINDOWED = """SELECT y, m, n, row_number() OVER w AS rn, rank() OVER w AS rk, d
   lag(n) OVER w AS lg, lead(n) OVER w AS ld, first_value(n) OVER w AS fv, last_value(n) OVER w AS lv, nth_value(n, 2) OVER w AS nv
 FROM (SELECT year(order_date) AS y, month(order_date) AS m, COUNT(*) AS n FROM {0} GROUP BY 1, 2) WINDOW w AS (PARTITION BY y ORDER BY n DESC, m)"""
 _FUNCTIONS = """SELECT {0} FROM orders"""
-_SPARK_FUNCTIONS = {
+_FUNCTION_COLUMNS = {
     "starts": "COUNT(*) FILTER (WHERE starts_with(CAST(transaction_id AS STRING), '1'))",
     "ends": "COUNT(*) FILTER (WHERE ends_with(CAST(transaction_id AS STRING), '7'))",
     "matches": "COUNT(*) FILTER (WHERE regexp_matches(CAST(transaction_id AS STRING), '^[0-4]+$'))",
-    "first_only": "MAX(regexp_replace_first(CAST(order_date AS STRING), '-', '/'))",
-    "dow": "SUM(day_of_week_sunday_0(order_date))",
-    "iso": "SUM(isodow(order_date))",
-    "boundaries": "SUM(month_boundaries(order_date, DATE'2001-08-31'))",
-    "months": "SUM(whole_months(order_date, DATE'2001-08-31'))",
-    "seconds": "MAX(epoch(CAST(order_date AS TIMESTAMP)))",
-    "week_label": "MAX(monday_week(order_date))",
-    "joined": "MAX(concat_skip_null(CAST(line_count AS STRING), CAST(NULL AS STRING)))",
-    "whole": "SUM(trunc_number(CAST(order_revenue AS DOUBLE)))",
-    "logs": "ROUND(SUM(log_base_10(CAST(line_count AS DOUBLE))), 6)",
-    "q_cont": "ROUND(percentile(CAST(line_count AS DOUBLE), 0.3), 6)",
-    "by_min": "min_by(transaction_id, struct(order_revenue, transaction_id))",
-    "modes": "mode(line_count, true)",
-    "part": "MAX(split_part(CAST(order_date AS STRING), '-', 2))",
-    "pads": "MAX(lpad(CAST(line_count AS STRING), 4, '0'))",
-    "biggest": "MAX(greatest(line_count, 3))",
-    "tried": "COUNT(try_cast(CAST(order_date AS STRING) AS INT))",
-}
-_DUCK_FUNCTIONS = {
-    "starts": "COUNT(*) FILTER (WHERE starts_with(CAST(transaction_id AS VARCHAR), '1'))",
-    "ends": "COUNT(*) FILTER (WHERE ends_with(CAST(transaction_id AS VARCHAR), '7'))",
-    "matches": "COUNT(*) FILTER (WHERE regexp_matches(CAST(transaction_id AS VARCHAR), '^[0-4]+$'))",
-    "first_only": "MAX(regexp_replace(CAST(order_date AS VARCHAR), '-', '/'))",
+    "first_only": "MAX(regexp_replace(CAST(order_date AS STRING), '-', '/'))",
     "dow": "CAST(SUM(dayofweek(order_date)) AS BIGINT)",
     "iso": "CAST(SUM(isodow(order_date)) AS BIGINT)",
     "boundaries": "CAST(SUM(date_diff('month', order_date, DATE '2001-08-31')) AS BIGINT)",
     "months": "CAST(SUM(date_sub('month', order_date, DATE '2001-08-31')) AS BIGINT)",
     "seconds": "CAST(MAX(epoch(CAST(order_date AS TIMESTAMP))) AS BIGINT)",
     "week_label": "MAX(strftime(order_date, '%Y-W%W'))",
-    "joined": "MAX(concat(CAST(line_count AS VARCHAR), NULL))",
+    "joined": "MAX(concat(CAST(line_count AS STRING), NULL))",
     "whole": "CAST(SUM(CAST(trunc(CAST(order_revenue AS DOUBLE)) AS BIGINT)) AS BIGINT)",
     "logs": "ROUND(SUM(log(CAST(line_count AS DOUBLE))), 6)",
     "q_cont": "ROUND(quantile_cont(CAST(line_count AS DOUBLE), 0.3), 6)",
     "by_min": "arg_min(transaction_id, (order_revenue, transaction_id))",
-    "modes": "mode(line_count ORDER BY line_count)",
-    "part": "MAX(split_part(CAST(order_date AS VARCHAR), '-', 2))",
-    "pads": "MAX(lpad(CAST(line_count AS VARCHAR), 4, '0'))",
+    "modes": "mode(line_count)",
+    "part": "MAX(split_part(CAST(order_date AS STRING), '-', 2))",
+    "pads": "MAX(lpad(CAST(line_count AS STRING), 4, '0'))",
     "biggest": "MAX(greatest(line_count, 3))",
-    "tried": "COUNT(TRY_CAST(CAST(order_date AS VARCHAR) AS INT))",
+    "tried": "COUNT(TRY_CAST(CAST(order_date AS STRING) AS INT))",
 }
 
 
@@ -235,7 +213,7 @@ def insight_queries():
             )
         ),
         "sql_windows": _sql(_WINDOWED.format("orders")),
-        "sql_functions": _sql(_select(_SPARK_FUNCTIONS)),
+        "sql_functions": _sql(_select(_FUNCTION_COLUMNS)),
         **{name: _sql(text) for name, text in ADHOC.items()},
     }
 
@@ -409,6 +387,6 @@ SELECT doc_id, COUNT(token) AS total, COUNT(*) FILTER (WHERE is_verified) AS ver
   COALESCE(string_agg(CASE WHEN NOT is_verified THEN token END, ' | ' ORDER BY token), '') AS flagged_tokens, COUNT(*) FILTER (WHERE NOT is_verified) = 0 AS is_fully_verified
 FROM (SELECT doc_id FROM documents) LEFT JOIN matched USING (doc_id) GROUP BY doc_id""",
     "sql_windows": _adhoc(_WINDOWED.format("orders")),
-    "sql_functions": _adhoc(_select(_DUCK_FUNCTIONS)),
+    "sql_functions": _adhoc(_select(_FUNCTION_COLUMNS)),
     **{name: _adhoc(text) for name, text in ADHOC.items()},
 }
