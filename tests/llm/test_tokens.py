@@ -254,3 +254,23 @@ def test_token_files(spark, docs, lanes):
     assert range_coder.read_digests(range_coder.write_tokens(docs([]), BYTES, end=2)).collect() == []
     few = range_coder.write_tokens(docs([(None, None), (2, "a"), (2, "a")]), BYTES, end=2)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in range_coder.read_digests(few).collect()) == [(0, 1), (2, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_unusual_words_among_usual_ones(name, monkeypatch):
+    """Only words of unusual characters, or with white space inside, go through the whole library."""
+    rng = random.Random(2)
+    signs = "ab Z'st'll 12  .,!\t\n\r\x0b\x1c\x85\xa0éßñÀİıſΣς你好🙂é​　<|endoftext|>ﬁǅ½²"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += ["<|endoftext|> a", "ΑΣ ΟΔΟΣ. Σ", " lead", "trail ", "a  b", "a\n b", "don't WE'LL 'S's", "a ́b", "", "plain words here 你 and there"]
+    own = bpe.Encoder(public_tokenizers.path(name))
+    want = own.whole(texts)
+    assert [x for a in range(0, len(texts), 100) for x in own.encode(texts[a : a + 100])] == want
+    monkeypatch.setattr(bpe, "_KEPT", 50)  # words are forgotten all the time
+    small = bpe.Encoder(public_tokenizers.path(name))
+    assert [x for a in range(0, len(texts), 100) for x in small.encode(texts[a : a + 100])] == want
+    seen = []
+    monkeypatch.setattr(own, "whole", lambda some: seen.extend(some) or small.whole(some))
+    own.kept = {}
+    own.encode(["plain words here 你 and there"])
+    assert [w.strip() for w in seen] == ["你"]

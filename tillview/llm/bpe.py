@@ -1,14 +1,15 @@
 """Ids of whole texts by the tokenizers library, remembering the words it has seen.
 
-Both vocabularies split a text before merging, and no part reaches over a single space. So a text without
-unusual characters is cut at its spaces and only words that are not remembered go to the library, many in one
-string; any other text goes to the library as it is. The ids are the library's in either case.
+Both vocabularies split a text before merging, and no part reaches over a single space. So texts are cut at spaces, and only words
+that are not remembered are encoded: those of usual characters part by part, by the library's own merges; a word of unusual ones, or
+one with white space in it, goes through the whole library as it stands. The ids are the library's in either case.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-_KEPT = 200_000  # words remembered by one worker
+_KEPT = 300_000  # words remembered by one worker; beyond it starts afresh
 _CHUNK = 1 << 20  # characters worked on at a time
 _ODD = re.compile("[^\t\n -~¡-ɏ]")
+_ODD_UNIT = re.compile("[^ -~¡-ɏ]|(?<!^) | $")  # of a word with its space: anything else, or a space elsewhere
+_BEFORE_SPACE = re.compile("(?<=\\S)(?= )")
 _BYTE_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 _WORD_END = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -28,6 +31,20 @@ def _members(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
+def _usual(pattern: str) -> re.Pattern[str]:
+    """A pattern of the library for texts of usual characters."""
+    for kind in "LN":
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[{_members(kind)}]")
+    pattern = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_members('L')}{_members('N')}]")
+    return re.compile(pattern.replace("\\p{L}", f"[{_members('L')}]").replace("\\p{N}", f"[{_members('N')}]"))
+
+
+def _as_signs() -> dict[int, int]:
+    """Bytes as the signs that byte-level vocabularies are written in: printable ones stand for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - plain))}
+
+
 class Encoder:
     """Encodes texts to little-endian 32-bit ids, without special tokens; their strings are ordinary text."""
 
@@ -35,88 +52,76 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.library.no_truncation()
+        self.model, self.signs = self.library.model, _as_signs()
         with open(path) as f:
             spec = json.load(f)
-        names = sorted(spec["model"]["vocab"].items(), key=lambda x: x[1])
-        self.size = max(i for _, i in names) + 1
+        self.size = max(spec["model"]["vocab"].values()) + 1
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         kinds = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         first = pre.get("pretokenizers", [{}])[0]
         self.kind = None
-        if pre.get("type") == "ByteLevel" and norm is None and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.kind, marks = "space", [n.startswith("Ġ") for n, _ in names]
+        if not all(t["special"] for t in spec.get("added_tokens", [])):
+            pass  # tokens that the library takes out of a text before all else
+        elif pre.get("type") == "ByteLevel" and norm is None and pre["use_regex"] and not pre["add_prefix_space"]:
+            self.kind, self.parts = "space", _usual(_BYTE_LEVEL)
         elif kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _WORD_END} and first["invert"]:
-            self.kind, marks = "end", [n.endswith("</w>") for n, _ in names]
-            pattern = _WORD_END.replace("[\\p{L}]", f"[{_members('L')}]").replace("[\\p{N}]", f"[{_members('N')}]")
-            pattern = pattern.replace("\\p{L}", _members("L")).replace("\\p{N}", _members("N"))
-            self.parts = re.compile(pattern)
-        if self.kind:
-            self.mark = np.zeros(self.size, bool)
-            self.mark[[i for _, i in names]] = marks
+            self.kind, self.parts = "end", _usual(_WORD_END)
         self.kept: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # parts of words
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one part of a word, by the merges alone."""
+        signs = part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.signs)
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) if (tokens := self.model.tokenize(signs)) else b""
+        if len(self.known) >= _KEPT:
+            self.known.clear()
+        self.known[part] = ids
+        return ids
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words; for the vocabulary with spaces in its tokens each has one space in front."""
+        """Ids of words; for the vocabulary with spaces in its tokens they come with the space in front."""
+        known, part, split, spaced = self.known, self._part, self.parts.findall, self.kind == "space"
         out: dict[str, bytes] = {}
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            text = " " + " ".join(some) if self.kind == "space" else " ".join(some)
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-            if self.kind == "space":
-                begin = np.append(np.flatnonzero(self.mark[ids]), len(ids))
-            else:  # each word is as many parts as the pattern finds, each part ends with a marked id
-                ends = np.append(0, np.flatnonzero(self.mark[ids]) + 1)
-                begin = ends[np.append(0, np.cumsum([len(self.parts.findall(w)) for w in some]))]
-            if len(begin) != len(some) + 1:
-                raise ValueError("words and ids do not match")
-            raw, cut = ids.tobytes(), (begin * 4).tolist()
-            out.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:]))))
+        odd = []
+        for word in words:
+            if word.isascii() and word.isalpha():
+                out[word] = known.get(word) or part(word)
+            elif _ODD_UNIT.search(word) if spaced else not (word.isascii() and word.isprintable()) and (_ODD.search(word) or word != word.lower()):
+                odd.append(word)
+            else:
+                out[word] = b"".join([known.get(p) or part(p) for p in split(word)])
+        if odd:
+            out |= zip(odd, self.whole(odd))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        if self.kind is None:
+            return self.whole(texts)
         parts: list[list[str]] = []
-        fast, slow = [], []
-        for i, text in enumerate(texts):
-            text = text.lower() if self.kind == "end" else text
-            if self.kind is None or _ODD.search(text):
-                slow.append(i)
-                continue
-            words = text.split() if self.kind == "end" else text.split(" ")
-            if self.kind == "space" and "" in words:
-                slow.append(i)
-                continue
-            fast.append(i)
-            parts.append(words)
-        if slow:
-            for i, ids in zip(slow, self.whole([texts[i] for i in slow])):
-                out[i] = ids
-        heads = self.whole([p[0] for p in parts]) if self.kind == "space" and parts else None
-        missing = {w for p in parts for w in p}.difference(self.kept)
-        new = self._words(list(missing)) if missing else {}
-        if len(self.kept) + len(new) <= _KEPT:
-            self.kept |= new
-            get = self.kept.__getitem__
-        else:
-            both = _Both(self.kept, new)
-            get = both.__getitem__
-        for j, (i, p) in enumerate(zip(fast, parts)):
-            out[i] = b"".join(map(get, p)) if heads is None else heads[j] + b"".join(map(get, p[1:]))
-        return out
-
-
-class _Both(dict):
-    """The words of this call, and those remembered before."""
-
-    def __init__(self, kept: dict, new: dict):
-        super().__init__(new)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self.kept[word]
+        for text in texts:
+            if self.kind == "space":
+                parts.append(_BEFORE_SPACE.split(text) if text else [])
+            else:
+                lower = text.lower()
+                # Unusual letters are left for the library to lower.
+                parts.append(lower.split() if not _ODD.search(lower) else _cut_odd(text))
+        seen = {w for p in parts for w in p}
+        missing = seen.difference(self.kept)
+        if len(self.kept) + len(missing) > _KEPT:
+            self.kept, missing = {}, seen
+        if missing:
+            self.kept |= self._words(list(missing))
+        get = self.kept.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+
+def _cut_odd(text: str) -> list[str]:
+    """Words between spaces, tabs and line feeds; lower case where that is plain."""
+    words = [w for w in re.split("[ \t\n]+", text) if w]
+    return [w if _ODD.search(w) or _ODD.search(w.lower()) else w.lower() for w in words]
 
 
 @lru_cache(maxsize=4)
