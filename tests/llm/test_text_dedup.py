@@ -204,9 +204,10 @@ def classes(rows, least=0.8, n=5, strength=0.25):
     return {i: root(i) for i in label}
 
 
-@pytest.mark.parametrize("size", [3_000, 1 << 24])
-def test_near_duplicates(docs, monkeypatch, size):
+@pytest.mark.parametrize(("size", "group"), [(3_000, 1 << 24), (1 << 24, 6_000)])
+def test_near_duplicates(docs, monkeypatch, size, group):
     monkeypatch.setattr(exchange, "BLOCK_BYTES", size)
+    monkeypatch.setattr(weighted_minhash, "GROUP_BYTES", group)  # else cut into tiles
     rng = random.Random(7)
     rows, i = [], 0
     base = [prose(rng, rng.randrange(20, 160), 3000) for _ in range(12)]

@@ -9,10 +9,11 @@ A document can only be near another when shingles that others hold too carry tha
 settled there. For the others consistent samples are drawn (a shingle and a level of its weight, equal for
 two documents with probability equal to their similarity) and grouped to bands; documents that share a band are
 compared as far as the classes, the connected components of the links, depend on it. Documents with equal sets are
-one. All of a group are compared with the one that has least weight of its own; then, as long as a group holds several
-components, members outside its largest one are compared with the members of all others. Members of one component
-are never compared with each other, and pairs whose unshared weights, or whose distances to the first of the group,
-rule a link out are not compared at all, so a group of thousands of near copies takes about as many comparisons as it has
+one; those of a block are folded before they are sent. All of a group are compared with the one that has least weight of its own.
+A group that still holds several components then goes to one task, or, cut into tiles of bounded size, to one task for each pair of
+tiles. The task compares members outside the largest component with members of other components, joins components as it
+finds links, and compares nothing within a component. Pairs whose unshared weights, or whose distances to the first of the group,
+rule a link out are not compared, so a group of thousands of near copies takes about as many comparisons as it has
 members.
 """
 
@@ -35,7 +36,8 @@ WORDS, LEAST, STRENGTH = 5, 0.8, 0.25
 BANDS, ROWS = 16, 3
 _EPS = 1e-9  # for rounding, where a sum decides what is left out
 _LEVELS = 1 << 16
-_MEETINGS = 64  # pairs that a round looks at, for each row of the groups
+GROUP_BYTES = 16 << 20  # packed sets of a group that one task takes; a larger group is cut into tiles
+_AT_ONCE = 64  # comparisons between two looks at the components
 
 
 def _gamma_levels() -> np.ndarray:
@@ -88,8 +90,8 @@ def _weights(tf: np.ndarray, df: np.ndarray, documents: int, strength: float) ->
 
 
 def _candidates(n: int, least: float, strength: float, bands: int, rows: int, documents: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names = ["doc_id", "keys", "weights", "bands", "same", "shared", "own"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64()]
+    names = ["doc_id", "keys", "weights", "bands", "same", "shared", "own", "like"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -99,9 +101,24 @@ def _candidates(n: int, least: float, strength: float, bands: int, rows: int, do
             ids, sampler = docs.column("doc_id").to_pylist(), Sampler(bands * rows)
             for low, high, words in parts(docs, n):
                 out += some(ids[low:high], words, keys, counts, sampler)
+            out = folded(out)
         columns = [list(c) for c in zip(*out)] or [[] for _ in names]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
+    def folded(rows: list[tuple]) -> list[tuple]:
+        """Of equal sets the row of the smallest id; the others only name it."""
+        first: dict[bytes, int] = {}
+        for row in rows:
+            first[row[4]] = min(row[0], first.get(row[4], row[0]))
+        out, whole = [], set()
+        for row in rows:
+            if row[0] == first[row[4]] and row[4] not in whole:
+                whole.add(row[4])
+                out.append((*row, None))
+            else:
+                out.append((row[0], *[None] * 6, first[row[4]]))
+        return out
+
     def some(ids, words, keys, counts, sampler) -> Iterator[tuple]:
         hashes, text, tf = distinct_runs(*words.runs_or_all())
         df = counts_of(hashes, keys, counts)
@@ -163,20 +180,91 @@ def _nearest() -> F.Column:
     return F.least("shared", "pivot_shared") / (F.greatest("shared", "pivot_shared") + F.col("own") + F.col("pivot_own"))
 
 
-def _may_be_near(least: float) -> F.Column:
-    """Weights, and distances to the first document of the group (low to high is where each is), allow a link.
+class _Group:
+    """Members of a group, or of two tiles of it, with their sets side by side."""
+
+    def __init__(self, table: pa.Table, least: float, band: int):
+        self.least, self.band = least, band
+        self.ids = table.column("doc_id").to_numpy()
+        self.tile = table.column("tile").to_numpy()
+        self.shared, self.own, self.low, self.high = (table.column(c).to_numpy() for c in ("shared", "own", "low", "high"))
+        self.main = table.column("main").to_numpy()
+        self.bands = [np.array(sorted(x)) for x in table.column("bands").to_pylist()]
+        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        self.cut = np.append(0, np.cumsum([len(k) for k in keys]))
+        self.keys = np.concatenate(keys)
+        self.weights = np.concatenate([unpack_planes(x).view(np.float64) for x in table.column("weights").to_pylist()])
+        _, self.part = np.unique(table.column("part").to_numpy(), return_inverse=True)
+        self.total = np.add.reduceat(self.weights, self.cut[:-1])
+
+    def set_of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys[self.cut[i] : self.cut[i + 1]], self.weights[self.cut[i] : self.cut[i + 1]]
+
+    def possible(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those that weights, distances to the first of the group, and other bands do not rule out."""
+        # No pair is nearer than the lesser shared weight over the larger and both weights that nobody shares. One minus
+        # the similarity is a metric, so two documents are no nearer than their distances to a third differ.
+        nearest = np.minimum(self.shared[i], self.shared[others]) / (np.maximum(self.shared[i], self.shared[others]) + self.own[i] + self.own[others])
+        apart = np.maximum(self.low[i] - self.high[others], self.low[others] - self.high[i])
+        others = others[(nearest >= self.least - _EPS) & (apart <= 1 - self.least + _EPS)]
+        # A pair that shares several bands meets in the least of them only.
+        before = self.bands[i][self.bands[i] < self.band]
+        if len(before) and len(others):
+            others = others[[not np.isin(before, self.bands[j], assume_unique=True).any() for j in others.tolist()]]
+        return others
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        size = self.cut[others + 1] - self.cut[others]
+        at = np.arange(size.sum()) + np.repeat(self.cut[others] - np.append(0, np.cumsum(size)[:-1]), size)
+        keys, weights = self.set_of(i)
+        place = np.minimum(np.searchsorted(keys, self.keys[at]), len(keys) - 1)
+        common = np.where(keys[place] == self.keys[at], np.minimum(weights[place], self.weights[at]), 0)
+        common = np.add.reduceat(common, np.append(0, np.cumsum(size)[:-1]))
+        found = common / (self.total[i] + self.total[others] - common)
+        close = np.abs(found - self.least) < _EPS  # as near as rounding: by the one formula
+        for j in np.flatnonzero(close).tolist():
+            found[j] = similarity(self.set_of(i), self.set_of(int(others[j])))
+        return others[found >= self.least]
+
+    def links(self) -> list[tuple[int, int]]:
+        out = []
+        strays = np.flatnonzero(~self.main)
+        both = self.tile.min() != self.tile.max()
+        for i in strays.tolist():
+            others = np.flatnonzero(self.part != self.part[i])
+            if both:
+                others = others[self.tile[others] != self.tile[i]]
+            others = others[self.main[others] | (others > i)]
+            others = self.possible(i, others)
+            # First those at about the same distance from the first of the group.
+            others = others[np.argsort(np.abs(self.low[others] - self.low[i]), kind="stable")]
+            while len(others):
+                for j in self.near(i, others[:_AT_ONCE]).tolist():
+                    if self.part[j] != self.part[i]:
+                        out.append((int(self.ids[i]), int(self.ids[j])))
+                        self.part[self.part == self.part[j]] = self.part[i]
+                others = others[_AT_ONCE:]
+                others = others[self.part[others] != self.part[i]]
+        return out
+
+
+def _settled(least: float) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("keys", "ascending")])
+        found = _Group(table, least, table.column("band")[0].as_py()).links() if table.num_rows > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    One minus the similarity is a metric, so two documents are no nearer than their distances to a third differ.
-    """
-    apart = F.greatest(F.col("low") - F.col("pivot_high"), F.col("pivot_low") - F.col("high"))
-    return (_nearest() >= least - _EPS) & (apart <= 1 - least + _EPS)
+    return run
 
 
 def _classes(sets: DataFrame, least: float) -> DataFrame:
     """(node, component) for documents near another one that shares a band with them."""
     # Equal sets are one: the document of the smallest id stands for them.
+    equal = sets.where("like IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("like").alias("b"))
+    sets = sets.where("like IS NULL").drop("like")
     first = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    equal = stage(sets.select("doc_id", "same").join(first, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    across = sets.select("doc_id", "same").join(first, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    equal = stage(equal.union(across))
     one = first.groupBy(F.col("rep").alias("doc_id")).agg(F.min("same").alias("same"))
     sets = sets.join(one, ["doc_id", "same"], "left_semi")
     vectors = sets.select("doc_id", "keys", "weights")
@@ -188,36 +276,23 @@ def _classes(sets: DataFrame, least: float) -> DataFrame:
     seen = _similar(open_.where(_nearest() >= least - _EPS).select("doc_id", "pivot").distinct(), vectors)
     found = stage(components(_near(seen, least).union(equal)))
     low, high = F.coalesce(1 - F.col("similarity"), 1 - _nearest()), F.coalesce(1 - F.col("similarity"), F.lit(1.0))
-    open_ = stage(open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", "bands", low.alias("low"), high.alias("high")))
-    rows = open_.count()
-    compared = seen.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot"))
-    while True:
-        # A group is settled once its members, less those compared with all others, are of one component.
-        at = open_.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-        sizes = at.groupBy("band", "part").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-        main = stage(main.where("n > most").select("band", "main", (F.col("n") - F.col("most")).alias("strays"), "n"))
-        many = main.agg(*[F.sum(F.least("strays", F.lit(4**k)) * F.col("n")).alias(f"k{k}") for k in range(1, 12)]).first()
-        if many["k1"] is None:
-            return found
-        # Members outside the largest component of their group meet those of all other components: as many of them at
-        # once as make some tens of meetings for each row, so a round is in proportion to the rows.
-        pivots = max(4**k for k in range(1, 12) if k == 1 or many[f"k{k}"] <= _MEETINGS * rows)
-        at = stage(at.join(main, "band"))
-        strays = at.where("part <> main")
-        first = strays.groupBy("band").agg(F.min("doc_id").alias("first"))
-        chosen = strays.join(first, "band").where((F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id", "n"), F.col("strays")) < pivots))
-        chosen = stage(chosen.select("band", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"), F.col("shared").alias("pivot_shared"), F.col("own").alias("pivot_own"), F.col("low").alias("pivot_low"), F.col("high").alias("pivot_high"), F.col("bands").alias("pivot_bands")))
-        # A pair that shares several bands meets in the least of them only.
-        once = F.col("band") == F.array_min(F.array_intersect("bands", "pivot_bands"))
-        pairs = at.select("band", "doc_id", "part", "shared", "own", "low", "high", "bands").join(chosen, "band").where((F.col("part") != F.col("pivot_part")) & _may_be_near(least) & once)
-        pairs = pairs.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
-        seen = _similar(pairs.join(compared, ["doc_id", "pivot"], "left_anti"), vectors)  # groups share many pairs
-        compared = compared.union(seen.select("doc_id", "pivot"))
-        near = _near(seen, least)
-        if not near.isEmpty():
-            found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(near)))
-        open_ = stage(at.select("band", "doc_id", "shared", "own", "low", "high", "bands").join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti"))
+    at = open_.join(seen, ["doc_id", "pivot"], "left").select("band", "doc_id", "shared", "own", "bands", low.alias("low"), high.alias("high"))
+    at = stage(at.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
+    # A group is settled when its members, less the one compared with all others, are of one component.
+    parts_of = at.groupBy("band", "part").agg(F.count("*").alias("n"))
+    main = parts_of.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("most_of"), F.count("*").alias("n")).where("n > 1")
+    members = at.join(main.select("band", "most_of"), "band").withColumn("main", F.col("part") == F.col("most_of")).drop("most_of")
+    members = members.join(vectors, "doc_id")
+    size = members.groupBy("band").agg(F.sum(F.octet_length("keys") + F.octet_length("weights")).alias("size"))
+    tiles = size.select("band", F.ceil(2 * F.col("size") / GROUP_BYTES).cast("int").alias("tiles"))
+    tiles = tiles.withColumn("tiles", F.when(F.col("tiles") > 2, F.col("tiles")).otherwise(1))
+    members = members.join(tiles, "band").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = members.withColumns({"one": F.least("tile", "other"), "two": F.greatest("tile", "other")}).drop("other", "tiles")
+    links = stage(members.groupBy("band", "one", "two").applyInArrow(_settled(least), "a long, b long"))
+    if links.isEmpty():
+        return found
+    return stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
 
 
 def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strength: float = STRENGTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +305,7 @@ def near_duplicates(df: DataFrame, n: int = WORDS, least: float = LEAST, strengt
     """
     blocks, count, documents = in_blocks(df, id_col, text_col)
     told = common_runs(blocks, count, n, short=True)
-    schema = "doc_id long, keys binary, weights binary, bands array<long>, same binary, shared double, own double"
+    schema = "doc_id long, keys binary, weights binary, bands array<long>, same binary, shared double, own double, like long"
     found = _candidates(n, least, strength, bands, rows, documents)
     sets = stage(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(found, schema))
     classes = _classes(sets, least).withColumnRenamed("node", "doc_id")
