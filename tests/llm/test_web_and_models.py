@@ -288,3 +288,16 @@ def test_tree_covers_its_points():
         for c, r, a, b in zip(level.centre, level.radius, level.low, level.high):
             assert np.sqrt(np.maximum(0, 2 - 2 * x[order[a:b]] @ x[c])).max() <= r + 1e-7
             assert r <= 2.0 ** (1 - depth) + 1e-7
+
+
+def test_links_in_double_precision(spark):
+    """Cosines a little above and below the threshold, too near it for single precision."""
+    rows = []
+    for i, c in enumerate((0.95 + 1e-10, 0.95 - 1e-10, 0.95 + 1e-9, 0.95 - 1e-9)):
+        axis = [0.0] * 8
+        axis[2 * i] = 1.0
+        other = [0.0] * 8
+        other[2 * i], other[2 * i + 1] = c, float(np.sqrt(1 - c * c))
+        rows += [(2 * i, axis), (2 * i + 1, other)]
+    got = {r.vec_id: r.n_links for r in cover_tree.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0}

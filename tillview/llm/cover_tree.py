@@ -308,7 +308,7 @@ def _linked(points: DataFrame, least: float, block: int) -> DataFrame:
     """(rep, links, root) rows for points of one dimension; a point may have several, one for each pair of blocks."""
     n = points.count()
     pivots = _pivots(points, max(1, min(64, -(-n // block))))
-    at = stage(points.mapInArrow(_placed(pivots), "rep long, copies long, embedding array<float>, pivot int, distance double"))
+    at = stage(points.mapInArrow(_placed(pivots), "rep long, copies long, embedding array<double>, pivot int, distance double"))
     sizes = {r.pivot: r.n for r in at.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
     parts = {p: -(-m // block) for p, m in sizes.items()}
     first = dict(zip(sorted(parts), np.cumsum([0, *(parts[p] for p in sorted(parts))]).tolist()))
@@ -317,17 +317,16 @@ def _linked(points: DataFrame, least: float, block: int) -> DataFrame:
     at = at.join(F.broadcast(where), "pivot")  # a row for each of at most 64 pivots
     number = F.col("base") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     at = at.withColumn("block", number).drop("base", "parts")
-    balls = {r.block: (r.pivot, r.radius) for r in at.groupBy("block", "pivot").agg(F.max("distance").alias("radius")).collect()}
-    # Blocks that may hold a link: two numbers a block of thousands of points are compared on the driver.
-    ids = sorted(balls)
-    centre, radius = pivots[[balls[b][0] for b in ids]], np.array([balls[b][1] for b in ids])
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
-    meet = apart - radius[:, None] - radius <= np.sqrt(2 - 2 * least) + 1e-6
-    np.fill_diagonal(meet, True)
-    partners = spark.createDataFrame([(b, [int(ids[j]) for j in np.flatnonzero(meet[i])]) for i, b in enumerate(ids)], "block int, partners array<int>")
+    # Blocks that may hold a link, as a table: two balls are as far apart as their pivots, of which there are at most 64.
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    between = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "pivot int, other_pivot int, apart double")
+    balls = stage(at.groupBy("block", "pivot").agg(F.max("distance").alias("radius")))
+    others = balls.select(F.col("block").alias("other"), F.col("pivot").alias("other_pivot"), F.col("radius").alias("other_radius"))
+    near = F.col("apart") - F.col("radius") - F.col("other_radius") <= float(np.sqrt(2 - 2 * least)) + 1e-6
+    meet = balls.join(F.broadcast(between), "pivot").join(others, "other_pivot").where(near | (F.col("block") == F.col("other"))).select("block", "other")
     # Every block's tree is built once and goes with its points.
-    planted = stage(at.select("rep", "copies", "embedding", "block").groupBy("block").applyInArrow(_planted, "rep long, copies long, embedding array<float>, block int, place long, tree binary"))
-    rows = planted.join(F.broadcast(partners), "block").withColumn("other", F.explode("partners"))
+    planted = stage(at.select("rep", "copies", "embedding", "block").groupBy("block").applyInArrow(_planted, "rep long, copies long, embedding array<double>, block int, place long, tree binary"))
+    rows = planted.join(meet, "block")
     rows = rows.select("rep", "copies", "embedding", "block", "place", "tree", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     return rows.groupBy("first", "second").applyInArrow(_links_of(least), "rep long, links long, root long")
 
@@ -340,7 +339,7 @@ def links(df: DataFrame, least: float = 0.95, block: int = BLOCK, id_col: str =
     each other. Rows with the same id are different vectors of the same component (where they link at all). A row
     with a null id links with nothing and has a null component. An empty table gives an empty result; other columns are not looked at.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
