@@ -96,6 +96,15 @@ def json_wrapper(spark: SparkSession, d: str) -> DataFrame:
     return files.read_json(spark, place)
 
 
+def json_array(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays of a thousand rows or so, a file each, on one line: cut at the ends of their elements."""
+    place = _place(spark, "json")
+    row = F.to_json(F.struct(F.col("p_partkey").alias("key"), F.struct(F.concat("p_name", F.lit(' }"\n')).alias("name")).alias("of")))
+    arrays = _parts(spark, d).groupBy(F.floor(F.col("p_partkey") / 1000).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ", "), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("g").text(place)
+    return files.read_json(spark, place)
+
+
 def version_written(spark: SparkSession, d: str) -> DataFrame:
     place = _place(spark, "versions")
     first = sinks.write_version(_parts(spark, d), place, 1)
@@ -123,7 +132,7 @@ def metrics_appended(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{place}/metrics").withColumn("run_id", F.col("run_id").cast("string"))
 
 
-_MADE = (csv_round_trip, csv_line_breaks, csv_safe_cells, csv_delimiters, csv_encoding, csv_malformed, json_lines, json_wrapper, version_written, parquet_copies, result_kept, metrics_appended)
+_MADE = (csv_round_trip, csv_line_breaks, csv_safe_cells, csv_delimiters, csv_encoding, csv_malformed, json_lines, json_wrapper, json_array, version_written, parquet_copies, result_kept, metrics_appended)
 
 
 def io_queries():
@@ -141,6 +150,7 @@ SQL = {
     "io_csv_malformed": "SELECT COUNT(*) AS rows, COUNT(DISTINCT p_brand) AS brands, COUNT(*) FILTER (WHERE p_partkey % 50 = 0) AS malformed FROM part",
     "io_json_lines": """SELECT p_brand AS part__of__brand, '{"key":"' || p_partkey || '"}' AS part__of__in, p_name AS part__name, '["' || p_brand || '"]' AS tags FROM part""",
     "io_json_wrapper": "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation",
+    "io_json_array": """SELECT CAST(p_partkey AS VARCHAR) AS key, p_name || ' }"' || chr(10) AS of__name FROM part""",
     "io_version_written": """SELECT CAST(1 AS BIGINT) AS version, CAST(NULL AS BIGINT) AS parent, COUNT(*) AS rows, CAST(4 AS BIGINT) AS columns FROM part
 UNION ALL SELECT 2, 1, COUNT(*), 4 FROM part WHERE p_partkey % 2 = 0""",
     "io_parquet_copies": "SELECT p_partkey, p_name, p_brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS p_retailprice FROM part",

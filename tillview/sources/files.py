@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillview.session import stage
+from tillview.sources.records import csv_framing, json_framing, records
+
 DELIMITERS = (",", "\t", ";", "|")
 MALFORMED_LIMIT = 0.001
 MALFORMED = "_malformed"
@@ -68,7 +73,8 @@ def read_csv(
     """All columns as text, and the number of records whose field count differs from the header.
 
     Such records are padded or cut and counted; above ``tolerance`` of the rows the file is rejected. Cells with line
-    breaks are looked for unless ``multi_line`` says; a file that has them cannot be split, so one task reads it whole.
+    breaks are looked for unless ``multi_line`` says. A file that has them is read by as many tasks as any other: its records are
+    put together first (see ``records``).
     """
     if multi_line is None:
         multi_line = has_open_quotes(spark, path)
@@ -78,17 +84,21 @@ def read_csv(
         "encoding": encoding or sniff_encoding(spark, path),
         "quote": '"',
         "escape": '"',
-        "multiLine": multi_line,
         "enforceSchema": True,
     }
-    names = spark.read.options(**options).csv(path).columns
+    names = spark.read.options(**options, multiLine=multi_line).csv(path).columns  # reads no further than the header
     if not names:
         raise InvalidStructure("the file has no header")
     schema = T.StructType([T.StructField(n.lstrip("﻿"), T.StringType()) for n in names])
-    read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED).schema(
-        T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
-    )
-    df = read.csv(path)
+    kinds = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED).schema(kinds)
+    if multi_line:
+        whole, rest = records(spark, path, csv_framing(options["sep"]), options["encoding"])
+        rows = whole.where("NOT first").select("text").union(rest.select("text"))
+        line = F.replace(F.rtrim(F.col("text"), F.lit("\r")), F.lit("\r\n"), F.lit("\n"))
+        df = _texts_as(read.option("header", False), "csv", rows.select(line.alias("text")).where(F.trim("text") != ""))
+    else:
+        df = read.csv(path)
     # Every column is asked for: a record is only compared with the header when it is parsed whole.
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -102,24 +112,62 @@ def read_csv(
     return df.drop(MALFORMED), counts["bad"]
 
 
-def _json_frame(spark: SparkSession, path: str) -> DataFrame:
+def _texts_as(reader: DataFrameReader, form: str, texts: DataFrame) -> DataFrame:
+    """Texts, one record each, parsed as if they were the lines of a file."""
+    strings = getattr(texts._jdf, "as")(texts.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(getattr(reader._jreader, form)(strings), texts.sparkSession)
+
+
+# What stands before the first element of an array, alone or as the only value of an object.
+_BEFORE = {1: r"^\s*\[", 2: r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\['}
+
+
+def _elements(spark: SparkSession, path: str, depth: int) -> DataFrame | None:
+    """(text) of the objects of an array ``depth`` levels down; None when the file holds anything else beside it."""
+    whole, rest = records(spark, path, json_framing(depth))
+    # The brace that ends an object beside the array is no end of an element, so the array is all there is when what follows is.
+    if not rest.where(~F.regexp_like("text", F.lit(r"^\s*\]\s*(\}?)\s*$"))).isEmpty():
+        return None
+    begun = F.regexp_replace("text", F.when(F.col("first"), F.lit(_BEFORE[depth])).otherwise(F.lit(r"^\s*,")), F.lit(""))
+    out = stage(whole.select(F.concat(F.trim(begun), F.lit("}")).alias("text")))
+    odd = out.where(~F.regexp_like("text", F.lit(r"^\s*\{"))).first()
+    if odd is not None:
+        raise InvalidStructure(f"an element that is no object: {odd['text'][:80]}")
+    return out
+
+
+def _json_frame(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The rows as they stand, and whether they may yet be one object around an array."""
     head = spark.read.text(path).where(F.trim("value") != "").first()
     if head is None:
         raise InvalidStructure("the file is empty")
     line = head["value"].strip()
-    one_record_per_line = line.startswith("{") and line.endswith("}")
     read = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST")
-    return read.option("multiLine", not one_record_per_line).json(path)
+    if line.startswith("{") and line.endswith("}") and not _wraps(spark, path):
+        return read.json(path), True
+    depth = 1 if line.startswith("[") else 2 if _wraps(spark, path) else 0
+    texts = _elements(spark, path, depth) if depth else None
+    if texts is not None:
+        return _texts_as(read, "json", texts), False
+    return read.option("multiLine", True).json(path), True
+
+
+def _wraps(spark: SparkSession, path: str) -> bool:
+    """Whether the file begins as an object whose first value is an array of objects, and goes on after its first line or that is all it has."""
+    lines = spark.read.option("lineSep", "}").text(path).first()
+    if lines is None or not re.match(_BEFORE[2] + r"\s*\{", lines["value"]):
+        return False
+    return len(spark.read.text(path).where(F.trim("value") != "").take(2)) == 1 or "\n" in lines["value"].strip()
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects, one object per line, or an object whose only key holds such an array.
 
-    Only one object per line can be split; a file that is one array or one object is read by one task. Write large
-    inputs with one object per line.
+    Each of these is read by many tasks: arrays are cut at the closing braces of their elements, wherever line breaks are. Only
+    an object with other values beside its array, or one without an array, is read by one task; such a file is one row.
     """
-    df = _json_frame(spark, path)
-    if len(df.columns) == 1:
+    df, may_wrap = _json_frame(spark, path)
+    if may_wrap and len(df.columns) == 1:
         kind = df.schema[0].dataType
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             df = df.select(F.inline(F.col(f"`{df.columns[0]}`")))
