@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +146,14 @@ def number_style(df: DataFrame, column: str) -> str:
     return number_styles(df, [column])[column]
 
 
+# Written numbers that only one style explains.
+_ONLY = {
+    "western": r"^\d{1,3}(,\d{3})+\.\d+$|^\d{1,3}(,\d{3}){2,}$",
+    "indian": r"^\d{1,2}(,\d{2})+,\d{3}(\.\d+)?$",
+    "european": r"^\d{1,3}(\.\d{3})+,\d+$|^\d{1,3}(\.\d{3}){2,}$",
+}
+
+
 def number_styles(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     m, _ = _magnitude(F.col("v"))
     votes = (
@@ -153,20 +161,19 @@ def number_styles(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         .where(F.contains("v", F.lit(",")) | F.col("v").like("%.%.%"))  # only separators can tell
         .select("k", m.alias("m"))
         .groupBy("k")
-        .agg(
-            F.count_if(F.col("m").rlike(r"^\d{1,3}(,\d{3})+\.\d+$|^\d{1,3}(,\d{3}){2,}$")).alias("western"),
-            F.count_if(F.col("m").rlike(r"^\d{1,2}(,\d{2})+,\d{3}(\.\d+)?$")).alias("indian"),
-            F.count_if(F.col("m").rlike(r"^\d{1,3}(\.\d{3})+,\d+$|^\d{1,3}(\.\d{3}){2,}$")).alias("european"),
-        )
+        .agg(*[F.count_if(F.col("m").rlike(p)).alias(style) for style, p in _ONLY.items()])
     )
     out = dict.fromkeys(columns, "auto")
     for row in votes.collect():  # one row per column
-        best = max(("western", "indian", "european"), key=lambda style: row[style])
-        if row[best]:
-            out[columns[row["k"]]] = best
+        out[columns[row["k"]]] = _voted(row)
     return out
 
 
+def _voted(votes: Mapping[str, int]) -> str:
+    best = max(_ONLY, key=lambda style: votes[style])
+    return best if votes[best] else "auto"
+
+
 def number_text(c: Column, style: str | Column = "auto") -> Column:
     """A written number in plain notation, or NULL when it does not follow the style."""
     m, negative = _magnitude(c)
@@ -246,17 +253,31 @@ def infer_types(
 ) -> list[ColumnType]:
     """One decision per text column from counts over every row.
 
-    Cells are folded to one row of counts per column inside each task, so no cell is shuffled. Distinct
-    values are counted only for the columns that are neither numbers, dates nor booleans.
+    One scan folds all cells to one row of counts per column inside each task, so no cell is shuffled: which null tokens there are,
+    which style numbers have, and how many cells read as each type in every style. Distinct values are counted only for the columns that are
+    neither numbers, dates nor booleans, and for whole numbers that may count the rows.
     """
     columns = list(columns or df.columns)
-    codes = _codes_columns(df, columns)
-    strict = without_null_tokens(df, columns, keep_unknown=False, codes=codes)
-    styles = number_styles(strict, columns)
     found: dict[str, ColumnType] = {c: ColumnType(c, "TEXT", 0) for c in columns}
-    for row in _evidence(strict, columns, styles).collect():  # one row per column
-        c = columns[row["k"]]
-        found[c] = _decide(c, row.asDict(), styles[c], date_order, identifiers)
+    codes = set()
+    for row in _evidence(df, columns).collect():  # one row per column
+        c, ev = columns[row["k"]], row.asDict()
+        if ev["labels"] and ev["codes"] / ev["labels"] >= 0.9:  # two-letter codes, where NA is one
+            codes.add(c)
+            ev["n"] += ev["na"]
+        style = _voted(ev)
+        kind = {"indian": "western"}.get(style, style)
+        ev |= {name: ev[f"{name}_{kind}"] for name in _NUMBER_COUNTS}
+        found[c] = _decide(c, ev, style, date_order, identifiers)
+    counting = [c for c in columns if "ROW_INDEX_CANDIDATE" in found[c].notes]
+    if counting:
+        # From 1 to n in n rows: an index of the rows when no number comes twice.
+        values = [F.count_distinct(parse_number(F.trim(F.col(f"`{c}`")), found[c].style, "bigint")).alias(c) for c in counting]
+        for c, n in df.agg(*values).first().asDict().items():
+            if n == found[c].n:
+                found[c].type = "IDENTIFIER"
+            else:
+                found[c].notes.remove("ROW_INDEX_CANDIDATE")
     text = [c for c in columns if found[c].type == "TEXT"]
     if text:
         _decide_text(without_null_tokens(df, text, codes=codes), text, found)
@@ -266,15 +287,19 @@ def infer_types(
 _SHAPES = tuple(dict.fromkeys(shape for _, shape, _, _ in DATE_FORMATS))
 
 
-def _evidence(df: DataFrame, columns: Sequence[str], styles: dict[str, str]) -> DataFrame:
+_NUMBER_STYLES = ("auto", "western", "european")
+_NUMBER_COUNTS = ("num", "integral", "exponent", "places", "lo", "hi", "total")
+
+
+def _evidence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: how many cells read as each type, from one scan without a shuffle of cells."""
     v = F.col("v")
-    style = F.array(*[F.lit(styles[c]) for c in columns])[F.col("k")]
     # Cells without a digit and plain numbers are told by what is left when the digits go; the patterns
     # run on the rest.
     rest = F.col("rest")
     plain_rest = rest.isin("", ".") | (F.startswith(v, F.lit("-")) & rest.isin("-", "-."))
-    look = F.when(rest == v, "text").when(plain_rest, "plain").otherwise("written")
+    token = _is_token(v)
+    look = F.when((rest == v) & token, "token").when(rest == v, "text").when(plain_rest, "plain").otherwise("written")
     written, plain = F.col("look") == "written", F.col("look") == "plain"
     magnitude, negative = _magnitude(v)
     # Each cell has one date shape, so it is parsed by the formats of that shape only.
@@ -289,9 +314,9 @@ def _evidence(df: DataFrame, columns: Sequence[str], styles: dict[str, str]) ->
         .select("k", "v", "rest", look.alias("look"))
         .withColumn("d", F.when(written, _four_digit_years(v)).when(plain & (F.length(v) == 8), v))
         .withColumn("shape", shape)
-        .withColumns({"m": F.when(number_like, magnitude), "neg": F.when(number_like, negative), "style": style})
-        .withColumn("t", F.when(plain, v).when(number_like, _plain_digits(F.col("m"), F.col("neg"), F.col("style"))))
-        .withColumn("x", F.col("t").try_cast("double"))
+        .withColumns({"m": F.when(number_like, magnitude), "neg": F.when(number_like, negative)})
+        .withColumns({f"t_{s}": F.when(plain, v).when(number_like, _plain_digits(F.col("m"), F.col("neg"), s)) for s in _NUMBER_STYLES})
+        .withColumns({f"x_{s}": F.col(f"t_{s}").try_cast("double") for s in _NUMBER_STYLES})
     )
     over_12 = r"(?:1[3-9]|[2-9]\d)"
     day_first = F.col("d").rlike(rf"^{over_12}[/-]\d{{1,2}}[/-]\d{{4}}")
@@ -300,21 +325,29 @@ def _evidence(df: DataFrame, columns: Sequence[str], styles: dict[str, str]) ->
         F.count(F.when(F.col("shape") == _SHAPES.index(s), F.try_to_timestamp("d", F.lit(p)))).alias(f"fmt{i}")
         for i, (_, s, p, _) in enumerate(DATE_FORMATS)
     ]
-    t, x = F.col("t"), F.col("x")
+    lower, is_text = F.lower(v), F.col("look") == "text"
+    numbers = []
+    for s in _NUMBER_STYLES:
+        t, x = F.col(f"t_{s}"), F.col(f"x_{s}")
+        whole = F.when(plain, rest.isin("", "-") & ((F.length(v) < 18) | t.try_cast("bigint").isNotNull())).when(written, t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull())
+        numbers += [
+            F.count(x).alias(f"num_{s}"),
+            F.count_if(whole).alias(f"integral_{s}"),
+            F.count_if(written & F.contains(F.lower(t), F.lit("e"))).alias(f"exponent_{s}"),
+            F.max(F.when(x.isNotNull() & F.contains(t, F.lit(".")), F.length(F.substring_index(t, ".", -1)))).alias(f"places_{s}"),
+            F.min(x).alias(f"lo_{s}"),
+            F.max(x).alias(f"hi_{s}"),
+            F.sum(x).alias(f"total_{s}"),
+        ]
     return cells.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((F.col("look") == "text") & F.lower(v).isin(*BOOLEAN_TOKENS)).alias("bool"),
+        F.count_if(F.col("look") != "token").alias("n"),
+        F.count_if((F.col("look") == "token") & (lower == "na")).alias("na"),
+        F.count_if(F.col("look") != "token").alias("labels"),
+        F.count_if(is_text & v.rlike("^[A-Z]{2}$")).alias("codes"),
+        F.count_if(is_text & lower.isin(*BOOLEAN_TOKENS)).alias("bool"),
         F.count_if(plain & v.isin("0", "1")).alias("bits"),
-        F.count(x).alias("num"),
-        F.count_if(
-            F.when(plain, rest.isin("", "-") & ((F.length(v) < 18) | t.try_cast("bigint").isNotNull())).when(
-                written, t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull()
-            )
-        ).alias("integral"),
-        F.count_if(written & F.contains(F.lower(t), F.lit("e"))).alias("exponent"),
-        F.max(F.when(x.isNotNull() & F.contains(t, F.lit(".")), F.length(F.substring_index(t, ".", -1)))).alias("places"),
-        F.min(x).alias("lo"),
-        F.max(x).alias("hi"),
+        *[F.count_if(F.col("m").rlike(p)).alias(style) for style, p in _ONLY.items()],
+        *numbers,
         F.count_if(written & F.endswith(v, F.lit("%"))).alias("percent"),
         F.count_if(written & (F.col("shape") >= 0) & day_first).alias("day_high"),
         F.count_if(written & (F.col("shape") >= 0) & month_first).alias("month_high"),
@@ -360,7 +393,7 @@ def _decide(c: str, ev: dict, style: str, date_order: str, identifiers: Sequence
             notes.append("PERCENT_SUFFIX")
         kind = "INTEGER" if whole else "NUMERIC" if (ev["places"] or 0) <= 4 and not ev["exponent"] else "FLOAT"
         out = ColumnType(c, kind, n, p_num, style=style, decimals=ev["places"] or 0, notes=notes)
-        if kind == "INTEGER" and ev["lo"] == 1 and ev["hi"] == n and ev["num"] == n:
+        if kind == "INTEGER" and ev["lo"] == 1 and ev["hi"] == n and ev["num"] == n and abs(ev["total"] * 2 / (n * (n + 1)) - 1) < 1e-9:
             out.notes.append("ROW_INDEX_CANDIDATE")
         return out
     if p_date >= 0.98:

@@ -35,6 +35,48 @@ def _exact(df):
     return df.select(*[F.col(f.name).cast("decimal(18,4)").alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
 
+# Columns of text made of the orders, the same expressions in both engines: every style of number, dates, mixtures, null tokens, a row index.
+_ISO = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_DAY, _MONTH, _YEAR = (f"substr({_ISO}, {a}, {n})" for a, n in ((9, 2), (6, 2), (1, 4)))
+_X = "((o_orderkey * 7919) % 90000000 + 1000000)"
+
+
+def _digits(unit: int, size: int) -> str:
+    number = f"CAST(floor({_X} / {unit}) AS BIGINT)"
+    return f"lpad(CAST({number} % {10**size} AS STRING), {size}, '0')"
+
+
+WRITTEN = {
+    "place": "CAST(o_orderkey AS STRING)",
+    "order_no": "CAST(o_orderkey AS STRING)",
+    "western": f"'$' || {_digits(1000000, 2)} || ',' || {_digits(1000, 3)} || ',' || {_digits(1, 3)} || '.50'",
+    "indian": f"'₹' || {_digits(10000000, 1)} || ',' || {_digits(100000, 2)} || ',' || {_digits(1000, 2)} || ',' || {_digits(1, 3)} || '.75'",
+    "european": f"{_digits(1000000, 2)} || '.' || {_digits(1000, 3)} || '.' || {_digits(1, 3)} || ',25'",
+    "bracketed": f"'(' || {_digits(1, 3)} || ')'",
+    "share": "CAST(o_orderkey % 100 AS STRING) || '%'",
+    "powers": "CAST(o_orderkey % 9 + 1 AS STRING) || '.5e3'",
+    "flag_active": "CAST(o_orderkey % 2 AS STRING)",
+    "bits": "CAST(o_orderkey % 2 AS STRING)",
+    "answer": "CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'No' END",
+    "day_first": f"{_DAY} || '/' || {_MONTH} || '/' || {_YEAR}",
+    "month_first": f"{_MONTH} || '/' || {_DAY} || '/' || {_YEAR}",
+    "iso": _ISO,
+    "both_orders": f"CASE WHEN o_orderkey % 10 = 0 THEN {_MONTH} || '/' || {_DAY} ELSE {_DAY} || '/' || {_MONTH} END || '/' || {_YEAR}",
+    "mostly_dates": f"CASE WHEN o_orderkey % 10 = 0 THEN 'soon' ELSE {_ISO} END",
+    "mostly_numbers": "CASE WHEN o_orderkey % 8 = 0 THEN 'n.k.' ELSE CAST(o_orderkey % 50 AS STRING) END",
+    "gaps": "CASE o_orderkey % 4 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'unknown' ELSE CAST(o_orderkey % 7 AS STRING) END",
+    "land": "CASE o_orderkey % 20 WHEN 0 THEN 'NA' WHEN 1 THEN '-' ELSE 'DE' END",
+    "label": "o_orderpriority",
+    "ticket": "'tk' || CAST(o_orderkey AS STRING)",
+    "remark": "'order ' || CAST(o_orderkey AS STRING) || ' is here'",
+}
+
+
+def _written(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr(*[f"{e} AS {c}" for c, e in WRITTEN.items()])
+    return plain(typing.type_table(orders, typing.infer_types(orders)))
+
+
 def _near_distinct(df):
     """The exact count of every column and whether the sketch is within a tenth of it."""
     sketch = profile.approximate_distinct(df)
@@ -73,6 +115,7 @@ def profile_queries():
             lambda df: profile.protect(df.select("customer_id").distinct(), ["customer_id"], "HASH", "package-secret")
         ),
         "null_token_counts": _q(lambda df: typing.null_token_counts(df, ["category", "payment_method"])),
+        "type_written": _written,
         "type_table": _q(lambda df: typing.type_table(df, typing.infer_types(as_text(df)))),
         "typed_version": _q(lambda df: typing.typed(as_text(df), typing.infer_types(as_text(df)))),
         "role_mapping": _q(_role_map),
@@ -192,3 +235,35 @@ WHERE token IN ({', '.join(f"'{t}'" for t in typing.NULL_TOKENS)}) GROUP BY ALL"
         ]
     ),
 }
+
+
+def _written_twin() -> str:
+    """Types by the rules of the table: shares of cells that read as numbers in the style most of them need, as dates, as yes or no."""
+    tokens = ", ".join(f"'{t}'" for t in typing.NULL_TOKENS)
+    cells = "\nUNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS c, trim({e}) AS v FROM orders" for i, (c, e) in enumerate(WRITTEN.items(), 1))
+    return f"""WITH cells AS ({cells}),
+coded AS (SELECT ordinal, COUNT(*) FILTER (WHERE regexp_full_match(v, '[A-Z]{{2}}')) >= 0.9 * COUNT(*) AS codes FROM cells WHERE lower(v) NOT IN ({tokens}) GROUP BY ordinal),
+clean AS (SELECT ordinal, c, v, regexp_replace(regexp_replace(v, '^[₹$]|%$', '', 'g'), '^\\((.*)\\)$', '-\\1') AS m, contains(v, '%') AS pct
+  FROM cells JOIN coded USING (ordinal) WHERE lower(v) NOT IN ({tokens}) OR (codes AND lower(v) = 'na')),
+style AS (SELECT ordinal, COUNT(*) FILTER (WHERE regexp_full_match(m, '[0-9]{{1,3}}(\\.[0-9]{{3}})+,[0-9]+')) > 0 AS euro FROM clean GROUP BY ordinal),
+plain AS (SELECT *, CASE WHEN euro THEN replace(replace(m, '.', ''), ',', '.') ELSE replace(m, ',', '') END AS t FROM clean JOIN style USING (ordinal)),
+read AS (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]+/|^[0-9]{{4}}-') THEN NULL ELSE TRY_CAST(t AS DOUBLE) END AS x, try_strptime(v, '%Y-%m-%d') AS iso, try_strptime(v, '%d/%m/%Y') AS dmy, try_strptime(v, '%m/%d/%Y') AS mdy FROM plain),
+shares AS (SELECT ordinal, c, COUNT(*) AS n, COUNT(x) AS num, COUNT(*) FILTER (WHERE regexp_full_match(t, '-?[0-9]+') AND x IS NOT NULL) AS whole, bool_or(contains(lower(t), 'e') AND x IS NOT NULL) AS sci, bool_or(pct) AS pct,
+  MIN(x) AS lo, MAX(x) AS hi, COUNT(DISTINCT v) AS kinds, AVG(length(v)) AS len, COUNT(*) FILTER (WHERE contains(v, ' ')) / COUNT(*) AS spaced,
+  bool_and(lower(v) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n')) OR (bool_and(v IN ('0', '1')) AND c = 'flag_active') AS flag,
+  COUNT(iso) AS iso, COUNT(dmy) AS dmy, COUNT(mdy) AS mdy, bool_or(TRY_CAST(split_part(v, '/', 1) AS INT) > 12 AND contains(v, '/')) AS day_high, bool_or(TRY_CAST(split_part(v, '/', 2) AS INT) > 12) AS month_high
+  FROM read GROUP BY ordinal, c),
+dates AS (SELECT *, greatest(iso, CASE WHEN month_high AND NOT day_high THEN 0 ELSE dmy END, CASE WHEN month_high THEN mdy ELSE 0 END) / n AS p_date, num / n AS p_num FROM shares),
+named AS (SELECT *, CASE WHEN c = 'order_no' AND (p_num < 0.98 OR whole = num) THEN 'IDENTIFIER' WHEN flag THEN 'BOOLEAN'
+    WHEN p_num >= 0.98 AND whole = num AND lo = 1 AND hi = n AND kinds = n AND num = n THEN 'IDENTIFIER' WHEN p_num >= 0.98 THEN CASE WHEN whole = num THEN 'INTEGER' WHEN sci THEN 'FLOAT' ELSE 'NUMERIC' END
+    WHEN p_date >= 0.98 THEN 'DATE' WHEN greatest(p_num, p_date) >= 0.8 THEN 'MIXED'
+    WHEN kinds / n >= 0.95 AND n >= 50 AND len <= 40 AND spaced < 0.2 THEN 'IDENTIFIER' WHEN kinds <= least(1000, greatest(50, ceil(n / 20))) AND len <= 50 THEN 'CATEGORICAL' ELSE 'TEXT' END AS kind FROM dates),
+final AS (SELECT *, kind = 'MIXED' AND p_date > p_num AS as_date, kind IN ('INTEGER', 'NUMERIC', 'FLOAT') OR (kind = 'IDENTIFIER' AND c = 'place') AS as_number FROM named)
+SELECT CAST(ordinal AS BIGINT) AS ordinal, c AS "column", CASE kind WHEN 'MIXED' THEN 'TEXT' ELSE kind END AS type, CASE WHEN kind = 'MIXED' THEN CASE WHEN as_date THEN 'DATE' ELSE 'NUMERIC' END END AS intended, n,
+  CAST(CASE WHEN as_number THEN p_num WHEN kind = 'DATE' OR as_date THEN p_date WHEN kind = 'MIXED' THEN p_num ELSE 1 END AS DOUBLE) AS parse_rate,
+  CASE WHEN kind = 'DATE' OR kind = 'MIXED' THEN CASE WHEN iso > 0 OR p_date = 0 THEN 'yyyy-MM-dd' WHEN month_high AND NOT day_high THEN 'M/d/yyyy' ELSE 'd/M/yyyy' END END AS pattern,
+  concat_ws(',', CASE WHEN day_high AND month_high AND kind IN ('DATE', 'MIXED') THEN 'FORMAT_INCONSISTENCY' END, CASE WHEN as_number AND pct THEN 'PERCENT_SUFFIX' END,
+    CASE WHEN kind = 'IDENTIFIER' AND c = 'place' THEN 'ROW_INDEX_CANDIDATE' END, CASE WHEN kind = 'MIXED' THEN 'TYPE_INCONSISTENCY' END) AS notes FROM final"""
+
+
+SQL["type_written"] = _written_twin()
