@@ -24,6 +24,7 @@ from tillview.functions.columns import (
 )
 from tillview.operators.eda import adjusted_skewness, number
 from tillview.operators.ordering import quantiles
+from tillview.session import stage
 
 # Fixed values of the basic score.
 NON_NEGATIVE = ("quantity", "unit_price", "total_amount")
@@ -742,24 +743,38 @@ def extreme_rows(df: DataFrame, column: str, order: Sequence[str], k: float = 1.
     )
 
 
-def lineage_issues(versions: DataFrame, operations: DataFrame, version: str) -> DataFrame:
+def ancestors(versions: DataFrame, version: object) -> DataFrame:
+    """(version) of a version and all it was made from; ``versions`` holds (version, parent).
+
+    Pointers are doubled: after k rounds each version points 2^k steps back, so that a line of n versions takes about log2(n) rounds.
+    A line that comes back to itself is refused; versions beside the line do not matter. A parent that is no row of the table ends the line, and
+    a version that is no row has only itself.
+    """
+    spark = versions.sparkSession
+    jumps = stage(versions.where("version IS NOT NULL AND parent IS NOT NULL").select("version", "parent").distinct())
+    count = versions.count()
+    kind = versions.schema["version"].dataType
+    line = spark.range(1).select(F.lit(version).cast(kind).alias("version"))
+    steps = 1
+    while True:
+        further = stage(line.join(jumps, "version").select(F.col("parent").alias("version")))
+        if further.isEmpty():
+            return line
+        if steps > count:
+            raise ValueError(f"version {version} is its own ancestor")
+        line = stage(line.union(further).distinct())
+        back = jumps.select(F.col("version").alias("parent"), F.col("parent").alias("before"))
+        jumps = stage(jumps.join(back, "parent").select("version", F.col("before").alias("parent")).distinct())
+        steps *= 2
+
+
+def lineage_issues(versions: DataFrame, operations: DataFrame, version: object) -> DataFrame:
     """Cleaning operations of a version and its ancestors as removed issues, which are never scored.
 
     ``versions``: (version, parent). ``operations``: (version, operation, column, rows_affected).
     """
-    versions.createOrReplaceTempView("_versions")
-    chain = versions.sparkSession.sql(
-        """
-        WITH RECURSIVE chain(version, parent) AS (
-          SELECT version, parent FROM _versions WHERE version = :version
-          UNION ALL
-          SELECT v.version, v.parent FROM _versions v JOIN chain c ON v.version = c.parent)
-        SELECT version FROM chain
-        """,
-        args={"version": version},
-    )
     return (
-        operations.join(chain, "version")
+        operations.join(ancestors(versions, version), "version")
         .where("rows_affected > 0")
         .select("version", F.col("operation").alias("issue_type"), "column", "rows_affected")
         .withColumn("handling", F.lit("REMOVED"))

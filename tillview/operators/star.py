@@ -63,15 +63,15 @@ def dim_customer(rel: Relations) -> DataFrame:
     """One row per customer with lifetime figures, scores and segment as of the reference date."""
     people = rel.customers()
     count, text = F.col("order_count"), F.col("order_count").cast("string")
-    out = people.select(
-        "customer_id",
-        "first_purchase_date",
-        "last_purchase_date",
-        "order_count",
-        F.col("total_revenue").alias("lifetime_revenue"),
-        F.when(count >= 5, "5+").otherwise(text).alias("purchase_frequency_bucket"),
-        F.least(count, F.lit(5)).cast("int").alias("purchase_frequency_sort"),
-    )
+    made = {
+        "customer_id": F.col("customer_id"),
+        **{c: F.col(c) for c in ("first_purchase_date", "last_purchase_date") if c in people.columns},
+        "order_count": count,
+        "lifetime_revenue": F.col("total_revenue"),
+        "purchase_frequency_bucket": F.when(count >= 5, "5+").otherwise(text),
+        "purchase_frequency_sort": F.least(count, F.lit(5)).cast("int"),
+    }
+    out = people.select(*[e.alias(c) for c, e in made.items()])
     extra = [c for c in ("customer_age", "gender") if rel.source.has(c)]
     if extra:
         about = rel.tx("customer_id", *extra).groupBy("customer_id").agg(*[F.min(c).alias(c) for c in extra])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillview.functions.columns import month_of, of_groups, one_row, ratio
-from tillview.operators import rfm
+from tillview.operators import availability, rfm
 from tillview.operators.ordering import ntile_of, quantiles, ranked
 from tillview.operators.relations import Relations, Unavailable
 
@@ -615,7 +618,7 @@ def location_totals(rel: Relations) -> DataFrame:
     )
 
 
-TEMPLATES = {
+_TEMPLATES = {
     f.__name__: f
     for f in (
         sales_total_revenue,
@@ -666,3 +669,18 @@ TEMPLATES = {
     "geo_revenue_by_country_state": lambda rel: geo_revenue(rel, "country", "state"),
     "geo_revenue_by_country_state_city": lambda rel: geo_revenue(rel, "country", "state", "city"),
 }
+
+
+def _asking(name: str, build: Callable[[Relations], DataFrame]) -> Callable[[Relations], DataFrame]:
+    @functools.wraps(build)
+    def run(rel: Relations) -> DataFrame:
+        why = availability.require(name, rel.source.has)
+        if why:
+            raise Unavailable(why)
+        return build(rel)
+
+    return run
+
+
+# A template whose roles are not mapped says so before anything is built.
+TEMPLATES = {name: _asking(name, build) for name, build in _TEMPLATES.items()}

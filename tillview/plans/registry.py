@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillview.functions.columns import rounded
 from tillview.operators import templates
 from tillview.operators.relations import Relations
-from tillview.plans import analytics_queries, insight_queries, io_queries, profile_queries, quality_queries, sql_queries, star_queries, template_sql
+from tillview.plans import analytics_queries, insight_queries, io_queries, model_queries, profile_queries, quality_queries, sql_queries, star_queries, template_sql
 from tillview.plans.edge import plain
 from tillview.plans.shared import relations
 
@@ -63,6 +63,7 @@ GROUPS: list[tuple[Callable[[], dict[str, Query]], dict[str, str]]] = [
     (star_queries.star_queries, star_queries.SQL),
     (insight_queries.insight_queries, insight_queries.SQL),
     (io_queries.io_queries, io_queries.SQL),
+    (model_queries.model_queries, model_queries.SQL),
     (sql_queries.sql_queries, sql_queries.SQL),
 ]
 
