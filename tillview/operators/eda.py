@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
@@ -141,58 +142,58 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return out.withColumn("correlation", rounded("correlation", 3))
 
 
+_PAIRS_AT_ONCE = 40
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the rows where both are present; ties share a rank.
 
-    Rows are first counted per pair of values and values per side, so a frequent value is one row. All
-    sides are ranked together in one range shuffle.
+    Equal rows are one, with their number. A column is ranked once for all partners that are missing in the same rows of it: once
+    altogether where nothing is missing. All these rankings share one range shuffle of distinct values; ranks then come back to
+    their rows as one array a row, and the sums of all pairs are taken from it without a further shuffle. The driver
+    sees one count for each pattern of missing columns.
     """
     pairs = list(combinations(columns, 2))
     data = df.select(*[number(c).alias(c) for c in columns])
-    entries = F.array(
-        *[
-            F.when(
-                F.col(a).isNotNull() & F.col(b).isNotNull(),
-                F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    cells = stage(
-        data.select(F.explode(F.array_compact(entries)).alias("e"))
-        .groupBy("e.pair", "e.x", "e.y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sides = F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"))
-    )
-    values = (
-        cells.select("pair", "n", F.explode(sides).alias("s"))
-        .groupBy("pair", "s.side", "s.v")
-        .agg(F.sum("n").alias("n"))
-    )
-    placed = ranked(values, [F.col("v")], within=["pair", "side"], running={"upto": "n"})
-    mid = placed.select("pair", "side", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("r"))
-    rx = mid.where("side = 'x'").select("pair", F.col("v").alias("x"), F.col("r").alias("rx"))
-    ry = mid.where("side = 'y'").select("pair", F.col("v").alias("y"), F.col("r").alias("ry"))
-    joined = cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    size = cells.groupBy("pair").agg(F.sum("n").alias("size"))
-    # Ranks of a side average (size + 1) / 2, whatever the ties.
-    dx, dy = (F.col(c) - (F.col("size") + 1) / 2 for c in ("rx", "ry"))
-    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
-    return (
-        joined.join(size, "pair")
-        .groupBy("pair")
-        .agg(
-            F.try_divide(
-                F.sum(F.col("n") * dx * dy), F.sqrt(F.sum(F.col("n") * dx * dx)) * F.sqrt(F.sum(F.col("n") * dy * dy))
-            ).alias("c")
-        )
-        .where(F.col("c").isNotNull())
-        .select(
-            names[F.col("pair")]["x"].alias("x"), names[F.col("pair")]["y"].alias("y"), rounded("c", 6).alias("correlation")
-        )
-    )
+    bits = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0).cast("long") for i, c in enumerate(columns)]
+    present = functools.reduce(lambda a, b: a + b, bits)
+    rows = data.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("present", present)
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()))
+    patterns = {r["present"]: r["n"] for r in rows.groupBy("present").agg(F.sum("n").alias("n")).collect()}
+    # Rankings: a column, and which rows of it count; partners that agree on these share one.
+    slots: dict[tuple[int, frozenset[int]], int] = {}
+    slot_of = {}
+    for a in range(len(columns)):
+        for b in range(len(columns)):
+            if a != b:
+                counted = frozenset(m for m in patterns if m >> a & 1 and m >> b & 1)
+                slot_of[a, b] = slots.setdefault((a, counted), len(slots))
+    entries = [
+        F.when(F.col("present").isin(*counted), F.struct(F.lit(slot).alias("slot"), F.col(columns[a]).alias("v"))) for (a, counted), slot in slots.items() if counted
+    ]
+    if not entries:
+        return fixed_rows(df.sparkSession, [], "x string, y string, correlation double")
+    cells = rows.select("row", "n", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("row", "n", "e.slot", "e.v")
+    values = cells.groupBy("slot", "v").agg(F.sum("n").alias("n"))
+    placed = ranked(values, [F.col("v")], within=["slot"], running={"upto": "n"})
+    mid = placed.select("slot", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("r"))
+    ranks = cells.join(mid, ["slot", "v"]).groupBy("row", "n").agg(F.map_from_entries(F.collect_list(F.struct("slot", "r"))).alias("r"))
+    ranks = stage(ranks.select("n", *[F.try_element_at("r", F.lit(slot)).alias(f"r{slot}") for slot in range(len(slots))]))
+    out = []
+    for at in range(0, len(pairs), _PAIRS_AT_ONCE):
+        sums = []
+        for i, (x, y) in enumerate(pairs[at : at + _PAIRS_AT_ONCE]):
+            a, b = columns.index(x), columns.index(y)
+            size = sum(n for m, n in patterns.items() if m >> a & 1 and m >> b & 1)
+            # Ranks of a side average (size + 1) / 2, whatever the ties.
+            both = F.col(f"r{slot_of[b, a]}").isNotNull() & F.col(f"r{slot_of[a, b]}").isNotNull()
+            dx, dy = (F.when(both, F.col(f"r{s}") - (size + 1) / 2) for s in (slot_of[a, b], slot_of[b, a]))
+            products = (F.sum(F.col("n") * p * q) for p, q in ((dx, dy), (dx, dx), (dy, dy)))
+            xy, xx, yy = products
+            sums.append(F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)).alias(f"c{i}"))
+        found = ranks.agg(*sums).first()
+        out += [(x, y, found[f"c{i}"]) for i, (x, y) in enumerate(pairs[at : at + _PAIRS_AT_ONCE]) if found[f"c{i}"] is not None]
+    return fixed_rows(df.sparkSession, out, "x string, y string, correlation double").withColumn("correlation", rounded("correlation", 6))
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame:

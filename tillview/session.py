@@ -44,9 +44,17 @@ def local_session(cores: str | int = "*", app: str = "tillview", shared: str | N
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: what ``spark.checkpoint.dir`` names, or else a folder in the warehouse."""
+    """Folder all executors can reach: what ``spark.checkpoint.dir`` names, or else a folder in the warehouse.
+
+    A warehouse that is a folder of each machine will do on one machine only; a cluster must name a shared one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    if named:
+        return named
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    if ("://" not in warehouse or warehouse.startswith("file:")) and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return f"{warehouse.rstrip('/')}/staged"
 
 
 def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
