@@ -106,3 +106,30 @@ def test_ranked_insights_need_a_metric(spark):
     got = [(r["rule_key"], r["impact_rank"], r["is_association"]) for r in insights.ranked_insights(df).collect()]
     assert got == [("high_value_revenue_concentration", 1, False), ("discount_and_revenue", 2, True)]
     assert insights.ranked_insights(df.where(F.lit(False))).isEmpty()
+
+
+def test_numbers_in_long_texts(spark, monkeypatch):
+    """Rows of many tokens give what rows of few give, and a text of a megabyte is done in no time."""
+    import random
+    import time
+
+    rng = random.Random(5)
+
+    def token():
+        x = rng.randrange(1, 4000)
+        return rng.choice([f"{x}.{x % 10}", f"1,{x % 900 + 100}.{x % 7}", f"₹{x}.{x % 10}", f"{x % 100}.{x % 10}%", f"{x % 50}.5x", f"{x}", "word"])
+
+    rows = [(i, " ".join(token() for _ in range(rng.choice([0, 5, 150])))) for i in range(40)] + [(99, None), (98, "")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    order = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(claims, "_FEW", 10**6)
+    want = order(claims.extract(texts))
+    for few in (0, 20):
+        monkeypatch.setattr(claims, "_FEW", few)
+        assert order(claims.extract(texts)) == want
+    monkeypatch.undo()
+    long = " ".join(f"{i}.{i % 1000:03d}" for i in range(10_000, 120_000))
+    assert len(long) > 1_000_000
+    began = time.time()
+    assert claims.extract(spark.createDataFrame([(1, long)], "doc_id int, text string")).count() == 110_000
+    assert time.time() - began < 120

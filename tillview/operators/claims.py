@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillview.functions.columns import rounded
+from tillview.session import stage
 
 # The written forms that are looked for. (?U) gives digits, spaces and word edges their
 # Unicode meaning.
@@ -40,11 +41,55 @@ def _currency_value(token: Column) -> Column:
     return _digits(token) * times
 
 
+_FEW = 64  # tokens that are compared with each other within their row
+_STRETCH = r"[\p{Nd},.]+"
+
+
+def _alone_of_few(found: DataFrame) -> DataFrame:
+    """``n`` without the numbers that are part of an earlier token, for rows of few tokens."""
+    # All tokens in order, between marks: a number is part of an earlier token when its first
+    # occurrence comes before the place where it stands alone.
+    all_ = F.concat(F.lit(_MARK), F.array_join(F.concat("money", "pct", "x", "n"), _MARK), F.lit(_MARK))
+
+    def alone(t: Column) -> Column:
+        whole = F.concat(F.lit(_MARK), t, F.lit(_MARK))
+        return F.instr(F.col("_all"), t) == F.instr(F.col("_all"), whole) + 1
+
+    return found.withColumn("_all", all_).withColumn("n", F.filter("n", alone)).drop("_all")
+
+
+def _alone_of_many(found: DataFrame) -> DataFrame:
+    """The same for rows of many tokens, by one shuffle of the parts that their tokens have.
+
+    A number holds digits, commas and points only, so it is part of a token when it is a piece of one of the token's stretches of those, and only
+    pieces as long as some number of the row matter. The first token that has a piece is found map-side first; the key holds the piece, so that
+    a single long text is spread too.
+    """
+    lengths, before = F.array_distinct(F.transform("n", F.length)), F.size("money") + F.size("pct") + F.size("x")
+    rows = found.withColumns({"_row": F.monotonically_increasing_id(), "_lengths": lengths, "_before": before, "_tokens": F.concat("money", "pct", "x", "n")})
+    rows = stage(rows)  # so that a token is not handed on with the lists it is from
+    tokens = rows.select("_row", F.col("_lengths").alias("lengths"), F.col("_before").alias("before"), F.posexplode("_tokens").alias("place", "token"))
+
+    def pieces(stretch: Column, length: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(stretch) - length + 1), lambda at: F.substring(stretch, at, length))
+
+    stretches = tokens.select("_row", "place", "lengths", F.explode(F.regexp_extract_all("token", F.lit(_STRETCH), F.lit(0))).alias("stretch"))
+    cut = stretches.select("_row", "place", "stretch", F.explode("lengths").alias("length")).where(F.col("length") <= F.length("stretch"))
+    parts = cut.select("_row", "place", F.explode(pieces(F.col("stretch"), F.col("length"))).alias("token"))
+    first = parts.groupBy("_row", "token").agg(F.min("place").alias("first"))
+    numbers = tokens.where("place >= before").select("_row", "place", "token").join(first, ["_row", "token"], "left")
+    kept = numbers.where(F.col("first").isNull() | (F.col("first") >= F.col("place"))).groupBy("_row")
+    kept = kept.agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("kept"))
+    out = rows.drop("n").join(kept, "_row", "left").drop("_row")
+    none = F.array().cast("array<string>")
+    return out.withColumn("n", F.coalesce(F.transform("kept", lambda k: k["token"]), none)).drop("kept").select(*found.columns)
+
+
 def extract(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct number quoted in a text: its token, kind and value.
 
     A token found as an amount is not counted again as a percentage or ratio, and a bare number that
-    is part of a token found before it is left out.
+    is part of a token found before it is left out. The work grows with the tokens of a text, not with their square.
     """
     body = F.col(text)
     money = _found(body, CURRENCY)
@@ -52,14 +97,13 @@ def extract(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         texts.select(key, money.alias("money"), _found(body, PERCENT).alias("pct"), _found(body, RATIO).alias("x"), _found(body, NUMBER).alias("n"))
         .withColumn("pct", F.array_except("pct", "money"))
         .withColumn("x", F.array_except("x", F.concat("money", "pct")))
-        # All tokens in order, between marks: a number is part of an earlier token when its first
-        # occurrence comes before the place where it stands alone.
-        .withColumn("all", F.concat(F.lit(_MARK), F.array_join(F.concat("money", "pct", "x", "n"), _MARK), F.lit(_MARK)))
     )
-
-    def alone(t: Column) -> Column:
-        whole = F.concat(F.lit(_MARK), t, F.lit(_MARK))
-        return F.instr(F.col("all"), t) == F.instr(F.col("all"), whole) + 1
+    # A null text has no tokens. Rows of few tokens need no shuffle.
+    many = F.coalesce(F.size(F.concat("money", "pct", "x", "n")) > _FEW, F.lit(False))
+    found = stage(found)
+    few = _alone_of_few(found.where(~many))
+    long = found.where(many)
+    found = few if long.isEmpty() else few.union(_alone_of_many(long))
 
     def entries(column: str, kind, value) -> Column:
         return F.transform(
@@ -69,7 +113,6 @@ def extract(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def fixed(name: str):
         return lambda t: F.lit(name)
 
-    found = found.withColumn("n", F.filter("n", alone))
     number_kind = lambda t: F.when(F.contains(t, F.lit(".")), "DECIMAL").otherwise("INTEGER")
     claims = F.concat(
         entries("money", fixed("CURRENCY"), _currency_value),
