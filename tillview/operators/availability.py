@@ -115,6 +115,7 @@ TEMPLATES = {
     "disc_revenue_association": "revenue discount",
     "pay_summary": "transaction_id revenue payment_method",
     "beh_order_size_distribution": "transaction_id revenue",
+    "beh_order_quantity_distribution": "transaction_id revenue quantity",
     "beh_order_value_deciles": "transaction_id revenue",
     "beh_purchase_frequency": "customer_id",
     "beh_basket_summary": "transaction_id revenue quantity",

@@ -463,6 +463,16 @@ def beh_order_size_distribution(rel: Relations) -> DataFrame:
     )
 
 
+def beh_order_quantity_distribution(rel: Relations) -> DataFrame:
+    """Orders by the pieces they hold, whole pieces, ten and more together."""
+    pieces = rel.orders("order_quantity").where(F.col("order_quantity").isNotNull()).select(F.floor("order_quantity").cast("long").alias("pieces"))
+    return (
+        pieces.groupBy(_top_coded("pieces", 10).alias("pieces_per_order"))
+        .agg(F.min("pieces").alias("sort_key"), F.count(F.lit(1)).alias("orders"))
+        .orderBy("sort_key")
+    )
+
+
 def beh_order_value_deciles(rel: Relations) -> DataFrame:
     """Order value per decile. A decile is a range of ranks, so its median is one or two known ranks."""
     placed = ranked(rel.orders("order_revenue"), [F.col("order_revenue"), F.col("transaction_id")], total="n")
@@ -655,6 +665,7 @@ _TEMPLATES = {
         disc_revenue_association,
         pay_summary,
         beh_order_size_distribution,
+        beh_order_quantity_distribution,
         beh_order_value_deciles,
         beh_purchase_frequency,
         beh_basket_summary,

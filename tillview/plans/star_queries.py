@@ -80,6 +80,8 @@ def star_queries():
         "star_country_shares": lambda spark, d: plain(
             star.member_shares(model(spark, d), "dim_location", "location_key", "country")
         ),
+        "star_state_shares": lambda spark, d: plain(star.member_shares(model(spark, d), "dim_location", "location_key", "state")),
+        "star_city_shares": lambda spark, d: plain(star.member_shares(model(spark, d), "dim_location", "location_key", "city")),
         "star_month_completeness": lambda spark, d: plain(star.month_completeness(model(spark, d))),
         "star_top_product_share": lambda spark, d: plain(star.top_product_share(model(spark, d))),
         "star_yearly_growth": lambda spark, d: plain(star.yearly_growth(model(spark, d), "revenue")),
@@ -196,6 +198,8 @@ FROM customer_segments s JOIN customer_rfm USING (customer_id) GROUP BY s.segmen
     "star_category_shares": _shares("category", "category"),
     "star_payment_shares": _shares("payment_method", "payment_method"),
     "star_country_shares": _shares("country", "country"),
+    "star_state_shares": _shares("state", "state"),
+    "star_city_shares": _shares("city", "city"),
     "star_month_completeness": using(CALENDAR) + """SELECT CAST(SUM(revenue) FILTER (WHERE month_is_complete) AS DOUBLE) AS revenue_complete_months,
   CAST(SUM(revenue) FILTER (WHERE NOT month_is_complete) AS DOUBLE) AS revenue_partial_months FROM transactions JOIN calendar ON date = purchase_date""",
     "star_top_product_share": using(PRODUCTS) + """SELECT CAST((SELECT SUM(total_revenue) FROM (SELECT total_revenue FROM products ORDER BY total_revenue DESC, product_key LIMIT 10)) AS DOUBLE)
