@@ -182,11 +182,10 @@ LEFT JOIN transactions ON k = CASE WHEN discount IS NULL THEN -1 WHEN discount =
 GROUP BY ALL""",
     "star_reconcile": f"""SELECT c AS "check", CAST(0 AS DOUBLE) AS off, TRUE AS ok FROM (VALUES {', '.join(f"('{c}')" for c in _CHECKS)}) AS v(c)""",
     "star_orphans": "SELECT CAST(1 AS BIGINT) AS line_id, CAST(1 AS BIGINT) AS product_key WHERE FALSE",
-    "star_export_types": using() + " UNION ALL ".join(
-        f"""SELECT '{name}' AS "column", CAST(MAX(length(regexp_replace(split_part(CAST({c} AS VARCHAR), '.', 2), '0+$', ''))) AS BIGINT) AS max_scale,
-  MAX(abs(CAST({c} AS DOUBLE))) AS max_abs, 'FIXED_DECIMAL' AS export_type FROM transactions"""
+    "star_export_types": using() + ", figures AS (" + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", CAST(MAX(length(regexp_replace(split_part(CAST({c} AS VARCHAR), '.', 2), '0+$', ''))) AS BIGINT) AS max_scale, MAX(abs(CAST({c} AS DOUBLE))) AS max_abs FROM transactions"""
         for name, c in (("quantity", "quantity"), ("revenue", "revenue"), ("discount_pct", "discount"))
-    ),
+    ) + ") SELECT *, CASE WHEN max_scale <= 4 AND max_abs < 1e15 THEN 'FIXED_DECIMAL' ELSE 'DECIMAL' END AS export_type FROM figures",
     "star_measures": using(CALENDAR, CUSTOMERS, _MONTHS) + " UNION ALL ".join(f"SELECT '{n}' AS measure, {e} AS value" for n, e in _MEASURES.items()),
     "star_parity": f"SELECT measure, kind, TRUE AS ok FROM (VALUES {', '.join(f'''('{m}', '{k}')''' for m, _, _, k in star.PARITY)}) AS v(measure, kind)",
     "star_segment_shares": using(CUSTOMERS, RFM, SEGMENTS) + """SELECT CASE s.segment WHEN 'HIGH_VALUE' THEN 'High Value' WHEN 'REGULAR' THEN 'Regular' WHEN 'OCCASIONAL' THEN 'Occasional' ELSE 'At Risk' END AS segment,
