@@ -3,11 +3,13 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -274,3 +276,54 @@ def test_unusual_words_among_usual_ones(name, monkeypatch):
     own.kept = {}
     own.encode(["plain words here 你 and there"])
     assert [w.strip() for w in seen] == ["你"]
+
+
+def test_flat_ids_are_those_of_the_library():
+    """Texts cut by Arrow and texts with other white space, in any company, also when the list of words begins afresh."""
+    rng = random.Random(5)
+    parts = ["a", "\n", " ", "bc", "'s", "\n\n", "é", " ", "\t", "\xa0", "好", "1,", "\u2003", "\x1c", "zz."]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    model = bpe.Encoder(BYTES)
+    want = model.whole(texts)
+    for lot in (1, 50, len(texts)):
+        for at in range(0, len(texts) if lot > 1 else 200, lot):
+            ids, lengths = model.flat(pa.array(texts[at : at + lot]))
+            assert ids.tobytes() == b"".join(want[at : at + lot])
+            assert lengths.tolist() == [len(x) // 4 for x in want[at : at + lot]]
+    words = bpe.Encoder(WORDS)
+    assert words.flat(pa.array(texts[:100]))[0].tobytes() == b"".join(words.whole(texts[:100]))
+
+
+def test_flat_list_begins_afresh(monkeypatch):
+    monkeypatch.setattr(bpe, "_LISTED", 30)
+    monkeypatch.setattr(bpe, "_IN_A_ROW", 4)
+    model = bpe.Encoder(BYTES)
+    texts = [" ".join(f"w{i * 7 + j}." for j in range(20)) for i in range(30)]
+    for at in range(0, 30, 3):
+        assert model.flat(pa.array(texts[at : at + 3]))[0].tobytes() == b"".join(model.whole(texts[at : at + 3]))
+
+
+@pytest.mark.parametrize("size, block", [(50257, 1 << 16), (300, 33_000), (1 << 32, 700), (40_000_000, 2048)])
+def test_long_blocks_and_large_vocabularies(size, block):
+    rng = np.random.default_rng(7)
+    ids = np.minimum(rng.zipf(1.2, 70_000) - 1, size - 1).astype(np.uint32)
+    ids[::97] = size - 1
+    coded = range_coder.encode_blocks(ids, size, block)
+    lengths = [min(block, len(ids) - at) for at in range(0, len(ids), block)]
+    assert (range_coder.decode_blocks(coded, lengths, size) == ids).all()
+
+
+def test_an_id_costs_little_time():
+    """2 microseconds of a usual machine for writing and reading an id, where it was 3.6 before and is 0.5 now."""
+    ids = np.minimum(np.random.default_rng(3).zipf(1.3, 1 << 20) - 1, 50256).astype(np.uint32)
+
+    def slowness():
+        began = time.thread_time()
+        sum(range(500_000))
+        return (time.thread_time() - began) * 100
+
+    slow, began = slowness(), time.thread_time()
+    coded = range_coder.encode_blocks(ids, 50257, 1024)
+    assert (range_coder.decode_blocks(coded, [1024] * 1024, 50257) == ids).all()
+    took = time.thread_time() - began
+    assert took / len(ids) * 1e6 < 2 * max(slow, slowness(), 1)

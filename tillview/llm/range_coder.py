@@ -1,10 +1,11 @@
 """Token ids in files of independently coded blocks.
 
-Each block is coded by a range coder from an empty model. An id is coded in steps of four bits; for each step
-three adaptive distributions, chosen by the bits of the id so far alone (order 0), with the id before (order 1)
-and with the two before (order 2), are mixed with weights that follow how well each has done where it had been
-seen and where it had not. The blocks of a section run side by side as lanes of numpy arrays; all arithmetic is on
-integers, so any machine decodes what another has written.
+Each block is coded by a range coder from an empty model: the distributions of the ids so far, of those that have followed the id
+before (order 1) and of those that have followed the two before (order 2), mixed with weights that follow how often each held the
+next id, by how often its context had been seen. An id has its interval in the highest order that has seen it, one never seen has
+its share of the vocabulary. The model learns at set places, each about twice as far as the last, from all of the block so far: the
+ids' places in the order of the three ids from there on hold all three distributions as runs. Many blocks are coded side by side as
+lanes of numpy arrays; all arithmetic is on integers, so any machine decodes what another has written.
 
 A file is a sequence of sections. A section holds whole documents: their ids and lengths, then the blocks, each
 with its length, size and the crc32 of its ids.
@@ -22,206 +23,373 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm.bpe import chunks, encoder
+from tillview.llm.bpe import encoder, slices
 from tillview.llm.warc import _open
 from tillview.session import shared_dir, stage
 
 BLOCK, LANES = 2048, 4096
-_MAGIC = b"TKRC0001"
-_ONE = 1 << 15
-_SHARE = 12
+_MAGIC = b"TKRC0002"
+_WORD, _UPPER, _LAST = np.uint64(16), np.uint64(48), np.uint64((1 << 16) - 1)
+_HALF, _LOWER = np.uint32(16), np.uint32(0xFFFF)
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_SEEN = 7
-_RATES = (4, 3, 3)  # an order moves by 1/16 or 1/8 of the way: the longer its context, the fewer times it is seen
-_BITS = 9  # of the hashed rows of a table
-_ROWS0, _ROWS = 1 + 16 + 256 + (1 << _BITS), 1 << _BITS
-# After symbol s the distribution moves to these cumulative counts; every symbol keeps one of them at least.
-_AFTER = np.array([[0] + [i if i <= s else _ONE - 16 + i for i in range(1, 16)] for s in range(16)], np.int16)
-_K = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
-
-
-class _Lanes:
-    """The model and the coder's state of some blocks."""
-
-    def __init__(self, n: int, steps: int):
-        start = np.arange(0, _ONE, _ONE // 16).astype(np.int16)
-        start[0] = 0  # in the place of the first count, which is 0: how often the row has been seen
-        self.tables = [np.tile(start, (n * rows, 1)) for rows in (_ROWS0, _ROWS, _ROWS)]
-        self.rows_of = [t.view("V32").ravel() for t in self.tables]  # assigning whole rows is faster
-        one = 1 << _SHARE
-        self.weights = np.zeros((n * 4, 4), np.int32)  # one row for each lane and for what has been seen
-        for seen, (w0, w1) in enumerate(((0.8, 0.1), (0.4, 0.5), (0.4, 0.1), (0.2, 0.3))):
-            self.weights[seen::4, 0], self.weights[seen::4, 1] = int(w0 * one), int(w1 * one)
-        self.weights[:, 2] = one - self.weights[:, 0] - self.weights[:, 1]
-        self.weights_of = self.weights.view("V16").ravel()
-        self.lane = np.arange(n)
-        self.lane0, self.lane1, self.lane4, self.lane16 = (self.lane * x for x in (_ROWS0, _ROWS, 4, 16))
+_MOST = 1 << 15  # ids after which a longer block begins with an empty model again
+_SIDE, _CELLS = 4096, 1 << 23  # blocks, and ids, that are coded side by side
+_TEXT = 8 << 20  # bytes of text that are encoded at a time
+_FEW = 64  # blocks that are put in order at a time
+# Where a block's model is brought up to what has been seen.
+_POINTS = tuple(1 << i for i in range(5, 15))
+_SEEN = np.minimum(np.arange(_MOST + 1), 3).astype(np.uint8)
+# Counts of ids held by orders 2, 1, 0 and none to begin with, by class: 4 * (times the two ids before were seen, 3 at most) + (times the one before was).
+_PRIOR = np.array(
+    [(0, 0, 32, 28), (0, 6, 37, 17), (0, 7, 38, 15), (0, 17, 33, 10), (23, 0, 16, 21), (11, 1, 36, 13), (11, 2, 36, 11), (7, 15, 31, 7)]
+    + [(20, 0, 25, 15), (40, 1, 16, 4), (16, 1, 30, 14), (13, 14, 27, 7), (30, 0, 20, 10), (30, 2, 20, 8), (24, 1, 26, 10), (29, 4, 18, 9)],
+    np.int64,
+)
+
+
+class _Coder:
+    """State of the range coder for some blocks side by side."""
+
+    def __init__(self, n: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-        self.steps = steps  # of four bits for an id
+        self.used = np.zeros(n, np.int64)  # 16-bit words written or read
 
-    def look(self, k: int, step: int, so_far: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """Find the rows of the three tables for ids whose upper bits are ``so_far``, and their weights."""
-        if step < 3:
-            at = so_far + np.uint32((0, 1, 17)[step])
-        else:
-            at = np.uint32(273) + ((so_far + np.uint32(step - 3)) * _K[0] >> np.uint32(32 - _BITS))
-        self.at = [self.lane0[:k] + at]
-        here = so_far * _K[1] + np.uint32(step) * _K[3]
-        for before in (one, two):
-            mixed = (before + here) * _K[2]
-            mixed ^= mixed >> np.uint32(15)
-            self.at.append(self.lane1[:k] + (mixed * _K[0] >> np.uint32(32 - _BITS)))
-        self.got = [t.take(r, axis=0) for t, r in zip(self.tables, self.at)]
-        self.seen = [g[:, 0].copy() for g in self.got]
-        for g in self.got:
-            g[:, 0] = 0
-        self.of = self.lane4[:k] + (self.seen[1] > 0) + 2 * (self.seen[2] > 0)
-        w = self.weights.take(self.of, axis=0)
-        self.w = [np.ascontiguousarray(w[:, j]) for j in range(3)]
-        self.cells = [g.reshape(-1) for g in self.got]
-
-    def below(self, k: int, symbol: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Mixed count below each lane's symbol, and that of each order."""
-        at = self.lane16[:k] + symbol
-        each = [c[at].astype(np.int32) for c in self.cells]
-        return self._mix(each), each
-
-    def above(self, k: int, symbol: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The same up to and with the symbol."""
-        at, last = self.lane16[:k] + np.minimum(symbol + 1, 15), symbol == 15
-        each = [np.where(last, np.int32(_ONE), c[at]) for c in self.cells]
-        return self._mix(each), each
-
-    def _mix(self, each: list[np.ndarray]) -> np.ndarray:
-        return (each[0] * self.w[0] + each[1] * self.w[1] + each[2] * self.w[2]) >> _SHARE
-
-    def find(self, k: int, value: np.ndarray) -> np.ndarray:
-        """The symbol whose mixed counts hold ``value``."""
-        symbol = np.zeros(k, np.int64)
-        for bit in (8, 4, 2, 1):
-            symbol += bit * (self.below(k, symbol + bit)[0] <= value)
-        return symbol
-
-    def learn(self, k: int, symbol: np.ndarray, low: list[np.ndarray], high: list[np.ndarray]) -> None:
-        p = [(h - x) * w for h, x, w in zip(high, low, self.w)]
-        total = (p[0] + p[1] + p[2]) >> _SHARE
-        total += 1
-        weights = np.zeros((k, 4), np.int32)
-        for j in (0, 1):
-            share = np.minimum(p[j] // total, (1 << _SHARE) - 1)
-            weights[:, j] = self.w[j] + ((share - (share >> 5) + 40 - self.w[j]) >> 4)
-        weights[:, 2] = (1 << _SHARE) - weights[:, 0] - weights[:, 1]
-        self.weights_of.put(self.of, weights.view("V16").ravel(), mode="clip")
-        after = _AFTER.take(symbol, axis=0)
-        for rows, r, g, seen, rate in zip(self.rows_of, self.at, self.got, self.seen, _RATES):
-            move = after - g
-            new = np.flatnonzero(seen < 2)
-            early = move[new] >> (1 + seen[new])[:, None]  # the first symbols of a row count for more
-            move >>= rate
-            move[new] = early
-            g += move
-            g[:, 0] = np.minimum(seen + 1, _SEEN)
-            rows.put(r, g.view("V32").ravel(), mode="clip")
-
-    def narrow(self, k: int, low: np.ndarray, high: np.ndarray) -> None:
-        unit = self.range[:k] >> np.uint64(15)
-        self.low[:k] += unit * low.astype(np.uint64)
-        self.range[:k] = unit * (high - low).astype(np.uint64)
-
-    def settled(self, k: int) -> np.ndarray:
+    def settled(self, which: np.ndarray | slice) -> np.ndarray:
         """Lanes whose upper 16 bits are known; a range that has become too small is cut until they are."""
-        low, span = self.low[:k], self.range[:k]
+        low, span = self.low[which], self.range[which]
         same = (low ^ (low + span)) < _TOP
-        small = ~same & (span < _BOTTOM)
+        small = span < _BOTTOM
         if small.any():
-            span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+            small &= ~same
+            self.range[which] = np.where(small, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)), span)
             same |= small
-        return np.flatnonzero(same)
+        found = np.flatnonzero(same)
+        return found if isinstance(which, slice) else which[found]
 
     def shift(self, which: np.ndarray) -> None:
-        self.low[which] <<= np.uint64(16)
-        self.range[which] <<= np.uint64(16)
-
-
-def _steps(size: int) -> int:
-    return max(1, (max(size - 1, 1).bit_length() + 3) // 4)
+        self.low[which] <<= _WORD
+        self.range[which] <<= _WORD
+        self.used[which] += 1
+
+
+class _Writer(_Coder):
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.out = np.empty((n, 256), "<u2")
+
+    def put(self, k: int, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
+        """Narrow the first k lanes to ``width`` units from ``start`` on."""
+        self.low[:k] += unit * start
+        self.range[:k] = unit * width
+
+    def flush(self, k: int) -> None:
+        if int(self.used.max()) + 12 > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.empty_like(self.out)], axis=1)
+        which = self.settled(slice(k))
+        while len(which):
+            self.out[which, self.used[which]] = self.low[which] >> _UPPER
+            self.shift(which)
+            which = self.settled(which)
+
+    def done(self) -> list[bytes]:
+        self.flush(len(self.low))
+        lane = np.arange(len(self.low))
+        for _ in range(4):
+            self.out[lane, self.used] = self.low >> _UPPER
+            self.shift(lane)
+        return [row[:n].tobytes() for row, n in zip(self.out, self.used.tolist())]
+
+
+class _Reader(_Coder):
+    def __init__(self, coded: list[bytes]):
+        super().__init__(len(coded))
+        self.width = max(map(len, coded)) // 2 + 8
+        data = np.zeros((len(coded), self.width), "<u2")
+        for row, raw in zip(data, coded):
+            row[: len(raw) // 2] = np.frombuffer(raw, "<u2")
+        self.data, self.first = data.ravel(), np.arange(len(coded)) * self.width
+        self.code = np.zeros(len(coded), np.uint64)
+        for i in range(4):
+            self.code = (self.code << _WORD) | data[:, i].astype(np.uint64)
+        self.used += 4
+
+    def fill(self) -> None:
+        which = self.settled(slice(None))
+        while len(which):
+            at = self.first[which] + np.minimum(self.used[which], self.width - 1)  # damaged blocks may want more
+            self.code[which] = (self.code[which] << _WORD) | self.data[at].astype(np.uint64)
+            self.shift(which)
+            which = self.settled(which)
+
+
+def _runs(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and at last end, and the run of each place; rows of ``width`` are apart."""
+    new = np.empty(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new[::width] = True
+    edges = np.empty(np.count_nonzero(new) + 1, np.int32)
+    edges[:-1], edges[-1] = np.flatnonzero(new), len(keys)
+    run = np.cumsum(new, dtype=np.int64)
+    run -= 1
+    return edges, run
+
+
+def _ordered(x: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of each row of ids in the order of the three ids from there on, and the runs of equal one, two and three ids."""
+    n, width = x.shape
+    bits = np.uint64(width.bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(width, dtype=np.uint64)
+    keys = x.astype(np.uint64)
+    keys <<= bits
+    keys |= place
+    keys.sort(axis=1)
+    new = np.ones((n, width), bool)
+    np.not_equal(keys[:, 1:] >> bits, keys[:, :-1] >> bits, out=new[:, 1:])
+    keys &= mask
+    keys += (np.arange(n) * (width + 2)).astype(np.uint64)[:, None]
+    name = np.zeros((n, width + 2), np.uint64)  # of each id its number among those of the row, from 1; 0 is the end
+    name.ravel()[keys.view(np.int64).ravel()] = np.cumsum(new, axis=1, dtype=np.uint64).ravel()
+    np.left_shift(name[:, :-2], bits, out=keys)
+    keys |= name[:, 1:-1]
+    keys <<= bits
+    keys |= name[:, 2:]
+    keys <<= bits
+    keys |= place
+    keys.sort(axis=1)
+    places = (keys & mask).view(np.int64)
+    flat, runs = keys.ravel(), []
+    for _ in range(3):
+        flat >>= bits
+        runs.append(_runs(flat, width))
+    return places, runs[::-1]
+
+
+def _segments(length: int) -> list[tuple[int, int]]:
+    """Stretches of a block over which its model stays as it is."""
+    cuts = [0, *(p for p in _POINTS if p < length), length]
+    return list(zip(cuts, cuts[1:]))
+
+
+class _Mix:
+    """Weights of orders 2, 1 and 0 and of an unseen id, by how often both contexts have been seen, for each lane."""
+
+    def __init__(self, n: int):
+        self.counts = np.tile(_PRIOR, (n, 1, 1))
+
+    def learn(self, cells: np.ndarray) -> None:
+        """Cells: rows of 4 * class + what held the id, a column for each lane."""
+        n = cells.shape[1]
+        at = cells.astype(np.int32)
+        at += np.arange(0, 64 * n, 64, dtype=np.int32)
+        self.counts += np.bincount(at.ravel(), minlength=64 * n).reshape(n, 16, 4)
+
+    def packed(self) -> np.ndarray:
+        """Upper bounds of the first three weights, 16 bits each from bit 16 on; all four add up to 2**16."""
+        share = np.where(_PRIOR > 0, self.counts * ((1 << 16) - 64) // self.counts.sum(axis=2, keepdims=True) + 16, 0)
+        up = np.cumsum(share[:, :, :3], axis=2).astype(np.uint64)
+        return (up[:, :, 0] << np.uint64(16) | up[:, :, 1] << np.uint64(32) | up[:, :, 2] << np.uint64(48)).ravel()
+
+
+def _bounds(packed: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the weight of each lane's ``which``."""
+    moved = packed >> (which << 4)
+    start = moved & _LAST
+    return start, ((((moved >> _WORD) - np.uint64(1)) & _LAST) + np.uint64(1)) - start
 
 
 def encode_blocks(ids: np.ndarray, size: int, block: int = BLOCK) -> list[bytes]:
     """The coded blocks of ``block`` ids each (the last may be shorter); ids are less than ``size``."""
-    if not len(ids):
-        return []
-    n, steps = -(-len(ids) // block), _steps(size)
+    side = max(1, min(_SIDE, _CELLS // min(block, _MOST))) * block
+    return [raw for at in range(0, len(ids), side) for raw in _encode(ids[at : at + side], size, block)]
+
+
+def _encode(ids: np.ndarray, size: int, block: int) -> list[bytes]:
+    n = -(-len(ids) // block)
     last = len(ids) - (n - 1) * block
     grid = np.zeros(n * block, np.uint32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, block)[:, : min(block, len(ids))].T)
-    lanes = _Lanes(n, steps)
-    out, used = np.empty((n, 64), "<u2"), np.zeros(n, np.int64)
-    one = two = np.zeros(n, np.uint32)
-    for t in range(len(grid)):
+    grid = grid.reshape(n, block)[:, : min(block, len(ids))]
+    coder = _Writer(n)
+    for at in range(0, grid.shape[1], _MOST):
+        _encode_part(coder, np.ascontiguousarray(grid[:, at : at + _MOST]), size, last - at)
+    return coder.done()
+
+
+def _encode_part(coder: _Writer, x: np.ndarray, size: int, last: int) -> None:
+    n, width = x.shape
+    plan = np.empty((5, width, n), np.uint16)
+    new = np.empty((width, n), bool)
+    for at in range(0, n, _FEW):
+        _plan(x[at : at + _FEW], plan[:, :, at : at + _FEW], new[:, at : at + _FEW])
+    for t in range(width):
         k = n if t < last else n - 1
-        now, so_far = grid[t, :k], np.zeros(k, np.uint32)
-        if used.max() + 4 * steps + 8 > out.shape[1]:
-            out = np.concatenate([out, np.empty_like(out)], axis=1)
-        for step in range(steps):
-            symbol = ((now >> np.uint32(4 * (steps - 1 - step))) & np.uint32(15)).astype(np.int64)
-            lanes.look(k, step, so_far, one[:k], two[:k])
-            (low, lows), (high, highs) = lanes.below(k, symbol), lanes.above(k, symbol)
-            lanes.narrow(k, low, high)
-            while len(which := lanes.settled(k)):
-                out[which, used[which]] = lanes.low[which] >> np.uint64(48)
-                used[which] += 1
-                lanes.shift(which)
-            lanes.learn(k, symbol, lows, highs)
-            so_far = so_far * np.uint32(16) + symbol.astype(np.uint32)
-        one, two = _contexts(now, one[:k])
-    for _ in range(4):
-        out[lanes.lane, used] = lanes.low >> np.uint64(48)
-        used += 1
-        lanes.low <<= np.uint64(16)
-    return [out[i, : used[i]].tobytes() for i in range(n)]
-
-
-def _contexts(now: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for the id before, and for the two before."""
-    first = (now + np.uint32(1)) * _K[0]
-    return first, (first ^ (one >> np.uint32(7))) * _K[3] + one
+        begins, wide, start, many, total = plan[:, t, :k].astype(np.uint64)
+        wide += np.uint64(1)
+        coder.put(k, begins, wide, coder.range[:k] >> _WORD)
+        if size > 1 << 16:
+            coder.flush(k)
+        unseen = np.flatnonzero(new[t, :k])
+        total[unseen], start[unseen] = size, x[unseen, t]
+        coder.put(k, start, many, coder.range[:k] // total)
+        coder.flush(k)
+
+
+def _plan(x: np.ndarray, plan: np.ndarray, new: np.ndarray) -> None:
+    """For each id the start and the width less 1 of the weight of what holds it, its first slot there, its slots and all slots; whether nothing holds it."""
+    n, width = x.shape
+    places, runs = _ordered(x)
+    to = (places * n + np.arange(n)[:, None]).ravel()
+    by_place = np.empty((3, width * n), np.int64)  # bounds of the runs of one, two and three ids from each place on, rows are places
+    for (edges, run), bounds in zip(runs, by_place):
+        bounds[to] = np.stack([edges[:-1], edges[1:]], axis=1).view(np.int64).ravel().take(run)
+    by_place = by_place.view(np.int32).reshape(3, width, n, 2)
+    flat = places.astype(np.uint16).ravel()
+    lane16 = np.arange(0, 16 * n, 16)
+    before = np.zeros(n * width + 1, np.int32)
+    mix = _Mix(n)
+    for begin, end in _segments(width):
+        part, past = plan[:, begin:end], max(begin - 2, 0)
+        if past:
+            np.cumsum(flat < np.uint16(past), dtype=np.int32, out=before[1:])
+            # in the past of each place: bounds of the id, of it with the one before, of it with the two before
+            (low, high), (low1, high1), (low2, high2) = ([before.take(by_place[k, begin - k : end - k, :, side]) for side in (0, 1)] for k in range(3))
+            first1, first2, n1, n2 = (np.zeros((end - begin, n), np.int32) for _ in range(4))
+            first1[1:], first2[2:] = low[:-1], low1[1:-1]
+            np.subtract(high[:-1], low[:-1], out=n1[1:])
+            np.subtract(high1[1:-1], low1[1:-1], out=n2[2:])
+            in2, in1, in0 = high2 > low2, high1 > low1, high > low
+            in2[:2] = in1[:1] = False
+            which = np.where(in2, np.uint8(0), np.where(in1, np.uint8(1), np.where(in0, np.uint8(2), np.uint8(3))))
+            cells = (_SEEN.take(n2) << 2) + _SEEN.take(n1)
+            high = np.where(in2, high2 - low2, np.where(in1, high1 - low1, np.where(in0, high - low, 1)))
+            low = np.where(in2, low2 - first2, np.where(in1, low1 - first1, low - np.arange(0, past * n, past, dtype=np.int32)))
+            total = np.where(in2, n2, np.where(in1, n1, np.int32(past)))
+            packed = mix.packed().take(lane16 + cells)
+            start, wide = _bounds(packed, which)
+            part[0], part[1], part[2], part[3], part[4], new[begin:end] = start, wide - np.uint64(1), low, high, total, which == 3
+            mix.learn((cells << 2) + which)
+        else:
+            part[0], part[1], part[2], part[3], part[4], new[begin:end] = 0, _LAST, 0, 1, 1, True
 
 
 def decode_blocks(coded: list[bytes], lengths: list[int], size: int) -> np.ndarray:
     """The ids of the blocks one after the other; all but the last have the same length."""
     if not coded:
         return np.empty(0, np.uint32)
-    n, steps = len(coded), _steps(size)
-    width = max(map(len, coded)) // 2 + 8
-    data = np.zeros((n, width), "<u2")
-    for i, raw in enumerate(coded):
-        data[i, : len(raw) // 2] = np.frombuffer(raw, "<u2")
-    grid = np.zeros((max(lengths), n), np.uint32)
-    lanes = _Lanes(n, steps)
-    code, used = np.zeros(n, np.uint64), np.full(n, 4)
-    for i in range(4):
-        code = (code << np.uint64(16)) | data[:, i].astype(np.uint64)
-    one = two = np.zeros(n, np.uint32)
-    for t in range(len(grid)):
-        k = n if t < lengths[-1] else n - 1
-        so_far = np.zeros(k, np.uint32)
-        for step in range(steps):
-            lanes.look(k, step, so_far, one[:k], two[:k])
-            value = np.minimum((code[:k] - lanes.low[:k]) // (lanes.range[:k] >> np.uint64(15)), np.uint64(_ONE - 1)).astype(np.int32)
-            symbol = lanes.find(k, value)
-            (low, lows), (high, highs) = lanes.below(k, symbol), lanes.above(k, symbol)
-            lanes.narrow(k, low, high)
-            while len(which := lanes.settled(k)):
-                code[which] = (code[which] << np.uint64(16)) | data[which, used[which]].astype(np.uint64)
-                used[which] += 1
-                lanes.shift(which)
-            lanes.learn(k, symbol, lows, highs)
-            so_far = so_far * np.uint32(16) + symbol.astype(np.uint32)
-        grid[t, :k] = so_far
-        one, two = _contexts(so_far, one[:k])
-    return np.concatenate([grid[: lengths[i], i] for i in range(n)])
+    side = max(1, min(_SIDE, _CELLS // min(lengths[0], _MOST)))
+    return np.concatenate([_decode(coded[at : at + side], lengths[at : at + side], size) for at in range(0, len(coded), side)])
+
+
+def _decode(coded: list[bytes], lengths: list[int], size: int) -> np.ndarray:
+    grid = np.zeros((lengths[0], len(coded)), np.uint32)
+    coder = _Reader(coded)
+    for at in range(0, len(grid), _MOST):
+        _decode_part(coder, grid[at : at + _MOST], size)
+    return np.concatenate([grid[:-1, :0].ravel(), *([grid[:, :-1].T.ravel()] if len(coded) > 1 else []), grid[: lengths[-1], -1]])
+
+
+def _past(x: np.ndarray, slots: np.ndarray) -> None:
+    """What may follow, for orders 2, 1 and 0: into rows of lanes of slots.
+
+    A slot has the bounds of its id within the order, those of the id as the next context, those of the next context
+    of two ids (16 bits a bound), and its id.
+    """
+    n, width = x.shape
+    places, runs = _ordered(x)
+    kept = (places < width - 2).ravel()
+    before = np.zeros(n * width + 1, np.int32)
+    np.cumsum(kept, dtype=np.int32, out=before[1:])
+    bounds = []
+    for edges, run in runs:
+        at = before.take(edges)
+        base = edges[:-1] // np.int32(width) * np.int32(width - 2)
+        both = (at[1:] - base).view(np.uint32)
+        both <<= _HALF
+        both |= (at[:-1] - base).view(np.uint32)
+        bounds.append(both.take(run))
+    at = (places + np.arange(0, n * width, width)[:, None]).ravel()
+    one, two = np.empty(n * width, np.uint32), np.empty(n * width, np.uint32)
+    one[at], two[at] = bounds[0], bounds[1]
+    kept = np.flatnonzero(kept)
+    at = at.take(kept)
+    ids = x.ravel()
+    shape = slots.shape[1:3]
+    for order, own in enumerate(bounds):
+        slots[2 - order, :, :, 0] = own.take(kept).reshape(shape)
+    slots[2, :, :, 1], slots[2, :, :, 2], slots[2, :, :, 3] = slots[2, :, :, 0], 0, ids.take(at).reshape(shape)
+    at += 1
+    slots[1, :, :, 1], slots[1, :, :, 2], slots[1, :, :, 3] = one.take(at).reshape(shape), slots[1, :, :, 0], ids.take(at).reshape(shape)
+    slots[0, :, :, 2] = two.take(at).reshape(shape)
+    at += 1
+    slots[0, :, :, 1], slots[0, :, :, 3] = one.take(at).reshape(shape), ids.take(at).reshape(shape)
+
+
+def _decode_part(coder: _Reader, grid: np.ndarray, size: int) -> None:
+    width, n = grid.shape
+    lane = np.arange(n)
+    lane16, mix = lane * 16, _Mix(n)
+    for begin, end in _segments(width):
+        past = max(begin - 2, 0)
+        up = mix.packed() if past else np.zeros(16 * n, np.uint64)
+        slots = np.empty((3, n, max(past, 1), 4), np.uint32)
+        if past:
+            few = max(_FEW, _FEW * 1024 // begin)
+            for at in range(0, n, few):
+                _past(np.ascontiguousarray(grid[:begin, at : at + few].T), slots[:, at : at + few])
+        found = slots.reshape(-1).view(np.complex128)  # sixteen bytes each
+        lane_at, order = lane * past, n * past
+        first, total = np.zeros((4, n), np.int64), np.zeros((4, n), np.int64)  # of the slots of each order in its context
+        total[2], total[3] = past, size
+        cells = np.empty((end - begin, n), np.uint8)
+        for t in range(begin, end):
+            cell = (_SEEN.take(total[0]) << 2) + _SEEN.take(total[1])
+            packed = up.take(lane16 + cell)
+            unit = coder.range >> _WORD
+            coder.code -= coder.low  # from here on the code is counted from low
+            value = np.minimum(coder.code // unit, _LAST)
+            which = (value >= ((packed >> np.uint64(16)) & _LAST)).view(np.int8) + (value >= ((packed >> np.uint64(32)) & _LAST)).view(np.int8)
+            which += (value >= (packed >> np.uint64(48))).view(np.int8)
+            begins, wide = _bounds(packed, which.view(np.uint8))
+            begins *= unit
+            coder.low += begins
+            coder.code -= begins
+            coder.range = np.multiply(unit, wide, out=wide)
+            if size > 1 << 16:
+                coder.code += coder.low
+                coder.fill()
+                coder.code -= coder.low
+            at = which * np.int64(n)
+            at += lane
+            base, all_of = first.take(at), total.take(at)
+            unit = coder.range // all_of.view(np.uint64)
+            slot = np.minimum(coder.code // unit, (all_of - 1).view(np.uint64)).view(np.int64)
+            new = np.flatnonzero(which == 3)
+            at = which * np.int64(order)
+            at += lane_at
+            at += base
+            at += slot
+            at[new] = 0
+            seen = found.take(at).view(np.uint32).reshape(n, 4)
+            seen[new] = 0
+            seen[new, 3] = slot[new]
+            bounds = seen[:, 0]
+            low = (bounds & _LOWER) - base
+            high = (bounds >> _HALF) - base
+            low[new], high[new] = slot[new], slot[new] + 1
+            high -= low
+            coder.code += coder.low
+            coder.low += unit * low.view(np.uint64)
+            coder.range = unit * high.view(np.uint64)
+            coder.fill()
+            for k, bounds in ((0, seen[:, 2]), (1, seen[:, 1])):
+                np.bitwise_and(bounds, _LOWER, out=first[k], casting="unsafe")
+                np.subtract(bounds >> _HALF, first[k], out=total[k], casting="unsafe")
+            grid[t] = seen[:, 3]
+            cells[t - begin] = (cell << 2) + which.view(np.uint8)
+        if past:
+            mix.learn(cells)
+        del slots, found  # before the next are made
 
 
 # files
@@ -229,10 +397,13 @@ def decode_blocks(coded: list[bytes], lengths: list[int], size: int) -> np.ndarr
 
 def section(doc_ids: list[int | None], ids: list[bytes], size: int, block: int = BLOCK) -> bytes:
     """One section: a head, ids and lengths of its documents, length, size and crc32 of its blocks, the blocks."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    return _section(doc_ids, np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"), size, block)
+
+
+def _section(doc_ids: list[int | None], lengths: np.ndarray, flat: np.ndarray, size: int, block: int) -> bytes:
     coded = encode_blocks(flat, size, block)
     heads = np.array([(min(block, len(flat) - i * block), len(c), zlib.crc32(flat[i * block : (i + 1) * block].tobytes())) for i, c in enumerate(coded)], "<u4").reshape(-1, 3)
-    docs = np.array([(d is not None, d or 0, len(x) // 4) for d, x in zip(doc_ids, ids)], "<i8").reshape(-1, 3)
+    docs = np.array([(d is not None, d or 0, n) for d, n in zip(doc_ids, lengths.tolist())], "<i8").reshape(-1, 3)
     head = np.array([size, len(docs), len(coded), sum(map(len, coded))], "<u8")
     return b"".join([_MAGIC, head.tobytes(), docs.tobytes(), heads.tobytes(), *coded])
 
@@ -264,28 +435,37 @@ def _writer(folder: str, path: str, end: int, block: int, lanes: int):
         task, model = TaskContext.get(), encoder(path)
         part = task.partitionId()
         name = f"{folder}/part-{part:06d}-{task.taskAttemptId()}.tkrc"
-        tail, size = np.array([end], "<u4").tobytes(), max(model.size, end + 1)
-        out, docs, ids, held = None, [], [], 0
+        size = max(model.size, end + 1)
+        out, docs, lengths, ids, held = None, [], [], [], 0
         tokens = total = 0
 
         def flush() -> None:
-            nonlocal out, docs, ids, held
+            nonlocal out, docs, lengths, ids, held
             if out is None:
                 fs, at = _open(name)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(at)
-            out.write(section(docs, ids, size, block))
-            docs, ids, held = [], [], 0
+            out.write(_section(docs, np.concatenate(lengths), np.concatenate(ids), size, block))
+            docs, lengths, ids, held = [], [], [], 0
 
         for batch in batches:
-            for keys, texts in chunks(batch):
-                for key, raw in zip(keys.to_pylist(), model.encode(texts)):
-                    docs.append(key)
-                    ids.append(raw + tail)
-                    held += len(raw) + 4
-                    tokens += len(raw) // 4 + 1
-                    total += 1
-                    if held >= 4 * block * lanes:
+            for keys, texts in slices(batch, _TEXT):
+                flat, many = model.flat(texts)
+                flat = np.insert(flat, np.cumsum(many), end).astype("<u4", copy=False)
+                keys, many = keys.to_pylist(), many + 1
+                ends = np.cumsum(many)
+                tokens += len(flat)
+                total += len(many)
+                at = done = 0
+                while at < len(many):
+                    stop = min(int(np.searchsorted(ends, done + block * lanes - held)) + 1, len(many))
+                    upto = int(ends[stop - 1])
+                    docs += keys[at:stop]
+                    lengths.append(many[at:stop])
+                    ids.append(flat[done:upto])
+                    held += upto - done
+                    at, done = stop, upto
+                    if held >= block * lanes:
                         flush()
         if docs:
             flush()
