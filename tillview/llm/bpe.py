@@ -5,11 +5,12 @@ that are not remembered are encoded: those of usual characters part by part, by
 one with white space in it, goes through the whole library as it stands. The ids are the library's in either case.
 
 For the vocabulary with spaces in its tokens, Arrow cuts texts whose white space is single spaces and single line feeds and finds the
-different words of some megabytes; the library gets these in one text, and their ids are laid out by numpy.
+different words of some megabytes; the library gets those not listed yet many at once, and their ids are laid out by numpy.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import struct
@@ -24,10 +25,11 @@ from tokenizers import Tokenizer
 
 _KEPT = 300_000  # words remembered by one worker; beyond it starts afresh
 _IN_A_ROW = 10_000  # words of a text for the library
-_LISTED = 1_000_000  # the same for the list of ``flat``
+_LISTED = 1_500_000  # the same for the list of ``flat``
 _CHUNK = 1 << 20  # characters worked on at a time
 _ODD = re.compile("[^\t\n -~¡-ɏ]")
 _ODD_UNIT = re.compile("[^ -~¡-ɏ]|(?<!^) | $")  # of a word with its space: anything else, or a space elsewhere
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ.,;:!?]+").fullmatch
 _BEFORE_SPACE = re.compile("(?<=\\S)(?= )")
 _BYTE_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 _WORD_END = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -76,6 +78,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.model, self.signs = self.library.model, _as_signs()
+        self.sign_of = "".join(chr(self.signs.get(b, b)) for b in range(0x100))
         with open(path) as f:
             spec = json.load(f)
         self.size = max(spec["model"]["vocab"].values()) + 1
@@ -92,6 +95,13 @@ class Encoder:
         self.spaced = np.zeros(self.size, bool)  # tokens that begin with a space
         self.spaced[[i for t, i in spec["model"]["vocab"].items() if t.startswith(chr(self.signs[0x20]))]] = True
         self.list, self.places, self.ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.empty(0, "<u4")
+        # Whether no token of plain words joins letters with marks, or has a space inside: then merges alone keep parts and words apart.
+        letter = "A-Za-z" + "".join(re.escape(chr(self.signs.get(b, b))) for b in (*range(0x80, 0xC0), *range(0xC3, 0xCA)))
+        space = chr(self.signs[0x20])
+        within = re.compile(f"[{letter}.,;:!?{space}]+").fullmatch
+        mixed = re.compile(f"[{letter}][.,;:!?]|[.,;:!?][{letter}]|[^{space}]{space}").search
+        self.apart = self.kind == "space" and not (spec["model"].get("ignore_merges") or spec["model"].get("dropout"))
+        self.apart = self.apart and not any(within(t) and mixed(t) for t in spec["model"]["vocab"])
         self.kept: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # parts of words
 
@@ -123,12 +133,16 @@ class Encoder:
             out |= zip(odd, self.whole(odd))
         return out
 
-    def _in_a_row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that each have a space in front, from texts of many words for the library, and how many each has; no other spaces."""
+    def _in_a_row(self, words: list[str], by_merges: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each have a space in front, many of them given to the library at once, and how many each has; no other spaces."""
         parts = [np.empty(0, "<u4")]
-        for at in range(0, len(words), _IN_A_ROW):
-            (row,) = self.library.encode_batch_fast([" " + " ".join(words[at : at + _IN_A_ROW])], add_special_tokens=False)
-            parts.append(np.array(row.ids, "<u4"))
+        many = 50 if by_merges else _IN_A_ROW
+        for at in range(0, len(words), many):
+            text = " " + " ".join(words[at : at + many])
+            if by_merges:
+                parts.append(np.array([t.id for t in self.model.tokenize(codecs.charmap_decode(text.encode(), "strict", self.sign_of)[0])], "<u4"))
+            else:
+                parts.append(np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
         ids = np.concatenate(parts)
         begins = np.flatnonzero(self.spaced[ids])  # the space is the first sign of the first token
         if len(begins) != len(words):
@@ -142,12 +156,16 @@ class Encoder:
         place = pc.index_in(words, value_set=self.list).fill_null(-1).to_numpy().copy()
         new = np.flatnonzero(wanted & (place < 0))
         if len(new):
-            place[new] = len(self.list) + np.arange(len(new))
-            more = words.take(pa.array(new))
-            ids, many = self._in_a_row(more.to_pylist())
-            self.list = pa.concat_arrays([self.list, more])
-            self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(many)])
-            self.ids = np.concatenate([self.ids, ids])
+            more = words.take(pa.array(new)).to_pylist()
+            plain = np.fromiter(map(bool, map(_PLAIN, more)), bool, len(more)) & self.apart
+            for kind in (True, False):
+                own = np.flatnonzero(plain == kind)
+                place[new[own]] = len(self.list) + np.arange(len(own))
+                some = [more[i] for i in own.tolist()]
+                ids, many = self._in_a_row(some, kind)
+                self.list = pa.concat_arrays([self.list, pa.array(some, self.list.type)])
+                self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(many)])
+                self.ids = np.concatenate([self.ids, ids])
         first = np.where(wanted, self.places[place], 0)
         return first, np.where(wanted, self.places[place + 1] - first, 0)
 
