@@ -136,6 +136,28 @@ def test_type_decisions(spark):
     assert out.count() == 200
 
 
+def test_patterns_see_each_spelling_once(spark, monkeypatch):
+    seen = []
+    inner = typing._written_evidence
+    monkeypatch.setattr(typing, "_written_evidence", lambda cells: seen.append(cells.count()) or inner(cells))
+    df = frame(spark, amount=["$1,234.50", "€7", "12", "-3.5", "none"], day=["31.12.2024", "01.02.2023"], land=["NA", "DE", "FR"], n=["5\n", ".5", "7-"])
+    df = df.unionByName(df).unionByName(df)
+    types = typing.infer_types(df)
+    assert seen == [6]  # two amounts, two days, a number before a line break, one with its sign behind
+    assert [(t.column, t.type, t.n, t.codes) for t in types] == [
+        ("amount", "NUMERIC", 12, False),
+        ("day", "DATE", 15, False),
+        ("land", "CATEGORICAL", 15, True),
+        ("n", "NUMERIC", 15, False),
+    ]
+    # What inference has found out is not counted again.
+    monkeypatch.setattr(typing, "_codes_columns", None)
+    got = typing.typed(df, types)
+    assert {r[0] for r in got.select("land").distinct().collect()} == {"NA", "DE", "FR"}
+    assert sorted({r[0] for r in got.select("n").collect()}) == [Decimal(-7), Decimal("0.5"), Decimal(5)]
+    assert sorted({r[0] for r in got.where("amount IS NOT NULL").select("amount").collect()}) == [Decimal("-3.5"), 7, 12, Decimal("1234.5")]
+
+
 def test_profile_and_protect(spark):
     df = spark.createDataFrame(
         [("A B", "x@y.com", 1.0), ("C D", "z@y.org", None), ("Asha Rao", None, 3.0)], "person string, contact string, v double"

@@ -174,10 +174,24 @@ def _voted(votes: Mapping[str, int]) -> str:
     return best if votes[best] else "auto"
 
 
+# Digits with at most one point and a leading minus: such a cell is its own plain notation unless a point may group.
+_OWN_NOTATION = r"^-?(?:\d+\.?\d*|\.\d+)\z"
+
+
 def number_text(c: Column, style: str | Column = "auto") -> Column:
-    """A written number in plain notation, or NULL when it does not follow the style."""
-    m, negative = _magnitude(c)
-    return _plain_digits(m, negative, style)
+    """A written number in plain notation, or NULL when it does not follow the style.
+
+    Most cells are plain already. The patterns for the others stand in a lambda, so that they add nothing to the
+    generated code of the cells that do without (methods beyond 8 KB are not compiled).
+    """
+
+    def digits(v: Column) -> Column:
+        m, negative = _magnitude(v)
+        return _plain_digits(m, negative, style)
+
+    v = F.trim(c)
+    own = v.rlike(_OWN_NOTATION) & ((F.lit(style) if isinstance(style, str) else style) != "european")
+    return F.when(own, v).when(v.isNotNull(), F.element_at(F.transform(F.array(v), digits), 1))
 
 
 def _plain_digits(m: Column, negative: Column, style: str | Column) -> Column:
@@ -240,6 +254,7 @@ class ColumnType:
     pattern: str | None = None
     decimals: int = 0
     distinct: int | None = None
+    codes: bool | None = None  # two-letter codes, where NA is a value; None when not looked at
     notes: list[str] = field(default_factory=list)
 
     @property
@@ -253,15 +268,15 @@ def infer_types(
 ) -> list[ColumnType]:
     """One decision per text column from counts over every row.
 
-    One scan folds all cells to one row of counts per column inside each task, so no cell is shuffled: which null tokens there are,
-    which style numbers have, and how many cells read as each type in every style. Distinct values are counted only for the columns that are
+    Cells are folded to one row of counts per column: which null tokens there are, which style numbers have, and how many
+    cells read as each type in every style. Only spellings that need patterns meet their equals in a shuffle. Distinct values are counted only for the columns that are
     neither numbers, dates nor booleans, and for whole numbers that may count the rows.
     """
     columns = list(columns or df.columns)
     found: dict[str, ColumnType] = {c: ColumnType(c, "TEXT", 0) for c in columns}
     codes = set()
-    for row in _evidence(df, columns).collect():  # one row per column
-        c, ev = columns[row["k"]], row.asDict()
+    for ev in _evidence(df, columns):
+        c = columns[ev["k"]]
         if ev["labels"] and ev["codes"] / ev["labels"] >= 0.9:  # two-letter codes, where NA is one
             codes.add(c)
             ev["n"] += ev["na"]
@@ -269,6 +284,8 @@ def infer_types(
         kind = {"indian": "western"}.get(style, style)
         ev |= {name: ev[f"{name}_{kind}"] for name in _NUMBER_COUNTS}
         found[c] = _decide(c, ev, style, date_order, identifiers)
+    for c in columns:
+        found[c].codes = c in codes
     counting = [c for c in columns if "ROW_INDEX_CANDIDATE" in found[c].notes]
     if counting:
         # From 1 to n in n rows: an index of the rows when no number comes twice.
@@ -291,66 +308,125 @@ _NUMBER_STYLES = ("auto", "western", "european")
 _NUMBER_COUNTS = ("num", "integral", "exponent", "places", "lo", "hi", "total")
 
 
-def _evidence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: how many cells read as each type, from one scan without a shuffle of cells."""
-    v = F.col("v")
-    # Cells without a digit and plain numbers are told by what is left when the digits go; the patterns
-    # run on the rest.
-    rest = F.col("rest")
-    plain_rest = rest.isin("", ".") | (F.startswith(v, F.lit("-")) & rest.isin("-", "-."))
-    token = _is_token(v)
-    look = F.when((rest == v) & token, "token").when(rest == v, "text").when(plain_rest, "plain").otherwise("written")
-    written, plain = F.col("look") == "written", F.col("look") == "plain"
+def _evidence(df: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """Per column with cells: how many of them read as each type.
+
+    Null tokens, text without digits and plain numbers are folded to counts inside each task. Equal cells of the
+    rest ("written": a date, an amount with separators, a code) are folded first, and the patterns run once on each.
+    """
+    cells = _cells(df, columns)
+    plain = F.col("v").rlike(_OWN_NOTATION)
+    written = F.col("v").rlike("[0-9]") & ~plain
+    easy = cells.where(~written).withColumn("plain", plain)
+    spelled = cells.where(written).groupBy("k", "v").agg(F.count(F.lit(1)).alias("times"))
+    found: dict[int, dict] = {}
+    for part in (_easy_evidence(easy), _written_evidence(spelled)):
+        for row in part.collect():  # one row per column
+            _added(found.setdefault(row["k"], {"k": row["k"]}), row.asDict())
+    return [dict.fromkeys(_COUNTS, 0) | ev for ev in found.values()]
+
+
+_COUNTS = (
+    *("n", "na", "labels", "codes", "bool", "bits", *_ONLY, "percent", "day_high", "month_high"),
+    *[f"fmt{i}" for i in range(len(DATE_FORMATS))],
+)
+
+
+def _added(ev: dict, more: dict) -> None:
+    """Counts and totals of two sets of cells are added, limits are compared."""
+    for name, x in more.items():
+        if name == "k" or x is None:
+            ev.setdefault(name, x)
+        elif ev.get(name) is None:
+            ev[name] = x
+        elif name.startswith("lo_"):
+            ev[name] = min(ev[name], x)
+        elif name.startswith(("hi_", "places_")):
+            ev[name] = max(ev[name], x)
+        else:
+            ev[name] += x
+
+
+def _easy_evidence(cells: DataFrame) -> DataFrame:
+    """Cells without a digit and plain numbers, which read the same in every style."""
+    v, plain = F.col("v"), F.col("plain")
+    lower, token = F.lower(v), _is_token(v)
+    is_text = ~plain & ~token
+    dotted = F.contains(v, F.lit("."))
+    whole = plain & ~dotted & ((F.length(v) < 18) | v.try_cast("bigint").isNotNull())
+    day = F.when(plain & (F.length(v) == 8) & v.rlike(r"^\d{8}$"), v)
+    eight = [i for i, (_, s, _, _) in enumerate(DATE_FORMATS) if s == r"^\d{8}$"]
+    x = F.when(plain, v.try_cast("double"))
+    once = {
+        "num": F.count(x),
+        "integral": F.count_if(whole),
+        "exponent": F.lit(0).cast("bigint"),
+        "places": F.max(F.when(x.isNotNull() & dotted, F.length(F.substring_index(v, ".", -1)))),
+        "lo": F.min(x),
+        "hi": F.max(x),
+        "total": F.sum(x),
+    }
+    out = cells.groupBy("k").agg(
+        F.count_if(plain | ~token).alias("n"),
+        F.count_if(~plain & (lower == "na")).alias("na"),
+        F.count_if(is_text & v.rlike("^[A-Z]{2}$")).alias("codes"),
+        F.count_if(is_text & lower.isin(*BOOLEAN_TOKENS)).alias("bool"),
+        F.count_if(plain & v.isin("0", "1")).alias("bits"),
+        *[F.count(F.try_to_timestamp(day, F.lit(DATE_FORMATS[i][2]))).alias(f"fmt{i}") for i in eight],
+        *[c.alias(name) for name, c in once.items()],
+    )
+    every = [F.col(name).alias(f"{name}_{s}") for name in once for s in _NUMBER_STYLES]
+    return out.withColumn("labels", F.col("n")).select("*", *every).drop(*once)
+
+
+def _written_evidence(cells: DataFrame) -> DataFrame:
+    """Cells that hold a digit and are no plain number, each spelling with its ``times``."""
+    v, times = F.col("v"), F.col("times")
     magnitude, negative = _magnitude(v)
     # Each cell has one date shape, so it is parsed by the formats of that shape only.
-    shape = F.when(~written, F.when(F.length("d") == 8, _SHAPES.index(r"^\d{8}$")))
-    for i, pattern in enumerate(_SHAPES):
-        shape = shape.when(F.col("d").rlike(pattern), i)
+    shape = F.lit(None).cast("int")
+    for i, pattern in reversed(list(enumerate(_SHAPES))):
+        shape = F.when(F.col("d").rlike(pattern), i).otherwise(shape)
     # Nothing written like a date reads as a number.
-    number_like = written & F.col("shape").isNull()
+    number_like = F.col("shape").isNull()
     cells = (
-        _cells(df, columns)
-        .select("k", "v", F.translate(v, "0123456789", "").alias("rest"))
-        .select("k", "v", "rest", look.alias("look"))
-        .withColumn("d", F.when(written, _four_digit_years(v)).when(plain & (F.length(v) == 8), v))
+        cells.withColumn("d", _four_digit_years(v))
         .withColumn("shape", shape)
         .withColumns({"m": F.when(number_like, magnitude), "neg": F.when(number_like, negative)})
-        .withColumns({f"t_{s}": F.when(plain, v).when(number_like, _plain_digits(F.col("m"), F.col("neg"), s)) for s in _NUMBER_STYLES})
+        .withColumns({f"t_{s}": F.when(number_like, _plain_digits(F.col("m"), F.col("neg"), s)) for s in _NUMBER_STYLES})
         .withColumns({f"x_{s}": F.col(f"t_{s}").try_cast("double") for s in _NUMBER_STYLES})
     )
+
+    def many(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, times)), F.lit(0))
+
     over_12 = r"(?:1[3-9]|[2-9]\d)"
     day_first = F.col("d").rlike(rf"^{over_12}[/-]\d{{1,2}}[/-]\d{{4}}")
     month_first = F.col("d").rlike(rf"^\d{{1,2}}[/-]{over_12}[/-]\d{{4}}")
     formats = [
-        F.count(F.when(F.col("shape") == _SHAPES.index(s), F.try_to_timestamp("d", F.lit(p)))).alias(f"fmt{i}")
+        many((F.col("shape") == _SHAPES.index(s)) & F.try_to_timestamp(F.when(F.col("shape") == _SHAPES.index(s), F.col("d")), F.lit(p)).isNotNull()).alias(f"fmt{i}")
         for i, (_, s, p, _) in enumerate(DATE_FORMATS)
     ]
-    lower, is_text = F.lower(v), F.col("look") == "text"
     numbers = []
     for s in _NUMBER_STYLES:
         t, x = F.col(f"t_{s}"), F.col(f"x_{s}")
-        whole = F.when(plain, rest.isin("", "-") & ((F.length(v) < 18) | t.try_cast("bigint").isNotNull())).when(written, t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull())
         numbers += [
-            F.count(x).alias(f"num_{s}"),
-            F.count_if(whole).alias(f"integral_{s}"),
-            F.count_if(written & F.contains(F.lower(t), F.lit("e"))).alias(f"exponent_{s}"),
+            many(x.isNotNull()).alias(f"num_{s}"),
+            many(t.rlike(r"^-?\d+$") & t.try_cast("bigint").isNotNull()).alias(f"integral_{s}"),
+            many(F.contains(F.lower(t), F.lit("e"))).alias(f"exponent_{s}"),
             F.max(F.when(x.isNotNull() & F.contains(t, F.lit(".")), F.length(F.substring_index(t, ".", -1)))).alias(f"places_{s}"),
             F.min(x).alias(f"lo_{s}"),
             F.max(x).alias(f"hi_{s}"),
-            F.sum(x).alias(f"total_{s}"),
+            F.sum(x * times).alias(f"total_{s}"),
         ]
     return cells.groupBy("k").agg(
-        F.count_if(F.col("look") != "token").alias("n"),
-        F.count_if((F.col("look") == "token") & (lower == "na")).alias("na"),
-        F.count_if(F.col("look") != "token").alias("labels"),
-        F.count_if(is_text & v.rlike("^[A-Z]{2}$")).alias("codes"),
-        F.count_if(is_text & lower.isin(*BOOLEAN_TOKENS)).alias("bool"),
-        F.count_if(plain & v.isin("0", "1")).alias("bits"),
-        *[F.count_if(F.col("m").rlike(p)).alias(style) for style, p in _ONLY.items()],
+        F.sum("times").alias("n"),
+        F.sum("times").alias("labels"),
+        *[many(F.col("m").rlike(p)).alias(style) for style, p in _ONLY.items()],
         *numbers,
-        F.count_if(written & F.endswith(v, F.lit("%"))).alias("percent"),
-        F.count_if(written & (F.col("shape") >= 0) & day_first).alias("day_high"),
-        F.count_if(written & (F.col("shape") >= 0) & month_first).alias("month_high"),
+        many(F.endswith(v, F.lit("%"))).alias("percent"),
+        many((F.col("shape") >= 0) & day_first).alias("day_high"),
+        many((F.col("shape") >= 0) & month_first).alias("month_high"),
         *formats,
     )
 
@@ -446,7 +522,9 @@ STORAGE = {
 def typed(df: DataFrame, types: Sequence[ColumnType]) -> DataFrame:
     """Version 1: each column in its type when every value parses, else as text; no row is lost."""
     columns = [t.column for t in types]
-    labels = without_null_tokens(df, columns, keep_unknown=True)
+    unseen = [t.column for t in types if t.codes is None]
+    codes = {t.column for t in types if t.codes} | (_codes_columns(df, unseen) if unseen else set())
+    labels = without_null_tokens(df, columns, keep_unknown=True, codes=codes)
     new = {}
     for t in types:
         v = F.col(f"`{t.column}`")
