@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tillview import session
 from tillview.operators import cleaning, eda, quality
 from tillview.operators.cleaning import Step
 from tillview.sources import synthetic
+from tillview.sources.transactions import Lookup, TransactionSource
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +109,36 @@ def test_clean_steps_and_order(spark):
     assert dict(bad.rows.dtypes)["order_date"] == "string"
 
 
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_staging_gives_back_its_shuffles(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("a"), F.col("id").cast("string").alias("b")).repartition(7, "a")
+    before = _shuffle_files(spark)
+    staged = session.stage(df.join(df.groupBy("a").count(), "a"))
+    assert not _shuffle_files(spark) - before
+    assert staged.count() == 20_000 and df.count() == 20_000
+    session.unstage(staged.where("a > 1"))
+    assert df.count() == 20_000
+
+
+def test_lookups_meet_before_the_lines(spark):
+    lines = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (9, 12), (None, 10)], "order_id int, product_id int")
+    heads = spark.createDataFrame([(1, 5), (2, None), (2, 6), (3, 5)], "order_id int, customer_id int")
+    buyers = spark.createDataFrame([(5, "A"), (5, "B"), (None, "C")], "customer_id int, city string")
+    goods = spark.createDataFrame([(10, "x"), (11, "y"), (11, "z")], "product_id int, name string")
+    source = TransactionSource(lines, [Lookup("order_id", heads), Lookup("customer_id", buyers), Lookup("product_id", goods)])
+    got = source.select("order_id", "city", "name")
+    want = lines.join(heads, "order_id", "left").join(buyers, "customer_id", "left").join(goods, "product_id", "left").select("order_id", "city", "name")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = source.select("order_id", "city")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert "Join" not in plan.children().head().toString() and "Join" in plan.children().last().toString()
+
+
 def test_fingerprint(spark, retail):
     a = cleaning.fingerprint(retail).first()
     assert a == cleaning.fingerprint(retail.repartition(5).orderBy(F.rand(1))).first()

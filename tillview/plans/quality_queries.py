@@ -10,7 +10,7 @@ from tillview.functions.columns import rounded
 from tillview.operators import cleaning, quality
 from tillview.plans.analytics_queries import FLAT
 from tillview.plans.edge import plain
-from tillview.session import kept_for_inputs, spread, stage, tune
+from tillview.session import kept_for_inputs, spread, stage, tune, unstage
 from tillview.sources.flat import COLUMNS, dirty
 from tillview.sources.transactions import table
 
@@ -47,7 +47,8 @@ def raw(spark, sf_dir):
 @kept_for_inputs
 def _clean(sf_dir: str):
     out = cleaning.clean(_raw(SparkSession.active(), sf_dir))
-    out.rows = stage(out.rows)
+    made, out.rows = out.rows, stage(out.rows)
+    unstage(made)
     return out
 
 
