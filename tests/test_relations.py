@@ -4,10 +4,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tillview import session
 from tillview.functions import dialect
 from tillview.operators import adhoc, metrics, rfm, slices, star, templates
 from tillview.operators.relations import Relations, Unavailable
-from tillview.sources.transactions import from_flat
+from tillview.sources.transactions import Lookup, TransactionSource, from_flat
 
 MAPPING = {
     "transaction_id": "order",
@@ -280,9 +281,37 @@ def test_series_keep_their_last_day(spark, golden):
 
 
 def test_frequency_without_revenue(spark):
-    from tillview.sources.transactions import from_flat
+    from tillview.sources.transactions import Lookup, TransactionSource, from_flat
 
     df = spark.createDataFrame([("o1", "a"), ("o2", "a"), ("o3", "b")], "o string, c string")
     rel = Relations(spark, from_flat(df, {"transaction_id": "o", "customer_id": "c"}))
     got = templates.beh_purchase_frequency(rel)
     assert "revenue" not in got.columns and sorted(r["customers"] for r in got.collect()) == [1, 1]
+
+
+def test_fact_of_tables_is_that_of_joined_lines(spark, monkeypatch):
+    """Repeated, missing and null keys on every side, places that are called Unknown, equal lines."""
+    lines = [(1, 10, "1.00"), (1, 10, "1.00"), (1, 11, "2.00"), (2, 12, "3.00"), (3, None, "4.00"), (None, 10, "5.00"), (9, 99, "6.00"), (4, 13, "7.00"), (5, 10, "8.00")]
+    heads = [(1, 5, "2024-01-02", "cash"), (1, 6, "2024-02-03", None), (2, 5, "2024-01-05", "card"), (3, None, None, "card"), (4, 7, "2024-03-01", "card"), (5, 8, "2024-03-02", "cash"), (None, 5, "2024-01-01", "cash"), (6, 5, "2024-01-01", "cash")]
+    buyers = [(5, "IN", "North", "Pune"), (5, "IN", "North", "Delhi"), (6, None, "South", None), (7, "Unknown", "Unknown", "Unknown"), (8, None, None, None)]
+    goods = [(10, "a", "x"), (11, "b", "x"), (11, "c", "y"), (12, "d", None), (13, "e", "y"), (13, "e", "y")]
+    source = TransactionSource(
+        spark.createDataFrame(lines, "transaction_id int, product_id int, r string").selectExpr(
+            "transaction_id", "product_id", "CAST(2 AS DECIMAL(12,2)) AS quantity", "CAST(r AS DECIMAL(18,4)) AS revenue", "CAST(transaction_id AS DECIMAL(7,2)) AS discount"
+        ),
+        [
+            Lookup("transaction_id", spark.createDataFrame(heads, "transaction_id int, customer_id int, d string, payment_method string").selectExpr("transaction_id", "customer_id", "CAST(d AS DATE) AS purchase_date", "payment_method")),
+            Lookup("customer_id", spark.createDataFrame(buyers, "customer_id int, country string, state string, city string")),
+            Lookup("product_id", spark.createDataFrame(goods, "product_id int, product_name string, category string")),
+        ],
+    )
+    rel = Relations(spark, source, rfm_min_customers=1)
+    assert star._split(rel, star.build(rel).tables)
+    before = len(session._STAGED)
+    got = star.build(rel)["fact_sales"]
+    kept = len(session._STAGED) - before
+    monkeypatch.setattr(star, "_split", lambda rel, tables: False)
+    want = star.build(rel)["fact_sales"]
+    assert len(session._STAGED) - before == 2 * kept  # nothing is left of what stood between
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 20
