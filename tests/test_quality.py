@@ -124,6 +124,16 @@ def test_staging_gives_back_its_shuffles(spark):
     assert df.count() == 20_000
 
 
+def test_steps_keep_one_table(spark):
+    df = spark.createDataFrame([("Red", 1), ("red", 2), ("Red", None), (None, 4)], "color string, v int")
+    before = len(session._STAGED)
+    steps = [Step("NORMALIZE_CATEGORIES", ["color"]), Step("HANDLE_MISSING", ["v"], {"strategy": "DROP_ROWS"}), Step("NORMALIZE_TEXT", ["color"], {"case": "upper"})]
+    out, log = cleaning.apply_steps(df, steps)
+    assert sorted(map(tuple, out.collect()), key=str) == [("RED", 1), ("RED", 2), (None, 4)]
+    assert [r["rows_affected"] for r in log.orderBy("seq").collect()] == [1, 1, 2]
+    assert len(session._STAGED) - before == 2  # the rows of the last step, the spellings
+
+
 def test_lookups_meet_before_the_lines(spark):
     lines = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (9, 12), (None, 10)], "order_id int, product_id int")
     heads = spark.createDataFrame([(1, 5), (2, None), (2, 6), (3, 5)], "order_id int, customer_id int")

@@ -19,7 +19,7 @@ from tillview.functions.columns import (
     text_columns,
 )
 from tillview.operators.ordering import quantiles
-from tillview.session import stage
+from tillview.session import stage, unstage
 
 DATE_NAMES = ("order_date", "date", "transaction_date")
 LOG_SCHEMA = "step int, operation string, column string, rows_modified bigint, reason string"
@@ -93,6 +93,7 @@ def clean(df: DataFrame, dedupe_after_trim: bool = False) -> Cleaned:
             note("STANDARDIZE_DATETIME_ISO8601", name, kept, "One time format allows sorting and time series.")
     if dedupe_after_trim:
         rows = stage(rows.dropDuplicates())
+        unstage(first)
         if rows.count() < kept:
             note("REMOVE_EXACT_DUPLICATES", "[ALL_COLUMNS]", kept - rows.count(), "Repeats that trimming revealed.")
             kept = rows.count()
@@ -175,7 +176,8 @@ def _normalize_categories(df: DataFrame, step: Step):
     """Every spelling becomes the dominant one of its group."""
     from tillview.operators.quality import category_variants
 
-    found = category_variants(df, step.columns).where("variant <> dominant")
+    # Written first: their size decides whether the rows have to be shuffled to meet them.
+    found = stage(category_variants(df, step.columns).where("variant <> dominant"))
     out = df
     for c in step.columns:
         names = found.where(F.col("column") == c).select(F.col("variant").alias(c), F.col("dominant").alias(f"_{c}"))
@@ -273,6 +275,8 @@ def apply_steps(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFr
         after = stage(after)
         rows_after = after.count()
         entries.append((seq, step.type, ",".join(step.columns), rows_before, rows_after, affected.first()["n"], reason))
+        if seq > 1:
+            unstage(df)
         df, rows_before = after, rows_after
     log = fixed_rows(
         df.sparkSession,
