@@ -134,6 +134,30 @@ def test_steps_keep_one_table(spark):
     assert len(session._STAGED) - before == 2  # the rows of the last step, the spellings
 
 
+def test_repeats_are_dropped_in_passes(spark, monkeypatch):
+    rows = [(None, 0.0, "a "), (None, -0.0, "a "), (None, None, None), (None, None, None), (7, float("nan"), "b"), (7, float("nan"), "b")] * 3 + [(i, float(i), f"t{i % 5}") for i in range(40)]
+    table = session.stage(spark.createDataFrame(rows, "`a.b` int, v double, t string"))
+    assert len(session.passes(table)) == 1
+    monkeypatch.setattr(session, "_PASS_BYTES", 100)
+    parts = session.passes(table)
+    assert len(parts) == session._PASSES and len(session.passes(table.distinct())) == 1
+    assert sum(p.count() for p in parts) == len(rows) == table.count()
+    got = session.stage(*[p.dropDuplicates() for p in parts])
+    assert got.count() == 43 == table.distinct().count() == got.distinct().count()
+    by_key = session.passes(table, "t")
+    assert sum(p.where("t = 't1' OR t IS NULL").count() for p in by_key) == 14
+    assert all(p.where("t = 't1'").count() in (0, 8) for p in by_key)
+
+
+def test_cleaning_in_passes_is_cleaning_at_once(spark, retail, monkeypatch):
+    once = cleaning.clean(retail)
+    monkeypatch.setattr(session, "_PASS_BYTES", 5_000)
+    assert len(session.passes(retail)) > 1
+    parts = cleaning.clean(retail)
+    assert sorted(map(str, parts.rows.collect())) == sorted(map(str, once.rows.collect()))
+    assert parts.log.collect() == once.log.collect() and parts.dropped_duplicates == once.dropped_duplicates > 0
+
+
 def test_lookups_meet_before_the_lines(spark):
     lines = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (9, 12), (None, 10)], "order_id int, product_id int")
     heads = spark.createDataFrame([(1, 5), (2, None), (2, 6), (3, 5)], "order_id int, customer_id int")

@@ -19,7 +19,7 @@ from tillview.functions.columns import (
     text_columns,
 )
 from tillview.operators.ordering import quantiles
-from tillview.session import stage, unstage
+from tillview.session import passes, stage, unstage
 
 DATE_NAMES = ("order_date", "date", "transaction_date")
 LOG_SCHEMA = "step int, operation string, column string, rows_modified bigint, reason string"
@@ -48,7 +48,7 @@ def clean(df: DataFrame, dedupe_after_trim: bool = False) -> Cleaned:
     def note(operation: str, column: str, rows: int, reason: str) -> None:
         log.append((len(log) + 1, operation, column, rows, reason))
 
-    first = stage(df.dropDuplicates())
+    first = stage(*[part.dropDuplicates() for part in passes(df)])
     kept = first.count()
     if before > kept:
         note("REMOVE_EXACT_DUPLICATES", "[ALL_COLUMNS]", before - kept, "Repeats inflate revenue and counts.")

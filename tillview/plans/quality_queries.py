@@ -10,7 +10,7 @@ from tillview.functions.columns import rounded
 from tillview.operators import cleaning, quality
 from tillview.plans.analytics_queries import FLAT
 from tillview.plans.edge import plain
-from tillview.session import kept_for_inputs, spread, stage, tune, unstage
+from tillview.session import kept_for_inputs, passes, spread, stage, tune, unstage
 from tillview.sources.flat import COLUMNS, dirty
 from tillview.sources.transactions import table
 
@@ -37,7 +37,8 @@ NUMBERS = ["unit_price", "quantity", "discount_pct", "total_amount", "customer_r
 def _raw(sf_dir: str):
     """Version 1, written once and read by every query on it."""
     spark = tune(SparkSession.active())
-    return stage(spread(dirty(spark, sf_dir), table(spark, sf_dir, "lineitem")))
+    items = table(spark, sf_dir, "lineitem")
+    return stage(*[spread(dirty(spark, sf_dir, part), items) for part in passes(items, "l_orderkey")])
 
 
 def raw(spark, sf_dir):

@@ -26,9 +26,10 @@ COLUMNS = [
 ]
 
 
-def flat_source(spark: SparkSession, sf_dir: str) -> TransactionSource:
+def flat_source(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> TransactionSource:
+    """``items`` stands for the rows of lineitem, all of them unless given."""
     read = lambda name: table(spark, sf_dir, name)
-    lines = read("lineitem").select(
+    lines = (read("lineitem") if items is None else items).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         rounded(ratio("l_extendedprice", "l_quantity"), 2).alias("unit_price"),
@@ -73,9 +74,9 @@ def flat(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return flat_source(spark, sf_dir).select(*(columns or COLUMNS))
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """The flat table with padded categories, missing cells, wrong signs, outliers, repeats and text dates."""
-    df = flat_source(spark, sf_dir).select(*COLUMNS, "l_returnflag", "l_linestatus", "l_tax_pct", "o_orderstatus")
+    df = flat_source(spark, sf_dir, items).select(*COLUMNS, "l_returnflag", "l_linestatus", "l_tax_pct", "o_orderstatus")
     returned = F.col("l_returnflag") == "R"
     open_line = F.col("l_linestatus") == "O"
     df = df.withColumns(
